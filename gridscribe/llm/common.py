@@ -6,7 +6,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``: only these six characters part words.
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -30,6 +32,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def appending(df: DataFrame, run, extra: str) -> DataFrame:
+    """mapInArrow whose batches are those of df with further columns (a DDL string) at the end."""
+    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(extra).fields]))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to spark.checkpoint.dir and read again: the lineage ends in a folder that all executors share.
 
@@ -62,6 +69,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _letters() -> np.ndarray:
+    """Bytes of a letter run: ASCII letters in lower case, all bytes of other characters; everything else is a space."""
+    out = np.full(256, 32, np.uint8)
+    out[0x61:0x7B] = out[0x41:0x5B] = np.arange(0x61, 0x7B)
+    out[0x80:] = np.arange(0x80, 0x100)
+    return out
+
+
+_LETTERS = _letters()
+
+
 class Words:
     """The words of a chunk of texts, found on the UTF-8 bytes of the Arrow buffer.
 
@@ -69,7 +87,7 @@ class Words:
     ``hash`` depends on a word's bytes only. White space is ASCII, so no UTF-8 sequence is cut. A null has no words.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, letters: bool = False):
         if texts.null_count:
             texts = texts.fill_null("")
         if pa.types.is_large_string(texts.type):
@@ -78,6 +96,10 @@ class Words:
         off = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
         b = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
         off = off - off[0]
+        if letters:  # words are runs of letters then, in lower case (ASCII and Latin-1)
+            upper = np.zeros(len(b), bool)
+            upper[1:] = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
+            b = _LETTERS[b] + np.uint8(0x20) * upper
         inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
@@ -97,9 +119,15 @@ class Words:
             total = np.zeros(n + 1, np.uint64)
             np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_MUL, False, n), out=total[1:])
             h = (total[self.end] - total[self.start]) * powers(_BYTE_MUL, True, n + 1)[self.start]
+            self._total = total
             self._hash = mix64(h + (self.end - self.start).astype(np.uint64))
         return self._hash
 
+    def prefix(self, size: int) -> np.ndarray:
+        """Hashes of the first `size` bytes of each word."""
+        end = np.minimum(self.end, self.start + size)
+        return mix64((self._total[end] - self._total[self.start]) * powers(_BYTE_MUL, True, len(self.data) + 1)[self.start] + np.uint64(size << 32))
+
     def runs(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words at their first word, and which of them lie within one text."""
         h = self.hash if not seed else mix64(self.hash + np.uint64(seed))
@@ -123,7 +151,7 @@ class Words:
 def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
     """Slices of the batch with about `most` bytes of text at the most; a longer text is a slice of its own."""
     col = batch.column(column)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64)
     at, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if total and total + n > most:

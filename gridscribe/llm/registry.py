@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import lines, mixing
+from . import bpe, lines, mixing, toxicity, unigram, urls
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
+    "op5_url_filters": urls.op5_url_filters,
     "op6_mixing": mixing.op6_mixing,
+    "op7_token_counts": unigram.op7_token_counts,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
 SQL = {
+    "op5_url_filters": urls.SQL,
     "op6_mixing": mixing.SQL,
     "op10_line_dedup": lines.SQL,
 }
