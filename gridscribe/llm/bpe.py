@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +32,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(0x100 + rest.index(b)) for b in range(256)]
 
 
+#: The vocabulary's pattern with its classes spelled out for code points up to U+00FF, where both give the same pieces.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+LATIN_PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class ByteBpe:
     """Encodes and decodes as the vocabulary file says, without special treatment beyond its added tokens."""
 
@@ -48,6 +62,7 @@ class ByteBpe:
         self.added = added
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pieces = regex.compile(public_tokenizers.PATTERN)
+        self.latin_pieces = re.compile(LATIN_PATTERN)
         self.byte_id = np.array([vocab[c] for c in letters], np.int64)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
@@ -117,48 +132,55 @@ class ByteBpe:
         lengths = np.array([len(p) for p in pieces], np.int64)
         raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(m, size)
         pos = np.arange(size, dtype=np.int64)
-        sym = self.byte_id[raw]
-        sym[pos >= lengths[:, None]] = -1
+        sym = self.byte_id[raw].ravel()
+        inside = pos < lengths[:, None]
         tree = np.full((m, 2 * size), none, np.int64)
-        inside = pos[:-1] + 1 < lengths[:, None]
-        r, c = np.nonzero(inside)
-        tree[r, size + c] = self._leaf(sym[r, c], sym[r, c + 1], c, size, none)
+        at = np.flatnonzero(inside[:, 1:].ravel())
+        r, c = np.divmod(at, size - 1)
+        at += r
+        tree[r, size + c] = self._leaf(sym[at], sym[at + 1], c, size, none)
         level = size
         while level > 1:
             tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
             level //= 2
-        after = np.broadcast_to(pos + 1, (m, size)).copy()
-        before = np.broadcast_to(pos - 1, (m, size)).copy()
-        alive = np.ones((m, size), bool)
-        alive[pos >= lengths[:, None]] = False
-
-        def put(rows: np.ndarray, at: np.ndarray, value) -> None:
-            k = size + at
-            tree[rows, k] = value
-            k = k >> 1
-            while k[0]:
-                tree[rows, k] = np.minimum(tree[rows, 2 * k], tree[rows, 2 * k + 1])
+        tree = tree.ravel()
+        after = np.tile(pos + 1, m)
+        before = np.tile(pos - 1, m)
+        alive = inside.ravel()
+
+        def climb(base: np.ndarray, k: np.ndarray) -> None:
+            """New minima above changed leaves k of the trees that begin at base."""
+            for _ in range(size.bit_length() - 1):
                 k = k >> 1
+                left = base + 2 * k
+                tree[base + k] = np.minimum(tree[left], tree[left + 1])
 
-        rows = np.flatnonzero(tree[:, 1] < none)
+        rows = np.flatnonzero(tree[1 :: 2 * size] < none)
         while len(rows):
-            rank, i = np.divmod(tree[rows, 1], size)
-            sym[rows, i] = self.merged[rank]
-            j = after[rows, i]
-            alive[rows, j] = False
-            put(rows, j, none)
-            nxt = after[rows, j]
-            after[rows, i] = nxt
-            has = nxt < lengths[rows]
-            before[rows[has], nxt[has]] = i[has]
-            value = np.full(len(rows), none, np.int64)
-            value[has] = self._leaf(sym[rows[has], i[has]], sym[rows[has], nxt[has]], i[has], size, none)
-            put(rows, i, value)
-            prev = before[rows, i]
-            has = prev >= 0
-            if has.any():
-                put(rows[has], prev[has], self._leaf(sym[rows[has], prev[has]], sym[rows[has], i[has]], prev[has], size, none))
-            rows = rows[tree[rows, 1] < none]
+            base, first = rows * (2 * size), rows * size
+            rank, i = np.divmod(tree[base + 1], size)
+            here = first + i
+            new = self.merged[rank]
+            sym[here] = new
+            j = after[here]
+            alive[first + j] = False
+            nxt = after[first + j]
+            after[here] = nxt
+            tree[base + size + j] = none
+            tree[base + size + i] = none
+            climb(base, size + j)
+            has = np.flatnonzero(nxt < lengths[rows])
+            there = first[has] + nxt[has]
+            before[there] = i[has]
+            tree[base[has] + size + i[has]] = self._leaf(new[has], sym[there], i[has], size, none)
+            climb(base, size + i)
+            prev = before[here]
+            has = np.flatnonzero(prev >= 0)
+            prev = prev[has]
+            tree[base[has] + size + prev] = self._leaf(sym[first[has] + prev], new[has], prev, size, none)
+            climb(base[has], size + prev)
+            rows = rows[tree[base + 1] < none]
+        sym, alive = sym.reshape(m, size), alive.reshape(m, size)
         ids = sym[alive].astype("<u4").tobytes()
         ends = (np.cumsum(alive.sum(1)) * 4).tolist()
         return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
@@ -181,8 +203,9 @@ class ByteBpe:
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null is an empty text."""
         cut: list[list[str] | list[tuple[int, list[str]]]] = []
-        find, fresh = self.pieces.findall, set()
+        fresh: set[str] = set()
         for text in texts:
+            find = (self.latin_pieces if text and is_latin(text) else self.pieces).findall
             if text and self.split_added and self.split_added.search(text):
                 parts = [(self.added[x], []) if x in self.added else (-1, find(x)) for x in self.split_added.split(text) if x]
                 fresh.update(*[p for i, p in parts if i < 0])
