@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, mixing, toxicity, unigram, urls
+from . import bpe, lines, mixing, passages, toxicity, unigram, urls
 
 QUERIES = {
+    "op1_substring_dedup": passages.op1_substring_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op5_url_filters": urls.op5_url_filters,
     "op6_mixing": mixing.op6_mixing,
