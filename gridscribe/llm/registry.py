@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, mixing, passages, toxicity, unigram, urls
+from . import bpe, lines, mixing, neardup, passages, toxicity, unigram, urls
 
 QUERIES = {
     "op1_substring_dedup": passages.op1_substring_dedup,
     "op2_bpe": bpe.op2_bpe,
+    "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
     "op5_url_filters": urls.op5_url_filters,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_counts": unigram.op7_token_counts,
