@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, mixing, neardup, passages, toxicity, unigram, urls
+from . import bpe, lines, mixing, neardup, passages, toxicity, unigram, urls, vectors
 
 QUERIES = {
     "op1_substring_dedup": passages.op1_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_token_counts": unigram.op7_token_counts,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
