@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, mixing, neardup, passages, toxicity, unigram, urls, vectors
+from . import bpe, lines, mixing, neardup, passages, quality, toxicity, unigram, urls, vectors
 
 QUERIES = {
     "op1_substring_dedup": passages.op1_substring_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op5_url_filters": urls.op5_url_filters,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_counts": unigram.op7_token_counts,
