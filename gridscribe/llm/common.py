@@ -37,6 +37,19 @@ def appending(df: DataFrame, run, extra: str) -> DataFrame:
     return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(extra).fields]))
 
 
+def packed(df: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """The columns of `roles` (column: role) under their roles, all others in one struct _rest: no name of theirs can clash."""
+    rest = [c for c in df.columns if c not in roles]
+    struct = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("int")
+    return df.select(*[F.col(f"`{c}`").alias(r) for c, r in roles.items()], struct.alias("_rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], roles: dict[str, str], results: dict) -> DataFrame:
+    """The reverse, in the order of `columns`, with results (name: column) at the end; a column that a result replaces goes."""
+    own = [F.col(roles[c]).alias(c) if c in roles else F.col("_rest").getField(c).alias(c) for c in columns if c not in results]
+    return df.select(*own, *[v.alias(k) for k, v in results.items()])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to spark.checkpoint.dir and read again: the lineage ends in a folder that all executors share.
 
@@ -128,6 +141,13 @@ class Words:
         end = np.minimum(self.end, self.start + size)
         return mix64((self._total[end] - self._total[self.start]) * powers(_BYTE_MUL, True, len(self.data) + 1)[self.start] + np.uint64(size << 32))
 
+    def stretches(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Hashes of the words i to j - 1, for arrays of both."""
+        n = len(self.hash)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.hash * powers(_WORD_MUL, False, n), out=total[1:])
+        return mix64((total[j] - total[i]) * powers(_WORD_MUL, True, n + 1)[i] + mix64((j - i).astype(np.uint64)))
+
     def runs(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words at their first word, and which of them lie within one text."""
         h = self.hash if not seed else mix64(self.hash + np.uint64(seed))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import packed, table, unpacked
 
 MIN_CHARS, MIN_DOCS = 40, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,24 +35,20 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reassembled. Rows with a null id count for no key and lose no line. Empty table: no rows. Further columns stay, and
     columns named like the two results are replaced.
     """
-    docs = docs.drop("_n_lines", "_n_dropped")
-    held = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("_id"),
-        F.explode(F.array_distinct(F.filter(F.transform(F.split(text_col, "\n", -1), lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))).alias("h"))
-    held = held.select("_id", F.col("h.a").alias("a"), F.col("h.b").alias("b")).distinct()
-    common = held.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("_id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = held.join(common, ["a", "b"]).where("_id <> keeper").groupBy("_id").agg(F.collect_list(F.struct("a", "b")).alias("_lost"))
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    kept = F.when(F.col("_lost").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("_lost"), line_hash(x, min_chars)), F.lit(True))))
-    rows = docs.join(lost.hint("shuffle_hash"), docs[id_col] == F.col("_id"), "left")
-    rows = rows.withColumn("_kept", F.array_join(kept, "\n")).withColumn("_left", F.size(kept).cast("long"))
-    return (
-        rows.withColumn("_n_lines", F.size(lines).cast("long"))
-        .withColumn("_n_dropped", F.col("_n_lines") - F.col("_left"))
-        .withColumn(text_col, F.col("_kept"))
-        .drop("_id", "_lost", "_kept", "_left")
-    )
+    roles = {id_col: "_id", text_col: "_text"}
+    rows = packed(docs, roles)
+    held = rows.where("_id is not null").select(
+        F.col("_id").alias("at"),
+        F.explode(F.array_distinct(F.filter(F.transform(F.split("_text", "\n", -1), lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))).alias("h"))
+    held = held.select("at", F.col("h.a").alias("a"), F.col("h.b").alias("b")).distinct()
+    common = held.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("at").alias("keeper")).where(F.col("n") >= min_docs)
+    lost = held.join(common, ["a", "b"]).where("at <> keeper").groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("lost"))
+    lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1)
+    kept = F.when(F.col("lost").isNull(), lines).otherwise(
+        F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("lost"), line_hash(x, min_chars)), F.lit(True))))
+    rows = rows.join(lost.hint("shuffle_hash"), F.col("_id") == F.col("at"), "left").select("_id", "_rest", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    rows = rows.select("_id", "_rest", "n_lines", F.size("kept").cast("long").alias("n_left"), F.array_join("kept", "\n").alias("_text"))
+    return unpacked(rows, docs.columns, roles, {"_n_lines": F.col("n_lines"), "_n_dropped": F.col("n_lines") - F.col("n_left")})
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

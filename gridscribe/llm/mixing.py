@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import table
+from .common import packed, table, unpacked
 
 #: Sizes count words of these characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,25 +66,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     document; rows with the same id stand side by side in any order. Null ids stand first in their bin. Further columns stay;
     columns beginning with "_size", "_source_size", "_target", "_copies" are replaced.
     """
-    rows = docs.drop("_size", "_source_size", "_target", "_copies").withColumn("_size", n_words(F.col(text_col)))
-    hash_of = f"coalesce(cast(`{id_col}` as string), '')"
-    rows = rows.withColumns({"_bin": size_bin(F.col("_size")), "_h": hashed(hash_of)}).withColumn("_sub", F.col("_h") % SUB_BLOCKS)
-    rows = rows.withColumn("_source", F.col(source_col))
+    roles = {id_col: "_id", text_col: "_text", source_col: "_source"}
+    rows = packed(docs, roles).withColumn("_size", n_words(F.col("_text")))
+    rows = rows.withColumns({"_bin": size_bin(F.col("_size")), "_h": hashed("coalesce(cast(_id as string), '')")}).withColumn("_sub", F.col("_h") % SUB_BLOCKS)
     blocks = rows.groupBy("_source", "_bin", "_sub").agg(F.count("*").alias("n"), F.sum("_size").alias("size"))
     sources = targets(blocks.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, most)
     ahead = Window.partitionBy("_source").orderBy("_bin", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     plan = blocks.join(sources, F.col("_source").eqNullSafe(F.col("source"))).select(
-        F.col("_source").alias("b_source"), F.col("_bin").alias("b_bin"), F.col("_sub").alias("b_sub"), "ahead",
-        F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    within = Window.partitionBy("_source", "_bin", "_sub").orderBy("_h", id_col)
+        F.col("_source").alias("b_source"), F.col("_bin").alias("b_bin"), F.col("_sub").alias("b_sub"), "ahead", "source_size", "target")
+    within = Window.partitionBy("_source", "_bin", "_sub").orderBy("_h", "_id")
     rows = rows.withColumn("_rank", F.row_number().over(within))
     rows = rows.join(plan, F.col("_source").eqNullSafe(F.col("b_source")) & (F.col("_bin") == F.col("b_bin")) & (F.col("_sub") == F.col("b_sub")))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    offset = hashed(f"concat('{seed}', ':', coalesce(`{source_col}`, ''))") / F.lit(float(1 << 32))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    offset = hashed(f"concat('{seed}', ':', coalesce(_source, ''))") / F.lit(float(1 << 32))
     at = F.col("ahead") + F.col("_rank")
     copies = F.floor(at * rate + offset) - F.floor((at - 1) * rate + offset)
-    return rows.withColumn("_copies", copies).drop("_bin", "_h", "_sub", "_source", "_rank", "b_source", "b_bin", "b_sub", "ahead")
+    return unpacked(rows, docs.columns, roles, {"_size": F.col("_size"), "_source_size": F.col("source_size"), "_target": F.col("target"), "_copies": copies})
 
 
 def emit(mixed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, cut, small_batches, table
+from .common import components, cut, packed, small_batches, table, unpacked
 
 COSINE, BLOCKS = 0.95, 4
 #: Vectors of a part of a cell; a task compares two parts.
@@ -152,10 +152,11 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     columns stay; columns named like the results are replaced.
     """
     small_batches(vectors.sparkSession)
-    vectors = vectors.drop("_n_links", "_component")
-    fine = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector_col, lambda x: x != 0)
-    marked = vectors.withColumn("_ok", F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False)))
-    good = marked.where("_ok").select(F.col(id_col).alias("_id"), F.col(vector_col).alias("embedding"))
+    roles = {id_col: "_id", vector_col: "_vector"}
+    columns, vectors = vectors.columns, packed(vectors, roles)
+    fine = F.forall("_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("_vector", lambda x: x != 0)
+    marked = vectors.withColumn("_ok", F.col("_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    good = marked.where("_ok").select("_id", F.col("_vector").alias("embedding"))
     reps = cut(good.groupBy("embedding").agg(F.min("_id").alias("rep"), F.count("*").alias("copies")))
     n = reps.count()
     grid = max(2, math.ceil(math.log(max(1, n / CELL_ROWS), 3)))
@@ -183,9 +184,9 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     known = reps.join(counts, "rep", "left").join(comp, reps["rep"] == comp["id"], "left").select(
         F.col("embedding").alias("_key"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("comp", "rep").alias("_comp"))
-    rows = marked.withColumn("_key0", F.when(F.col("_ok"), F.col(vector_col)))
-    rows = rows.join(known, rows["_key0"] == known["_key"], "left")
-    return rows.withColumn("_n_links", F.coalesce("_n", F.lit(0)).cast("long")).withColumn("_component", F.coalesce("_comp", id_col)).drop("_ok", "_key0", "_key", "_n", "_comp")
+    rows = marked.withColumn("_own", F.when(F.col("_ok"), F.col("_vector")))
+    rows = rows.join(known, F.col("_own") == F.col("_key"), "left")
+    return unpacked(rows, columns, roles, {"_n_links": F.coalesce("_n", F.lit(0)).cast("long"), "_component": F.coalesce("_comp", "_id")})
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
