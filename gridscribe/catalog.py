@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import scoring
+
+PLANS = (scoring,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return scoring.grounding_by_mode(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: run for plan in PLANS for name, (run, _) in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in PLANS for name, (_, sql) in plan.QUERIES.items() if sql}
