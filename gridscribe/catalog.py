@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import scoring
+from .plans import parsing, scoring
 
-PLANS = (scoring,)
+PLANS = (scoring, parsing)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

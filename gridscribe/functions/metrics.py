@@ -76,7 +76,8 @@ def confusion(gen_pairs: list[Column], src_pairs: list[Column]) -> tuple[Column,
     """(confused, evaluated): values near an arm in the text that the source has first near another arm; repeats count."""
     owner = lambda v: F.coalesce(*[F.when(F.exists(values, lambda s: near(v, s, TOLERANCE)), F.lit(k)) for k, values in enumerate(src_pairs)])
     owners = [F.filter(F.transform(values, owner), lambda o: o.isNotNull()) for values in gen_pairs]
-    confused = sum((F.size(F.filter(o, lambda x, k=k: x != k)) for k, o in enumerate(owners)), F.lit(0))
+    other = lambda o, k: F.size(F.filter(o, lambda x: x != k))
+    confused = sum((other(o, k) for k, o in enumerate(owners)), F.lit(0))
     return confused, sum((F.size(o) for o in owners), F.lit(0))
 
 

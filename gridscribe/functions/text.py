@@ -40,7 +40,7 @@ def plain_numbers(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split after . ! or ? where a capital follows; blanks are dropped."""
     parts = F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+(?=[A-Z])", -1)
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def severity(text: Column, table=SEVERITY) -> Column:

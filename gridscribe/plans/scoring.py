@@ -274,9 +274,9 @@ _ABLATED = f"""
 profiled AS (SELECT table_id, mode, reference, table_text, unnest({list(PROFILES)}) AS profile_name, generated AS raw FROM candidates),
 firsts AS (SELECT *, regexp_extract(raw, '(\\d+\\.\\d)%', 1) AS p FROM profiled),
 ablated0 AS (SELECT *, list_filter(string_split(raw, '. '), lambda x: NOT regexp_matches(lower(x), 'fatal|\\bsae\\b|grade 3')) AS calm,
-  strpos(raw, p || '%') AS at, cast(replace(p, '.', '') AS bigint) + 12 AS t FROM firsts),
+  strpos(raw, p || '%') AS pos, cast(replace(p, '.', '') AS bigint) + 12 AS t FROM firsts),
 ablated AS (SELECT table_id, mode, profile_name, reference, table_text, CASE profile_name
-  WHEN 'no_gate' THEN substr(raw, 1, at - 1) || (t // 10) || '.' || (t % 10) || substr(raw, at + length(p))
+  WHEN 'no_gate' THEN substr(raw, 1, pos - 1) || (t // 10) || '.' || (t % 10) || substr(raw, pos + length(p))
   WHEN 'no_arm_parser' THEN replace(replace(replace(raw, 'Placebo', '~'), 'Drug A', 'Placebo'), '~', 'Drug A')
   WHEN 'no_severity' THEN CASE WHEN len(calm) > 0 THEN array_to_string(calm, '. ') || CASE WHEN calm[-1] LIKE '%.' THEN '' ELSE '.' END ELSE raw END
   ELSE raw END AS generated FROM ablated0)"""
