@@ -14,7 +14,7 @@ from .common import components, cut, packed, small_batches, table, unpacked
 
 COSINE, BLOCKS = 0.95, 4
 #: Vectors of a part of a cell; a task compares two parts.
-CELL_ROWS = 4096
+CELL_ROWS = 16_384
 #: Slack of squared distances: rounding of the rotation stays far below.
 SLACK = 1e-9
 
@@ -144,7 +144,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     product holds them to the budget, and what is left of all blocks is compared exactly in double precision.
 
     Equal vectors are one from the start, with their number: they are never paired. Cells with many vectors are cut into parts of
-    4096 and every two parts are a task, so no task holds a whole group; tasks return counts and a spanning forest,
+    16384 and every two parts are a task, so no task holds a whole group; tasks return counts and a spanning forest,
     not pairs. More vectors get a finer grid; this changes the work, not the result.
 
     Vectors that are null, empty, zero, or hold null or non-finite components have no links. Vectors of different lengths have
