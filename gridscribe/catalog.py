@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import parsing, scoring
+from .plans import curation, parsing, results, retrieval, scoring
 
-PLANS = (scoring, parsing)
+PLANS = (scoring, parsing, results, curation, retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
