@@ -17,7 +17,10 @@ SAMPLE = 2500
 FEATURES = 2048
 #: Bytes of the prefix features.
 PREFIX = 6
-REJECT_AT = 0.5
+#: A feature must be in this share of the toxic sample (2 to 10 documents of it) and this much likelier there, in log odds.
+SUPPORT, TELLING = 0.01, 1.5
+#: What rejecting a clean document costs against missing a toxic one, as shares of their classes.
+FALSE_COST = 20.0
 
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
@@ -41,12 +44,14 @@ def _counted(doc: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 class Ordinal:
     """P(grade <= k) = sigmoid(cuts[k] - w.x): one weight of each feature for all cuts, x = log(1 + count).
 
-    Without labels of both classes there is no model: keys and cuts are empty and every severity is 0.
+    Documents whose score w.x reaches `reject` are rejected. Without labels of both classes there is no model: keys and cuts are
+    empty and every severity is 0.
     """
 
     keys: np.ndarray
     weights: np.ndarray
     cuts: np.ndarray
+    reject: float = np.inf
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if not len(self.keys):
@@ -62,7 +67,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - scores[:, None], -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 250, l2: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered cuts of a cumulative-link model by full-batch Adam; cuts are a first one and positive steps."""
     n, m = x.shape
     par = np.zeros(m + grades - 1)
@@ -90,12 +95,25 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 250
     return par[:m], par[m] + np.concatenate([[0.0], np.cumsum(np.exp(par[m + 1 :]))])
 
 
+def best_cut(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """The score above which rejecting costs least on the sample: the middle of the widest of equally good gaps, always above 0."""
+    seen = np.unique(np.append(scores, 0.0))
+    seen = seen[seen >= 0]
+    middle = np.append((seen[1:] + seen[:-1]) / 2, seen[-1] + 1)
+    width = np.append(np.diff(seen), 0.0)
+    missed = np.searchsorted(np.sort(scores[toxic == 1]), middle) / max(1, (toxic == 1).sum())
+    wrong = 1 - np.searchsorted(np.sort(scores[toxic == 0]), middle) / max(1, (toxic == 0).sum())
+    cost = missed + FALSE_COST * wrong
+    return float(middle[np.lexsort((-width, cost))[0]])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, features: int = FEATURES) -> Ordinal:
     """The model of `labels` (id, toxic 0/1), fitted on at most `sample` documents of each class.
 
-    Grades: 0 for documents that are not toxic; toxic ones whose rate of telling words is at most the median of the toxic
-    sample have grade 1, the others grade 2. Cuts are moved from the sample's balance of classes to that of all labels. What comes to the
-    driver: `features` counted features and as many numbers of each sampled document at most.
+    Grades: 0 for documents that are not toxic; toxic ones with at most the median number of telling words of the toxic
+    sample have grade 1, the others grade 2. Cuts are moved from the sample's balance of classes to that of all labels. Of near copies in
+    the sample (same least hash of five words) one per class counts, else the words of a much copied document would pass for telling ones. What
+    comes to the driver: `features` counted features and as many numbers of each sampled document at most.
     """
     none = Ordinal(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     labels = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)").dropDuplicates(["_id"])
@@ -114,42 +132,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 doc, of, words = _features(part.column("_text"))
                 doc, of, n = _counted(doc, of)
                 off = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32())
-                size = pa.array(np.diff(words.first).astype(np.int64))
+                runs, whole = words.runs(5)
+                key = np.full(part.num_rows, 2**63, np.uint64)
+                np.minimum.at(key, words.doc[: len(runs)][whole], runs[whole])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_toxic"), size, pa.ListArray.from_arrays(off, pa.array(of)), pa.ListArray.from_arrays(off, pa.array(n.astype(np.int32)))],
-                    ["toxic", "size", "of", "n"])
+                    [part.column("_toxic"), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(off, pa.array(of)), pa.ListArray.from_arrays(off, pa.array(n.astype(np.int32)))],
+                    ["toxic", "key", "of", "n"])
 
     small_batches(docs.sparkSession)
-    rows = cut(rows.mapInArrow(featured, "toxic int, size bigint, of array<bigint>, n array<int>"))
+    rows = rows.mapInArrow(featured, "toxic int, key bigint, of array<bigint>, n array<int>")
+    rows = cut(rows.dropDuplicates(["toxic", "key"]))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return none
     seen = rows.select("toxic", F.explode("of").alias("of")).groupBy("of").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
     odds = F.log((F.col("p") + 0.5) / (sizes[1] + 1.0) / ((F.col("q") + 0.5) / (sizes[0] + 1.0)))
-    top = seen.select("of", odds.alias("odds"), (odds * F.sqrt(F.col("p") + F.col("q"))).alias("z")).orderBy(F.abs("z").desc(), "of").limit(features)
-    top = sorted((r["of"], r["odds"], r["z"]) for r in top.collect())
-    keys = np.array([k for k, _, _ in top], np.int64)
-    telling = np.array([odds > 1.5 and z > 6 for _, odds, z in top])
+    seen = seen.where(F.col("p") >= max(2, min(10, SUPPORT * sizes[1]))).select("of", odds.alias("odds"), (odds * F.sqrt(F.col("p") + F.col("q"))).alias("z"))
+    keys = np.array(sorted(r["of"] for r in seen.where(F.col("odds") >= TELLING).orderBy(F.desc("z"), "of").limit(features).collect()), np.int64)
+    if not len(keys):
+        return none
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(k, i) for i, k in enumerate(keys.tolist())], "of bigint, at int"))
-    flat = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "toxic", "size", F.explode(F.arrays_zip("of", "n")).alias("x")).select("row", "toxic", "size", F.col("x.of").alias("of"), F.col("x.n").alias("n"))
-    flat = flat.join(wanted, "of").groupBy("row", "toxic", "size").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-    got = sorted(flat.collect())
+    flat = rows.select("toxic", "key", F.explode(F.arrays_zip("of", "n")).alias("x")).join(wanted, F.col("x.of") == F.col("of"))
+    flat = flat.groupBy("toxic", "key").agg(F.collect_list("at").alias("at"), F.collect_list("x.n").alias("n"))
+    got = rows.select("toxic", "key").join(flat, ["toxic", "key"], "left").orderBy("toxic", "key").collect()
     x = np.zeros((len(got), len(keys)), np.float32)
-    rate = np.zeros(len(got))
+    told = np.zeros(len(got))
     for i, r in enumerate(got):
-        x[i, r["at"]] = np.log1p(np.array(r["n"], np.float32))
-        rate[i] = sum(n for k, n in zip(r["at"], r["n"]) if telling[k]) / max(1, r["size"])
+        if r["at"]:
+            x[i, r["at"]] = np.log1p(np.array(r["n"], np.float32))
+            told[i] = sum(r["n"])
     toxic = np.array([r["toxic"] for r in got])
     if len(set(toxic.tolist())) < 2:
         return none
-    grade = np.where(toxic == 0, 0, np.where(rate <= np.median(rate[toxic == 1]), 1, 2))
+    grade = np.where(toxic == 0, 0, np.where(told <= np.median(told[toxic == 1]), 1, 2))
     weights, cuts = fit_ordinal(x, grade, 3)
     shift = np.log((totals[0] / sizes[0]) / (totals[1] / sizes[1]))
-    return Ordinal(keys, weights, cuts + shift)
+    return Ordinal(keys, weights, cuts + shift, best_cut(x @ weights, toxic))
 
 
 def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
-    """docs with _severity (expected grade, 0 to 2), _p_toxic (of grade 1 or more) and _rejected, for whole texts.
+    """docs with _severity (expected grade, 0 to 2), _p_toxic (of grade 1 or more) and _rejected (the severity reaches
+    that of the model's rejecting score), for whole texts.
 
     Null and empty texts have no feature and are not rejected. Each row by itself, so ties, repeated rows and empty tables need
     nothing special; further columns stay, columns named like the results are replaced.
@@ -159,11 +182,12 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in chunks(batch, text_col):
-                above = model.above(model.scores(part.column(text_col)))
+                scores = model.scores(part.column(text_col))
+                above = model.above(scores)
                 blank = np.asarray(pc.fill_null(pc.binary_length(part.column(text_col)), 0)) == 0
                 p = np.where(blank | (above.shape[1] == 0), 0.0, above[:, 0] if above.shape[1] else 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(np.where(blank, 0.0, above.sum(1))), pa.array(p), pa.array(p >= REJECT_AT)],
+                    [*part.columns, pa.array(np.where(blank, 0.0, above.sum(1))), pa.array(p), pa.array((scores >= model.reject) & ~blank)],
                     [*part.schema.names, "_severity", "_p_toxic", "_rejected"])
 
     small_batches(docs.sparkSession)
