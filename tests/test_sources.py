@@ -1,12 +1,12 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gridscribe.sources import files
 from gridscribe.streaming.incremental import append_stream
 
-SCHEMA = StructType.fromDDL("id bigint, t string")
+SCHEMA = StructType([StructField("id", LongType()), StructField("t", StringType())])
 
 
 def test_jsonl(spark, tmp_path):
