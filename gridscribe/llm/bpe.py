@@ -16,7 +16,7 @@ from .common import appending, chunks, small_batches, table
 #: Pieces encoded side by side have at most this many bytes; longer ones are encoded one by one.
 WIDE = 64
 #: Encoded pieces that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

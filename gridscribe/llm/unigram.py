@@ -14,7 +14,7 @@ from .common import appending, chunks, small_batches, table
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
