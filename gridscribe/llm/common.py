@@ -38,10 +38,13 @@ def appending(df: DataFrame, run, extra: str) -> DataFrame:
 
 
 def packed(df: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """The columns of `roles` (column: role) under their roles, all others in one struct _rest: no name of theirs can clash."""
-    rest = [c for c in df.columns if c not in roles]
-    struct = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("int")
-    return df.select(*[F.col(f"`{c}`").alias(r) for c, r in roles.items()], struct.alias("_rest"))
+    """The columns of `roles` (column: role) under their roles, all others, if any, in one struct _rest: no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in roles]
+    return df.select(*[F.col(f"`{c}`").alias(r) for c, r in roles.items()], *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def rest_of(df: DataFrame) -> list[str]:
+    return ["_rest"] if "_rest" in df.columns else []
 
 
 def unpacked(df: DataFrame, columns: list[str], roles: dict[str, str], results: dict) -> DataFrame:
@@ -168,7 +171,7 @@ class Words:
         return b" ".join(data[s:e].tobytes() for s, e in zip(self.start[i:j].tolist(), self.end[i:j].tolist()))
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
+def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of the batch with about `most` bytes of text at the most; a longer text is a slice of its own."""
     col = batch.column(column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64)
@@ -182,8 +185,20 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
         yield batch.slice(at)
 
 
+def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the sets of i and j; label points to the least member."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        if len(i):
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label[:] = label[label]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id that each id of the undirected edges (a, b) reaches.
+    """(id, comp): the smallest id that each id of the undirected edges (a, b) reaches; those smallest ids themselves have no row.
 
     Alternating large-star and small-star rounds on deduplicated edges: the number of rounds grows with the logarithm of
     the longest chain, the rows never exceed the edges, and no id gathers its neighbours in one task (only minima are

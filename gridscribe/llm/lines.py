@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import packed, table, unpacked
+from .common import packed, rest_of, table, unpacked
 
 MIN_CHARS, MIN_DOCS = 40, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,6 +37,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     roles = {id_col: "_id", text_col: "_text"}
     rows = packed(docs, roles)
+    rest = rest_of(rows)
     held = rows.where("_id is not null").select(
         F.col("_id").alias("at"),
         F.explode(F.array_distinct(F.filter(F.transform(F.split("_text", "\n", -1), lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))).alias("h"))
@@ -46,8 +47,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1)
     kept = F.when(F.col("lost").isNull(), lines).otherwise(
         F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("lost"), line_hash(x, min_chars)), F.lit(True))))
-    rows = rows.join(lost.hint("shuffle_hash"), F.col("_id") == F.col("at"), "left").select("_id", "_rest", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-    rows = rows.select("_id", "_rest", "n_lines", F.size("kept").cast("long").alias("n_left"), F.array_join("kept", "\n").alias("_text"))
+    rows = rows.join(lost.hint("shuffle_hash"), F.col("_id") == F.col("at"), "left").select("_id", *rest, F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    rows = rows.select("_id", *rest, "n_lines", F.size("kept").cast("long").alias("n_left"), F.array_join("kept", "\n").alias("_text"))
     return unpacked(rows, docs.columns, roles, {"_n_lines": F.col("n_lines"), "_n_dropped": F.col("n_lines") - F.col("n_left")})
 
 

@@ -6,15 +6,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Words, chunks, components, cut, mix64, small_batches, table
+from .common import Words, chunks, components, cut, join_labels, mix64, small_batches, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 36 bands of 6 rows: two documents of similarity 0.8 share no band with a chance of 2e-5, of 0.2 a band with one of 2e-3.
 BANDS, ROWS = 36, 6
-#: Pairs are compared word by word unless their signatures agree in so few places that 0.8 is 7 standard deviations away.
-SKETCH_FLOOR = 0.6
+#: Documents of a part of a group; a task compares two parts.
+PART = 512
 #: Pairs of so many rows at most are broadcast to find their texts; more are joined by a shuffle.
-FEW_PAIRS = 5_000
+FEW_PAIRS = 200_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,11 +88,11 @@ def bag_minhash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: in
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(_id, f1, f2, n, sig, bands) of documents with words: multiset fingerprint, size, one byte of each place, band hashes."""
+    """(_id, f1, f2, n, bands) of documents with words: multiset fingerprint, size, band hashes."""
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "_text", 1 << 21):
+            for part in chunks(batch, "_text", 1 << 20):
                 words = Words(part.column("_text"))
                 doc, key, weight = shingles(words)
                 sig = bag_minhash(doc, key, weight, part.num_rows, BANDS * ROWS)
@@ -111,10 +111,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 off = pa.array(np.arange(0, BANDS * len(some) + 1, BANDS), pa.int32())
                 yield pa.RecordBatch.from_arrays([
                     part.column("_id").take(pa.array(some)), pa.array(sums[0][some]), pa.array(sums[1][some]), pa.array(n[some]),
-                    pa.array([x.tobytes() for x in sig[some].astype(np.uint8)], pa.binary()),
-                    pa.ListArray.from_arrays(off, pa.array(band[some].view(np.int64).ravel()))], ["_id", "f1", "f2", "n", "sig", "bands"])
+                    pa.ListArray.from_arrays(off, pa.array(band[some].view(np.int64).ravel()))], ["_id", "f1", "f2", "n", "bands"])
 
-    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, f1 bigint, f2 bigint, n bigint, sig binary, bands array<bigint>")
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, f1 bigint, f2 bigint, n bigint, bands array<bigint>")
 
 
 def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -137,12 +136,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "ta", 1 << 21):
+            for part in chunks(batch, "ta", 1 << 20):
                 hit = pa.array(overlap(part.column("ta"), part.column("tb")) >= THRESHOLD)
                 yield part.select(["a", "b"]).filter(hit)
 
     texts = docs.select("_id", "_text")
-    if pairs.count() <= FEW_PAIRS:  # their ids fit a broadcast; the texts of those alone are shuffled
+    if pairs.count() <= FEW_PAIRS:  # their ids fit a broadcast of some MB; the texts of those alone are shuffled
         ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
         texts = texts.join(F.broadcast(ids), "_id", "left_semi")
     rows = pairs.join(texts.withColumnsRenamed({"_id": "a", "_text": "ta"}), "a").join(texts.withColumnsRenamed({"_id": "b", "_text": "tb"}), "b")
@@ -150,17 +149,82 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.select("a", "b").schema)
 
 
-def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in enough places to be compared."""
+def joined_within(texts: pa.Array, comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes that link, as (class, class) pairs of a spanning forest: all texts of `left` against all of `right`, exactly.
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= SKETCH_FLOOR))
-
-    rows = pairs.join(sigs.withColumnsRenamed({"_id": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"_id": "b", "sig": "sb"}), "b")
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, rows.select("a", "b").schema)
+    Each occurrence of a shingle is a column of 0 and 1, so products of the rows are the multisets' overlaps; columns that one text alone
+    has are left out, and the others come in slices.
+    """
+    doc, key, weight = shingles(Words(texts))
+    n, size = len(texts), np.bincount(doc, weight, len(texts))
+    row = np.repeat(doc, weight)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(weight) - weight, weight)
+    _, column, seen = np.unique(mix64(np.repeat(key, weight) + nth.astype(np.uint64) * _GOLD), return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, (int(column[-1]) + 1) if len(column) else 0, 4096):
+        x = np.zeros((n, 4096), np.float32)
+        p, q = np.searchsorted(column, (lo, lo + 4096))
+        x[row[p:q], column[p:q] - lo] = 1
+        common += x[left] @ x[right].T
+    both = size[left][:, None] + size[right][None, :] - common
+    i, j = np.nonzero((common / np.maximum(both, 1) >= THRESHOLD) & (comp[left][:, None] != comp[right][None, :]))
+    names, at = np.unique(comp, return_inverse=True)
+    label = np.arange(len(names))
+    join_labels(label, at[left[i]], at[right[j]])
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
+def _within(rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): classes that link, of all documents that the buckets of `rest` connect, compared in parts of PART documents.
+
+    No pair is a row: a task holds two parts of a group (or all of many small groups), multiplies them and returns a spanning forest.
+    """
+    lead = rest.groupBy("band").agg(F.min("_id").alias("lead"))
+    edges = rest.join(lead, "band").select(F.col("_id").alias("a"), F.col("lead").alias("b")).distinct()
+    group = cut(components(edges))
+    one = _grouped(rest, group)
+    size = one.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
+    placed = one.join(size, "grp").withColumn("mine", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    placed = placed.select("_id", "cls", "grp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("parts") == 1, F.pmod(F.xxhash64("grp"), F.lit(4096))).otherwise(F.col("grp")).alias("pack"))
+    rows = placed.join(docs.select("_id", "_text"), "_id")
+
+    def run(task: pa.Table) -> pa.Table:
+        task = task.combine_chunks()
+        grp, mine, cls = (task.column(c).to_numpy() for c in ("grp", "mine", "cls"))
+        i, j = task.column("i")[0].as_py(), task.column("j")[0].as_py()
+        texts = task.column("_text").chunk(0)
+        order = np.argsort(grp, kind="stable")
+        starts = np.flatnonzero(np.r_[True, grp[order][1:] != grp[order][:-1]]).tolist()
+        out = []
+        for s, e in zip(starts, [*starts[1:], len(order)]):
+            at = order[s:e]
+            if e - s > 1:
+                m = mine[at]
+                out.append(joined_within(texts.take(pa.array(at)), cls[at], np.flatnonzero(m == i), np.flatnonzero(m == j)))
+        a, b = (np.concatenate([x[k] for x in out]) if out else cls[:0] for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    kind = dict(rest.dtypes)["comp"]
+    return rows.groupBy("pack", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def _grouped(rest: DataFrame, group: DataFrame) -> DataFrame:
+    one = rest.groupBy("_id").agg(F.min("comp").alias("cls"))
+    return one.join(group.select(F.col("id").alias("_id"), F.col("comp").alias("grp")), "_id", "left").withColumn("grp", F.coalesce("grp", "_id"))
+
+
+def _stars(rest: DataFrame) -> DataFrame:
+    """(a, b): each document of the buckets with a lead, the smallest id of a bucket: the lead that it shares most bands with."""
+    lead = rest.groupBy("band").agg(F.min("_id").alias("lead"))
+    shared = rest.join(lead, "band").where("_id <> lead").groupBy("_id", "lead").agg(F.count("*").alias("k"))
+    best = shared.groupBy("_id").agg(F.min(F.struct((-F.col("k")).alias("k"), "lead")).alias("best"))
+    return best.select(F.least("_id", "best.lead").alias("a"), F.greatest("_id", "best.lead").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,9 +235,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unless already in one class.
 
     1. Documents with the same multiset are one representative from here on, however many they are.
-    2. Each representative is compared with one lead, the smallest id of the bucket that it shares most bands with: as many pairs as
-       documents, also for buckets with a third of all rows.
-    3. Only in buckets that now hold several classes, pairs of different classes follow, all of them: first by signature, then exactly.
+    2. Each representative is compared with the lead of one of its buckets, the one that it shares most bands with, and those that
+       link are joined: as many pairs as documents, also for buckets with a third of all rows.
+    3. Documents of buckets that still hold several classes are compared all with all, within what these
+       buckets connect, in parts of 512 documents: tasks multiply occurrence matrices and return a spanning forest, so no pair is a row.
 
     Null or empty texts have no row here and stay by themselves. Rows with the same id are one document. Null ids have no row. Empty
     table: no rows. Other columns play no part.
@@ -185,25 +250,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = sketched.select("_id", "f1", "f2", "n").join(same, ["f1", "f2", "n"]).select("_id", "rep", "copies")
     reps = sketched.join(same.select(F.col("rep").alias("_id"), "f1", "f2", "n"), ["_id", "f1", "f2", "n"], "left_semi")
     rows = reps.select("_id", F.explode("bands").alias("band"))
-    leads = rows.groupBy("band").agg(F.min("_id").alias("lead"), F.max("_id").alias("last")).where("lead < last").select("band", "lead")
-    shared = cut(rows.join(leads, "band"))
-    first = shared.where("_id > lead").groupBy("_id", "lead").agg(F.count("*").alias("k"))
-    first = first.groupBy("_id").agg(F.min_by("lead", F.struct(-F.col("k"), "lead")).alias("a")).select("a", F.col("_id").alias("b"))
-    links = cut(verified(cut(first), docs))
-    comp = components(links)
-    label = lambda df: df.join(comp, df["_id"] == comp["id"], "left").withColumn("comp", F.coalesce("comp", "_id")).drop("id")
-    labelled = cut(label(shared.select("band", "_id")))
-    mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    rest = cut(labelled.join(mixed, "band"))
-    x, y = rest.select("band", F.col("_id").alias("a"), F.col("comp").alias("ca")), rest.select("band", F.col("_id").alias("b"), F.col("comp").alias("cb"))
-    second = x.join(y, "band").where("a < b and ca <> cb").select("a", "b").distinct()
-    second = cut(_alike(second, reps.select("_id", "sig")))
-    more = verified(second, docs)
-    joined = more.join(comp.withColumnsRenamed({"id": "a", "comp": "ca"}), "a", "left").join(comp.withColumnsRenamed({"id": "b", "comp": "cb"}), "b", "left")
-    joined = cut(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    above = components(joined).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-    final = label(member.select("_id", "rep", "copies").withColumnsRenamed({"_id": "me", "rep": "_id"}))
-    final = final.join(above, "comp", "left").select(F.col("me").alias("_id"), F.coalesce("top", "comp").alias("class_id"), "copies")
+    crowded = rows.groupBy("band").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("band")
+    labelled = cut(rows.join(crowded, "band").withColumn("comp", F.col("_id")))
+    labels = cut(labelled.groupBy("_id").agg(F.min("comp").alias("comp")))
+    for last in (False, True):
+        held = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"))
+        mixed = cut(held.groupBy("band").agg(F.count("*").alias("classes")).where("classes > 1").select("band"))
+        if mixed.isEmpty():
+            break
+        rest = cut(labelled.join(mixed, "band"))
+        if last:
+            edges = _within(rest, docs)
+        else:
+            links = verified(cut(_stars(rest)), docs)
+            of = lambda side: labels.select(F.col("_id").alias(side), F.col("comp").alias(f"c{side}"))  # noqa: E731,B023
+            edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        step = components(cut(edges))
+        step = cut(step.select(F.col("id").alias("comp"), F.col("comp").alias("top")))
+        relabel = lambda df: cut(df.join(step, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top"))  # noqa: E731,B023
+        labels, labelled = relabel(labels), relabel(rest)
+    found = labels.select(F.col("_id").alias("rep"), F.col("comp"))
+    final = member.join(found, "rep", "left").select("_id", F.coalesce("comp", "rep").alias("class_id"), "copies")
     return final.dropDuplicates(["_id"])
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, chunks, partitions, small_batches, table
+from .common import Words, chunks, packed, partitions, rest_of, small_batches, table, unpacked
 
 WINDOW = 50
 #: Words of an anchor run. A window's anchor is the least hash of its runs of so many words.
@@ -57,24 +57,50 @@ def find_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(run, f"a bigint, _id {docs.schema['_id'].dataType.simpleString()}")
 
 
-def _marked(part: pa.RecordBatch, words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows whose anchor is among the _marks of some text of the part: a superset costs time, not correctness."""
+def _wanted(part: pa.RecordBatch, words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (first word, anchor in 32 bits) whose anchor is among the _marks of their own text."""
     starts, a = anchored(words, window, anchor)
-    marks = np.unique(part.column("_marks").values.to_numpy(zero_copy_only=False)) if part.num_rows else np.zeros(0, np.int64)
-    hit = np.isin(a, marks)
-    return starts[hit], a[hit]
+    column = part.column("_marks")
+    off = column.offsets.to_numpy()
+    marks = column.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].astype(np.int64)
+    wanted = np.unique((np.repeat(np.arange(part.num_rows), np.diff(off)) << 32) | (marks & 0xFFFFFFFF))
+    hit = np.isin((words.doc[starts] << 32) | (a & 0xFFFFFFFF), wanted)
+    return starts[hit], a[hit].astype(np.int32)
+
+
+def _stretches(starts: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each run of adjoining windows with one anchor."""
+    if not len(starts):
+        return starts, starts
+    first = np.flatnonzero(np.r_[True, (starts[1:] != starts[:-1] + 1) | (a[1:] != a[:-1])])
+    return first, np.r_[first[1:], len(starts)] - 1
+
+
+def find_stretches(marked: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(s, a, _id): hash of the words that adjoining windows of one recurring anchor cover."""
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "_text"):
+                words = Words(part.column("_text"))
+                starts, a = _wanted(part, words, window, anchor)
+                first, last = _stretches(starts, a)
+                s = words.stretches(starts[first], starts[last] + window).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(a[first]), pa.array(_ids(part)[words.doc[starts[first]]])], ["s", "a", "_id"])
+
+    return marked.mapInArrow(run, f"s bigint, a int, _id {marked.schema['_id'].dataType.simpleString()}")
 
 
 def find_windows(marked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(w, _id, a): hash, document and anchor (32 bits) of the windows with an anchor that recurs."""
+    """(w, _id, a): hash, document and anchor of single windows with a marked anchor."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "_text"):
                 words = Words(part.column("_text"))
-                starts, a = _marked(part, words, window, anchor)
-                w = words.runs(window)[0][starts].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(_ids(part)[words.doc[starts]]), pa.array(a.astype(np.int32))], ["w", "_id", "a"])
+                starts, a = _wanted(part, words, window, anchor)
+                w = words.runs(window)[0][starts].view(np.int64) if len(starts) else starts
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(_ids(part)[words.doc[starts]]), pa.array(a)], ["w", "_id", "a"])
 
     return marked.mapInArrow(run, f"w bigint, _id {marked.schema['_id'].dataType.simpleString()}, a int")
 
@@ -86,22 +112,10 @@ def cut_passages(owners: DataFrame, window: int, anchor: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "_text"):
                 words = Words(part.column("_text"))
-                starts, full = anchored(words, window, anchor)
-                a = full.astype(np.int32)
-                doc = words.doc[starts]
-                column = part.column("_marks")
-                off = column.offsets.to_numpy()
-                marks = column.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].astype(np.int64)
-                wanted = np.unique((np.repeat(np.arange(part.num_rows), np.diff(off)) << 32) | (marks & 0xFFFFFFFF))
-                hit = np.flatnonzero(np.isin((doc << 32) | (a.astype(np.int64) & 0xFFFFFFFF), wanted))
-                if not len(hit):
-                    continue
-                s, x, d = starts[hit], a[hit], doc[hit]
-                new = np.r_[True, (s[1:] != s[:-1] + 1) | (x[1:] != x[:-1])]
-                first = np.flatnonzero(new)
-                last = np.r_[first[1:], len(s)] - 1
-                texts = [words.joined(i, j) for i, j in zip(s[first].tolist(), (s[last] + window).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(_ids(part)[d[first]]), pa.array(x[first]), pa.array(texts, pa.string())], ["owner", "a", "passage"])
+                starts, a = _wanted(part, words, window, anchor)
+                first, last = _stretches(starts, a)
+                texts = [words.joined(i, j) for i, j in zip(starts[first].tolist(), (starts[last] + window).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(_ids(part)[words.doc[starts[first]]]), pa.array(a[first]), pa.array(texts, pa.string())], ["owner", "a", "passage"])
 
     return owners.mapInArrow(run, f"owner {owners.schema['_id'].dataType.simpleString()}, a int, passage string")
 
@@ -213,6 +227,11 @@ def list_sizes(column: pa.Array) -> np.ndarray:
     return np.where(np.asarray(column.is_null()), 0, np.diff(off))
 
 
+def with_marks(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Texts of marked documents; marks are hashed, so that the texts need no sort."""
+    return texts.join(marks.hint("shuffle_hash"), "_id")
+
+
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with _n_words, _n_removed (long) and _kept (the words that stay, joined by one space).
 
@@ -220,11 +239,13 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Each window has an anchor, the least hash of its 12-word runs: equal windows have equal anchors, and one in twenty words
        begins a new one. Anchors of two documents or more recur.
-    2. Windows with such an anchor are hashed; those that two documents hold are confirmed, and the smallest id owns them.
-    3. The owner's text gives the passages (windows of one anchor that adjoin). Each document is sent those that confirmed
-       windows of its own name; per slice of documents they are compiled to automata of bounded size, through which
-       the documents of that slice are streamed. Occurrences are compared word by word, so hashes only propose. A document that is sent nothing
-       holds no confirmed window and stays as it is.
+    2. The words that adjoining windows of such an anchor cover are a stretch, hashed as a whole; a stretch that two documents
+       hold is confirmed, and the smallest id owns it. Where an anchor has different stretches, their windows are hashed one by one, and
+       those that two first holders share are confirmed in the same way. So copies are confirmed by a row per stretch, and only
+       the edges of passages by a row per window.
+    3. The owners' texts give the passages. Each document is sent those that it was confirmed to share; per slice of documents
+       they are compiled to automata of bounded size, through which the documents of that slice are streamed. Occurrences are
+       compared word by word, so hashes only propose. A document that is sent nothing holds no confirmed window and stays as it is.
 
     Only hashes and passages are shuffled besides one pass of the texts, which three joins share. A passage that a third of all documents share is one owner and small
     aggregates; each document gets passages in proportion to its own repeated words.
@@ -235,32 +256,40 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("_n_words", "_n_removed", "_kept", "_passages")
-    n = partitions(spark)
-    texts = docs.withColumnsRenamed({id_col: "_id", text_col: "_text"}).repartition(n, "_id")
+    roles = {id_col: "_id", text_col: "_text"}
+    rows = packed(docs, roles)
+    texts = rows.where("_id is not null").repartition(partitions(spark), "_id")
     bare = texts.select("_id", "_text")
-    anchors = find_anchors(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null"), window, ANCHOR)
+    anchors = find_anchors(rows.where("_id is not null").select("_id", "_text"), window, ANCHOR)
     recurring = anchors.groupBy("a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("a")
     marks = anchors.join(recurring, "a").groupBy("_id").agg(F.collect_set("a").alias("_marks"))
-    windows = find_windows(bare.join(marks, "_id"), window, ANCHOR)
+    stretches = find_stretches(with_marks(bare, marks), window, ANCHOR)
+    # the conditions below always hold: with them, both uses of a step read the same columns and Spark reuses its exchange
+    held = stretches.groupBy("s", "a").agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).where("owner <= last").select("s", "a", "owner", "last")
+    whole = stretches.join(held.where("owner < last").select("s", "owner"), "s").where("_id > owner").select("_id", "owner", "a")
+    varied = held.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    marks = held.join(varied, "a").groupBy(F.col("owner").alias("_id")).agg(F.collect_set("a").alias("_marks"))
+    windows = find_windows(with_marks(bare, marks), window, ANCHOR)
     owned = windows.groupBy("w").agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).where("owner < last").select("w", "owner")
-    links = windows.join(owned, "w").where("_id > owner").select("_id", "owner", "a").distinct()
-    sources = links.select("owner", "a").distinct().groupBy("owner").agg(F.collect_list("a").alias("_marks")).withColumnRenamed("owner", "_id")
-    passages = cut_passages(bare.join(sources, "_id"), window, ANCHOR)
+    parts = windows.join(owned, "w").where("_id > owner").select("_id", "owner", "a")
+    links = whole.union(parts).groupBy("_id", "owner", "a").agg(F.count("*").alias("k")).where("k > 0").select("_id", "owner", "a")
+    sources = links.groupBy("owner").agg(F.collect_set("a").alias("_marks")).withColumnRenamed("owner", "_id")
+    passages = cut_passages(with_marks(bare, sources), window, ANCHOR)
     sent = links.join(passages, ["owner", "a"]).groupBy("_id").agg(F.collect_list(F.struct("owner", "passage")).alias("_passages"))
-    rows = texts.join(sent, "_id", "left")
+    nameless = rows.where("_id is null").withColumn("_passages", F.lit(None).cast(sent.schema["_passages"].dataType))
+    rows = texts.join(sent.hint("shuffle_hash"), "_id", "left").unionByName(nameless)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "_text"):
                 n_words, n_removed, kept = strip_occurrences(part, window)
                 names = [c for c in part.schema.names if c != "_passages"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64)), kept], [*names, "_n_words", "_n_removed", "_kept"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64)), kept], [*names, "n_words", "n_removed", "kept"])
 
-    order = [c if c not in (id_col, text_col) else {id_col: "_id", text_col: "_text"}[c] for c in docs.columns]
-    rows = rows.select(*order, "_passages")
-    fields = [f for f in rows.schema.fields if f.name != "_passages"] + StructType.fromDDL("_n_words bigint, _n_removed bigint, _kept string").fields
-    return rows.mapInArrow(run, StructType(fields)).withColumnsRenamed({"_id": id_col, "_text": text_col})
+    rows = rows.select("_id", "_text", *rest_of(rows), "_passages")
+    fields = [f for f in rows.schema.fields if f.name != "_passages"] + StructType.fromDDL("n_words bigint, n_removed bigint, kept string").fields
+    results = {"_n_words": F.col("n_words"), "_n_removed": F.col("n_removed"), "_kept": F.col("kept")}
+    return unpacked(rows.mapInArrow(run, StructType(fields)), docs.columns, roles, results)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

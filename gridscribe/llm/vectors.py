@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, cut, packed, small_batches, table, unpacked
+from .common import components, cut, join_labels, packed, small_batches, table, unpacked
 
 COSINE, BLOCKS = 0.95, 4
 #: Vectors of a part of a cell; a task compares two parts.
@@ -80,18 +80,6 @@ def cells(reps: DataFrame, blocks: int, cosine: float, grid: int) -> DataFrame:
     return reps.mapInArrow(run, f"cell string, home boolean, rep {kinds['rep']}, copies bigint, embedding {kinds['embedding']}")
 
 
-def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Joins the sets of i and j; label points to the least member."""
-    while len(i):
-        a, b = label[i], label[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        if len(i):
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (label[label] != label).any():
-                label[:] = label[label]
-
-
 def links_in(cell: str, target: np.ndarray, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, among: bool, blocks: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """For the vectors x of a task: copies of linked partners of each, and the least id it is linked to here through links.
 
@@ -132,7 +120,7 @@ def links_in(cell: str, target: np.ndarray, x: np.ndarray, ids: np.ndarray, copi
             a, b = a[near], b[near]
             np.add.at(count, a, copies[b])
             np.add.at(count, b, copies[a])
-            _join_labels(label, rank[a], rank[b])
+            join_labels(label, rank[a], rank[b])
     return count, ids[order][label[rank]]
 
 
