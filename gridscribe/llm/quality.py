@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import cut, packed, table, unpacked
 
 #: Documents below this many words, or with more than this share of words in repeated runs of three, fail before the method judges.
 MIN_WORDS, MOST_REPEATED = 50, 0.5
-#: Limits of the Jensen-Shannon distance (0 to 1) of the character classes and of the common words.
-MOST_CLASSES, MOST_WORDS = 0.30, 0.50
+#: Limit of the Jensen-Shannon distance (0 to 1) of the character classes. That of the common words is a share of the distance that
+#: a text without any of them has in its language, and leaves room for so many times the square that chance gives a text of its length.
+MOST_CLASSES, MOST_WORDS, CHANCE = 0.30, 0.40, 2.0
 #: Common words of a language: so many, of so many letters at most.
 COMMON, COMMON_LETTERS = 8, 4
 SPACE = r"[\x20\x09-\x0D]+"
@@ -101,9 +104,10 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(_lang, classes, common, common_counts): histograms of each language over all of its documents.
+    """(r_lang, r_classes, r_common, r_counts, r_reach): histograms of each language over all of its documents.
 
     Common words are the COMMON most frequent of at most four letters, ties by code point; the last count is of all other words.
+    r_reach is the word distance of a text that holds none of them: the most there is but for texts swamped by one.
     One row per language; sums and counts are combined before they are shuffled, so a language of most documents is no hot task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -121,9 +125,18 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     joined = classes.join(best, "_lang", "left")
     common = F.coalesce(F.col("top.w"), F.array().cast("array<string>"))
     counts = F.coalesce(F.transform("top", lambda x: (-x["n"]).cast("double")), F.array().cast("array<double>"))
-    return joined.select(
+    refs = joined.select(
         F.col("_lang").alias("r_lang"), F.array(*[f"c{i}" for i in range(7)]).alias("r_classes"), common.alias("r_common"),
         let(counts, lambda c: F.concat(c, F.array(F.col("words") - F.aggregate(c, F.lit(0.0), lambda s, v: s + v)))).alias("r_counts"))
+    without = F.concat(F.transform("r_common", lambda w: F.lit(0.0)), F.array(F.lit(1.0)))
+    return refs.withColumn("r_reach", distance(without, F.col("r_counts")))
+
+
+def most_words(n: Column) -> Column:
+    """The square of the limit of the word distance for n words. That of a text of its language's own words has the mean k / (8 ln 2 n) for k
+    common words; where a language uses them so little that a text of n words may well hold none, the limit is above r_reach."""
+    by_chance = F.size("r_common") / (8 * math.log(2) * F.greatest(n, F.lit(1)))
+    return F.pow(MOST_WORDS * F.col("r_reach"), 2) + CHANCE * by_chance
 
 
 def _by_count():
@@ -137,7 +150,7 @@ def judge_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     The references are made of all documents, language by language. A document that passes the base rules (50 words, and at
     most half of them in repeated runs of three) is kept unless its character classes or its common words are further from
-    its language's than the limits. Documents below 50 words get no verdict of the method: their histograms say too little.
+    its language's than the limits; the limit of the common words follows the language and the document's length. Documents below 50 words get no verdict of the method: their histograms say too little.
 
     Null and empty texts: all counts 0, base failed. Null languages form one of their own. Each row is judged by itself: repeated
     rows and ties need nothing special. Empty table: no rows. Further columns stay; columns named like the results are replaced.
@@ -155,7 +168,7 @@ def judge_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         "by_class": F.when(n >= MIN_WORDS, distance(F.array(*[c.cast("double") for c in class_counts()]), F.col("r_classes"))),
         "by_word": F.when(n >= MIN_WORDS, distance(own, F.col("r_counts"))),
     })
-    kept = ~F.col("failed") & (F.col("by_class") <= MOST_CLASSES) & (F.col("by_word") <= MOST_WORDS)
+    kept = ~F.col("failed") & (F.col("by_class") <= MOST_CLASSES) & (F.pow("by_word", F.lit(2)) <= most_words(n))
     return unpacked(rows, docs.columns, roles, {
         "_n_words": n, "_word_chars": F.col("_word_chars"), "_n_symbols": F.col("_symbols"), "_n_dup_lines": F.col("_n_dup_lines"), "_n_repeat_words": repeated,
         "_class_distance": F.col("by_class"), "_word_distance": F.col("by_word"), "_base_failed": F.col("failed"), "_kept": F.coalesce(kept, F.lit(False))})

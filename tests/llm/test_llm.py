@@ -185,6 +185,25 @@ def test_op4_distance_is_zero_for_equal_and_one_for_apart(spark):
     assert (r["same"], round(r["apart"], 9), r["empty"]) == (0.0, 1.0, 0.0)
 
 
+def test_op4_rejects_word_salad_and_wrong_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang in ('en', 'de')")
+    good = docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id").where("size(split(trim(text), '[ \\n]+')) >= 50").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(5)
+    salad = [(-1 - i, " ".join("".join(rng.choice(list("bdfgklmnprstvaeiou"), rng.integers(5, 9))) for _ in range(n)), lang) for i, (n, lang) in enumerate([(50, "en"), (50, "de"), (400, "en"), (400, "de")])]
+    wrong = good.orderBy("doc_id").limit(40).select((F.col("doc_id") + 10**6).alias("doc_id"), "text", F.when(F.col("lang") == "en", "de").otherwise("en").alias("lang"))
+    got = {r["doc_id"]: r for r in quality.judge_quality(docs.unionAll(wrong).unionAll(spark.createDataFrame(salad, docs.schema))).drop("text").collect()}
+    others = [r for d, r in got.items() if (d < 0 or d >= 10**6) and not r["_base_failed"] and r["_class_distance"] <= quality.MOST_CLASSES]
+    assert sum(r["doc_id"] < 0 for r in others) == 4 and len(others) > 30 and not any(r["_kept"] for r in others)
+    fine = [got[r["doc_id"]] for r in good.collect() if not got[r["doc_id"]]["_base_failed"]]
+    assert len(fine) > 100 and sum(r["_kept"] for r in fine) > 0.98 * len(fine)
+
+
+def test_op4_spares_languages_that_hardly_use_their_common_words(spark):
+    rng = np.random.default_rng(6)
+    docs = [(i, " ".join("ja" if i % 10 == 0 and k == 7 else "".join(rng.choice(list("bdfgklmnprstvaeiou"), 8)) for k in range(60)), "xx") for i in range(100)]
+    assert all(r["_kept"] for r in quality.judge_quality(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect())
+
+
 def test_op5_odd(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.NET/x?y"), (4, "https://b.example.net/en/1"), (5, "http://xnet/"), (6, "ftp://net"), (7, "http://www.cheap-pills.example.com/fr/"), (8, "http://m.example.com/de/?q"), (9, "http://a.org/fr/x#y"), (9, "")]
     got = [tuple(r[2:]) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id int, url string")).collect()]
