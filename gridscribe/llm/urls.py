@@ -15,11 +15,11 @@ _LOWER = str.maketrans(UPPER, LOWER)
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts with its path; the longest wins.
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: (pattern over the A-Z lower-cased url, literal tokens that any match holds): a fit blocks the url.
+#: (pattern over the A-Z lower-cased url, literal tokens that any match holds): a fit blocks the url. Of tokens parted by | a match holds one.
 PATTERN_RULES = (
     (r"://([^/?#]*\.)?cheap-pills\.", ("cheap", "pills")),
     (r"[/.-]cheap[-_/](meds|pharmacy)\b", ("cheap",)),
-    (r"\bonline[-_.]?casino\b", ("casino",)),
+    (r"\bonline[-_.]?casino\b", ("casino|onlinecasino",)),
     (r"\bcasino[-_/]bonus\b", ("casino", "bonus")),
     (r"\bfree[-_]download[-_]crack\b", ("free", "download", "crack")),
     (r"/torrent/[0-9a-z-]+", ("torrent",)),
@@ -47,16 +47,19 @@ def tokens(url: str) -> list[str]:
 
 def literal_counts(urls: DataFrame, url_col: str, literals: list[str]) -> dict[str, int]:
     """In how many urls of the whole table each literal of the rules is; as many rows come back as the rules have literals."""
+    literals = sorted({t for ls in literals for t in ls.split("|")})
     found = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.translate(url_col, UPPER, LOWER), F.lit("[0-9a-z]+"), 0))).alias("t"))
     return {r.t: r.n for r in found.where(F.col("t").isin(literals)).groupBy("t").agg(F.count("*").alias("n")).collect()}
 
 
 def token_index(rules, counts: dict[str, int]) -> dict[str, list[re.Pattern]]:
-    """Rules by their rarest literal token; of equally rare ones the longest, then the first by code point."""
+    """Rules by their rarest literal token (tokens of which a match holds one count together, and each fetches the rule); of equally
+    rare ones the longest, then the first by code point."""
     index: dict[str, list[re.Pattern]] = {}
     for pattern, literals in rules:
-        key = min(literals, key=lambda t: (counts.get(t, 0), -len(t), t))
-        index.setdefault(key, []).append(re.compile(pattern, re.ASCII))
+        keys = min(literals, key=lambda ts: (sum(counts.get(t, 0) for t in ts.split("|")), -len(ts), ts))
+        for key in keys.split("|"):
+            index.setdefault(key, []).append(re.compile(pattern, re.ASCII))
     return index
 
 

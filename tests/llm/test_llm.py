@@ -212,6 +212,26 @@ def test_op5_odd(spark):
         ("www.cheap-pills.example.com", "/fr/", None, "block"), ("m.example.com", "/de/", "example.com/de/", "block"), ("a.org", "/fr/x", "org/fr/", "allow"), ("", "", None, "allow")]
 
 
+#: Urls that fit each of the pattern rules, one way and another.
+FITTING = [
+    ("http://cheap-pills.org/", "http://a.cheap-pills.b.org/x"), ("http://a.org/cheap-meds", "http://cheap.org/x-cheap_pharmacy"), ("http://www.onlinecasino.org/en/1", "http://online-casino.org/", "http://a.org/online_casino", "http://online.casino.org/"),
+    ("http://casino-bonus.org/", "http://a.org/casino/bonus"), ("http://a.org/free-download_crack",), ("http://a.org/torrent/x-1",), ("http://replica_watches.org",), ("http://payday-loan.org", "http://a.org/payday_loans"),
+    ("http://a.org/login/verify-account",), ("http://win-prize.org", "http://a.org/win_a-prize"), ("http://xxx.org", "http://a-xxx-b.org"), ("http://a.org/?aff_id=1&redirect=x", "http://a.org/?x&affiliate_id=12;&redirect="),
+]
+
+
+def test_op5_index_loses_no_match(spark):
+    assert len(FITTING) == len(urls.PATTERN_RULES)
+    for (pattern, literals), fitting in zip(urls.PATTERN_RULES, FITTING):
+        for literal in literals:  # whichever is the rarest
+            index = urls.token_index([(pattern, (literal,))], {})
+            assert all(re.search(pattern, u, re.ASCII) and any(t in index for t in urls.tokens(u)) for u in fitting)
+    made_up = [(u,) for us in FITTING for u in us] + [(f"http://{a}online{b}casino{c}.org/{d}",) for a in ("", "my", "my-") for b in ("", "-", "_", ".", "x") for c in ("", "s", "-1") for d in ("", "casino")]
+    got = {r["url"]: (r["_rule"], r["_verdict"]) for r in urls.judge_urls(spark.createDataFrame(made_up, "url string")).collect()}
+    for (u,) in made_up:
+        assert got[u] == (None, "block" if any(re.search(p, u, re.ASCII) for p, _ in urls.PATTERN_RULES) else "allow")
+
+
 def test_op6_odd(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["_copies"] <= 3 for r in rows) and mixing.mix(none).count() == 0
