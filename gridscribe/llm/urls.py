@@ -32,6 +32,30 @@ PATTERN_RULES = (
 )
 
 
+def _host_rule(first: str, second: str = "", literals: tuple[str, ...] = ()) -> tuple[str, tuple[str, ...]]:
+    """A rule for a host that holds `first`, or `first` and `second` in either order, as whole tokens joined by one hyphen."""
+    body = f"(({first})-({second})|({second})-({first}))" if second else f"({first})"
+    return rf"://([^/?#]*[.@-])?{body}([.:/?#-]|$)", literals or (first,)
+
+
+#: Pattern rules by tokens of the host for gambling, betting, advertising and tracking, spam, and adult hosts. A token that plain hosts have too
+#: blocks beside another telling one only. op5_url_filters doesn't run them: its verdicts are those of its SQL, which is made of PATTERN_RULES.
+GENERAL_RULES = (
+    _host_rule("casino|casinos", "win|wins|bonus|bonuses|game|games|slot|slots|online|royal|vegas|jackpot|spin|spins|live|club|best|top|free|mobile|poker"),
+    _host_rule("poker|slots|jackpot|roulette|blackjack", "win|wins|bonus|online|vegas|spin|spins|live|free|room|rooms|best|top|mobile"),
+    _host_rule("bet|bets|betting", "free|best|live|online|sport|sports|tips|odds|bonus|win|site|sites|football"),
+    _host_rule("ad|ads|adverts|banner|banners", "track|tracker|trackers|tracking|server|servers|click|clicks|network|pixel|serve|count|counter"),
+    _host_rule("click|pixel|visitor|user", "track|tracker|trackers|tracking"),
+    _host_rule("adserver|adservers|adtrack|adtracker|adtracking|doubleclick|clicktrack|clicktracker"),
+    _host_rule("spam|link|seo", "farm|farms"),
+    _host_rule("spam", "links|mail|mailer|blast|offers|deals|seo"),
+    _host_rule("spamfarm|linkfarm"),
+    _host_rule("adult", "x|xx|video|videos|cam|cams|chat|dating|tube|sex|porn|movies|pics"),
+    _host_rule("porn|porno|pornos|xxx|sexcam|sexcams"),
+    _host_rule("sex|nude|nudes", "cam|cams|chat|video|videos|tube|pics|live|free|dating"),
+)
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """(host, path); both empty for a null or a url without ``://``."""
     _, mark, rest = (url or "").partition("://")

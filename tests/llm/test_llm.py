@@ -232,6 +232,22 @@ def test_op5_index_loses_no_match(spark):
         assert got[u] == (None, "block" if any(re.search(p, u, re.ASCII) for p, _ in urls.PATTERN_RULES) else "allow")
 
 
+def test_op5_general_rules(spark):
+    words = lambda s: s.split()
+    bad = words("casino-win free-bets ads-track spam-farm adult-x casino-bonus best-casino casinos-online poker-room live-betting bet-365.sports-bet ad-server click-tracker adserver spam-mailer link-farm porn adult-dating xxx free-sex")
+    plain = words("casino monte-carlo-casino casino-de-paris anti-spam stop-spam track-and-field tracking read-ads farm-shop adult-education adult-learning better-homes alphabets tibet sussex-live slots timeslots link spam essex-chat online-shop free-download win the-ads userguide bet-el")
+    made_up = [(f"http{s}://{sub}{h}.example.org{end}",) for h in bad + plain for s, sub in (("", ""), ("s", "www."), ("", "m.")) for end in ("", "/en/1.html", ":80/a", "?x=casino-win", "#top")]
+    rows = urls.judge_urls(spark.createDataFrame(made_up, "url string"), pattern_rules=urls.GENERAL_RULES, host_rules=()).collect()
+    assert {r["url"] for r in rows if r["_verdict"] == "block"} == {u for u, in made_up if any(f"/{h}.example" in u or f".{h}.example" in u for h in bad)}
+    for pattern, literals in urls.GENERAL_RULES:  # whichever literal is the rarest, the index fetches the rule where it fits
+        fitting = [u for u, in made_up if re.search(pattern, u, re.ASCII)]
+        assert all(any(t in urls.token_index([(pattern, (x,))], {}) for t in urls.tokens(u)) for x in literals for u in fitting)
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url")
+    got = urls.judge_urls(pages, pattern_rules=urls.PATTERN_RULES + urls.GENERAL_RULES).where("_rule is null").collect()
+    spam = re.compile(r"[.]?(casino-win|free-bets|ads-track|spam-farm|cheap-pills|adult-x)[.]")
+    assert sum(r["_verdict"] == "block" for r in got) > 50 and all((r["_verdict"] == "block") == bool(spam.search(r["_host"])) for r in got)
+
+
 def test_op6_odd(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["_copies"] <= 3 for r in rows) and mixing.mix(none).count() == 0
