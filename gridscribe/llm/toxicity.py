@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .common import Words, appending, chunks, cut, small_batches, table
 
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Grades: 0 for documents that are not toxic; toxic ones with at most the median number of telling words of the toxic
     sample have grade 1, the others grade 2. Cuts are moved from the sample's balance of classes to that of all labels. Of near copies in
-    the sample (same least hash of five words) one per class counts, else the words of a much copied document would pass for telling ones. What
+    the sample (same least hash of five words; below five words, the same words) that of the smallest id counts in each class, else the words of a much copied document would pass for telling ones. What
     comes to the driver: `features` counted features and as many numbers of each sampled document at most.
     """
     none = Ordinal(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
@@ -135,13 +136,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 runs, whole = words.runs(5)
                 key = np.full(part.num_rows, 2**63, np.uint64)
                 np.minimum.at(key, words.doc[: len(runs)][whole], runs[whole])
+                short = np.flatnonzero(np.diff(words.first) < 5)
+                key[short] = words.stretches(words.first[short], words.first[short + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_toxic"), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(off, pa.array(of)), pa.ListArray.from_arrays(off, pa.array(n.astype(np.int32)))],
-                    ["toxic", "key", "of", "n"])
+                    [part.column("_id"), part.column("_toxic"), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(off, pa.array(of)), pa.ListArray.from_arrays(off, pa.array(n.astype(np.int32)))],
+                    ["_id", "toxic", "key", "of", "n"])
 
     small_batches(docs.sparkSession)
-    rows = rows.mapInArrow(featured, "toxic int, key bigint, of array<bigint>, n array<int>")
-    rows = cut(rows.dropDuplicates(["toxic", "key"]))
+    schema = StructType([rows.schema["_id"], *StructType.fromDDL("toxic int, key bigint, of array<bigint>, n array<int>").fields])
+    rows = rows.mapInArrow(featured, schema).groupBy("toxic", "key").agg(F.min_by(F.struct("of", "n"), "_id").alias("x"))
+    rows = cut(rows.select("toxic", "key", "x.of", "x.n"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return none

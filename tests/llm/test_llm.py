@@ -304,6 +304,27 @@ def test_op8_odd(spark, odd, none):
     assert toxicity.score(none, model).count() == 0 and len(toxicity.fit(none, labels).keys) == 0 == len(toxicity.fit(odd, labels.where("toxic = 0")).keys)
 
 
+def test_op8_learns_from_short_comments(spark):
+    toxic, clean = [f"you vile {w}" for w in ("fool", "rat", "pig", "cow", "dog", "ape")], [f"nice {w} today" for w in ("view", "walk", "song", "cake", "book", "hat")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*toxic, *clean, "vile", "", "you vile fool", "a vile thing to say", "nice day"])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(12)], "doc_id bigint, toxic int")
+    rejected = {r["doc_id"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("_rejected").collect()}
+    assert rejected >= set(range(6)) | {14} and not rejected & {*range(6, 12), 13, 16}
+
+
+def test_op8_counts_the_near_copy_of_the_smallest_id(spark):
+    import pyarrow as pa
+
+    base = " ".join(f"{x}{y}" for x in "bcdfghklmn" for y in "aeiouptsrz")
+    texts = ["aa bb", "aa bb", "aa cc", base + " left left", base + " right right", "right left", *[f"fine {x}{x}{x}" for x in "abcdefghij"]]
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(len(texts))], "doc_id bigint, toxic int")
+    of = lambda w: set(toxicity._features(pa.array([w]))[1].tolist())
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
+        docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id bigint, text string").coalesce(1)
+        keys = set(toxicity.fit(docs, labels).keys.tolist())
+        assert of("left") & keys and of("aa") & keys and not of("right") & keys and not of("bb") & keys
+
+
 def test_op8_gradient_orders_the_grades():
     rng = np.random.default_rng(0)
     grade = rng.integers(0, 3, 300)
