@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_quality_rules": quality.SQL,
     "op5_url_filters": urls.SQL,
     "op6_mixing": mixing.SQL,
     "op10_line_dedup": lines.SQL,
