@@ -11,12 +11,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import appending, chunks, small_batches, table
+from .common import appending, chunks, table
 
 #: Pieces encoded side by side have at most this many bytes; longer ones are encoded one by one.
 WIDE = 64
-#: Encoded pieces that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+#: Bytes of encoded pieces that a worker remembers within a partition; beyond it the memory starts anew.
+REMEMBERED = 24 << 20
+#: Bytes that a remembered piece takes besides its letters and ids.
+PIECE_BYTES = 200
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -71,7 +73,11 @@ class ByteBpe:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist()))
         self.merged_list = self.merged.tolist()
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     # -- one piece ------------------------------------------------------------------------------------------------
     def encode_one(self, piece: bytes) -> list[int]:
@@ -213,9 +219,11 @@ class ByteBpe:
             else:
                 cut.append(find(text) if text else [])
                 fresh.update(cut[-1])
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn(fresh.difference(self.known))
+        if self.size > REMEMBERED:
+            self.forget()
+        fresh.difference_update(self.known)
+        self.learn(fresh)
+        self.size += sum(map(len, fresh)) + PIECE_BYTES * len(fresh)
         get = self.known.__getitem__
         out = []
         for parts in cut:
@@ -226,8 +234,9 @@ class ByteBpe:
         return out
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        """The text of ids; ids outside the vocabulary are skipped, bytes that are no UTF-8 become U+FFFD."""
+        get = self.bytes_of.get
+        return b"".join([get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -235,31 +244,41 @@ def tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def _encoding(path: str, text_col: str, decoding: bool):
+    def run(batches):
+        bpe = tokenizer(path)
+        try:
+            for batch in batches:
+                for part in chunks(batch, text_col):
+                    ids = bpe.encode_texts(part.column(text_col).to_pylist())
+                    more = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                    if decoding:
+                        more.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *["_ids", "_n_tokens", "_decoded"][: len(more)]])
+        finally:
+            bpe.forget()
+
+    return run
+
+
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with _ids (binary: little-endian unsigned 32-bit ids of the whole text) and _n_tokens (long).
 
     Null and empty texts have no ids. A text that names an added token gives that token's id there, as the library does. Each
-    text is encoded by itself, so ties, repeated rows and empty tables need nothing special; further columns stay, and columns
-    named like the results are replaced. No shuffle; a worker holds one batch and a bounded memory of pieces.
+    text is encoded by itself, so ties, repeated rows and empty tables need nothing special; a very long text is a slice of its own. Further columns stay, and columns
+    named like the results are replaced. No shuffle; a worker holds one batch and a bounded memory of pieces, given back at the end of a partition.
     """
-    docs = docs.drop("_ids", "_n_tokens")
-    path = path or vocabulary_path()
+    return appending(docs.drop("_ids", "_n_tokens"), _encoding(path or vocabulary_path(), text_col, False), "_ids binary, _n_tokens bigint")
 
-    def run(batches):
-        bpe = tokenizer(path)
-        for batch in batches:
-            for part in chunks(batch, text_col):
-                ids = bpe.encode_texts(part.column(text_col).to_pylist())
-                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), counts], [*part.schema.names, "_ids", "_n_tokens"])
 
-    small_batches(docs.sparkSession)
-    return appending(docs, run, "_ids binary, _n_tokens bigint")
+def round_trip(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass of one worker: docs with _ids, _n_tokens and _decoded, the text of these ids."""
+    docs = docs.drop("_ids", "_n_tokens", "_decoded")
+    return appending(docs, _encoding(path or vocabulary_path(), text_col, True), "_ids binary, _n_tokens bigint, _decoded string")
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "_ids") -> DataFrame:
-    """encoded with _decoded: the text of its ids. Null ids give a null; ids outside the vocabulary raise an error."""
-    encoded = encoded.drop("_decoded")
+    """encoded with _decoded: the text of its ids. Null ids give a null; ids outside the vocabulary are skipped, as the library does."""
     path = path or vocabulary_path()
 
     def run(batches):
@@ -269,11 +288,10 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "_ids") -
                 texts = [None if x is None else bpe.decode(x) for x in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "_decoded"])
 
-    small_batches(encoded.sparkSession)
-    return appending(encoded, run, "_decoded string")
+    return appending(encoded.drop("_decoded"), run, "_decoded string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = decode(encode(docs).drop("text"))
+    rows = round_trip(docs)
     return rows.select("doc_id", F.col("_n_tokens").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_decoded", 256).alias("decoded_sha256"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+import re
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,10 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 #: Odd multipliers of the rolling hashes.
 _BYTE_MUL, _WORD_MUL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
+#: Powers that a worker remembers; longer texts compute theirs anew.
+MOST_POWERS = (1 << 19) + 2
+#: Bytes and rows of an Arrow batch, and bytes of text that are worked on at once; a longer text is a slice of its own.
+BATCH_BYTES, BATCH_ROWS, SLICE = 4 << 20, 2000, 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,14 +33,41 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the Arrow batches of the Python stages, so that very long texts do not pile up in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the Python stages by bytes and rows, so that long texts do not pile up in one.
+
+    Spark reads these settings when a plan runs, so they stay in the session; lower ones of the caller's own are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Gives free memory of this worker back to the machine: reused workers otherwise keep the most that any of their stages took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow whose worker gives its memory back at the end of each partition."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidy, schema)
 
 
 def appending(df: DataFrame, run, extra: str) -> DataFrame:
-    """mapInArrow whose batches are those of df with further columns (a DDL string) at the end."""
-    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(extra).fields]))
+    """in_arrow whose batches are those of df with further columns (a DDL string) at the end."""
+    return in_arrow(df, run, StructType([*df.schema.fields, *StructType.fromDDL(extra).fields]))
 
 
 def packed(df: DataFrame, roles: dict[str, str]) -> DataFrame:
@@ -56,11 +89,16 @@ def unpacked(df: DataFrame, columns: list[str], roles: dict[str, str], results:
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to spark.checkpoint.dir and read again: the lineage ends in a folder that all executors share.
 
-    Only where the setting is missing, as in tests on one machine, a folder of its own is set.
+    Where the setting is missing, only a session on one machine gets a folder of its own; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", f"/tmp/checkpoints/{uuid.uuid4().hex}"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -68,11 +106,11 @@ def powers(mul: int, inverse: bool, n: int) -> np.ndarray:
     """mul**i (or its inverse) modulo 2**64 for i < n."""
     have = _POWERS.get((mul, inverse))
     if have is None or len(have) < n:
-        base = pow(mul, -1, 2**64) if inverse else mul
-        have = np.full(max(n, 1 << 16), base, np.uint64)
+        have = np.full(max(n, 1 << 16), pow(mul, -1, 2**64) if inverse else mul, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _POWERS[mul, inverse] = have
+        if n <= MOST_POWERS:
+            _POWERS[mul, inverse] = have
     return have[:n]
 
 
@@ -171,7 +209,7 @@ class Words:
         return b" ".join(data[s:e].tobytes() for s, e in zip(self.start[i:j].tolist(), self.end[i:j].tolist()))
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+def chunks(batch: pa.RecordBatch, column: str, most: int = SLICE):
     """Slices of the batch with about `most` bytes of text at the most; a longer text is a slice of its own."""
     col = batch.column(column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64)

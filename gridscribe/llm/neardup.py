@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Words, chunks, components, cut, join_labels, mix64, small_batches, table
+from .common import Words, chunks, components, cut, in_arrow, join_labels, mix64, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 36 bands of 6 rows: two documents of similarity 0.8 share no band with a chance of 2e-5, of 0.2 a band with one of 2e-3.
@@ -113,7 +113,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     part.column("_id").take(pa.array(some)), pa.array(sums[0][some]), pa.array(sums[1][some]), pa.array(n[some]),
                     pa.ListArray.from_arrays(off, pa.array(band[some].view(np.int64).ravel()))], ["_id", "f1", "f2", "n", "bands"])
 
-    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, f1 bigint, f2 bigint, n bigint, bands array<bigint>")
+    return in_arrow(docs, run, f"_id {docs.schema['_id'].dataType.simpleString()}, f1 bigint, f2 bigint, n bigint, bands array<bigint>")
 
 
 def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -146,7 +146,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         texts = texts.join(F.broadcast(ids), "_id", "left_semi")
     rows = pairs.join(texts.withColumnsRenamed({"_id": "a", "_text": "ta"}), "a").join(texts.withColumnsRenamed({"_id": "b", "_text": "tb"}), "b")
     rows = rows.select("a", "b", "ta", "tb")
-    return rows.mapInArrow(run, rows.select("a", "b").schema)
+    return in_arrow(rows, run, rows.select("a", "b").schema)
 
 
 def joined_within(texts: pa.Array, comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +243,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or empty texts have no row here and stay by themselves. Rows with the same id are one document. Null ids have no row. Empty
     table: no rows. Other columns play no part.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
     sketched = cut(sketch(docs))
     same = sketched.groupBy("f1", "f2", "n").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, chunks, packed, partitions, rest_of, small_batches, table, unpacked
+from .common import Words, chunks, in_arrow, packed, partitions, rest_of, table, unpacked
 
 WINDOW = 50
 #: Words of an anchor run. A window's anchor is the least hash of its runs of so many words.
@@ -54,7 +54,7 @@ def find_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])]) if len(a) else starts
                 yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(_ids(part)[doc[new]])], ["a", "_id"])
 
-    return docs.mapInArrow(run, f"a bigint, _id {docs.schema['_id'].dataType.simpleString()}")
+    return in_arrow(docs, run, f"a bigint, _id {docs.schema['_id'].dataType.simpleString()}")
 
 
 def _wanted(part: pa.RecordBatch, words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def find_stretches(marked: DataFrame, window: int, anchor: int) -> DataFrame:
                 s = words.stretches(starts[first], starts[last] + window).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(a[first]), pa.array(_ids(part)[words.doc[starts[first]]])], ["s", "a", "_id"])
 
-    return marked.mapInArrow(run, f"s bigint, a int, _id {marked.schema['_id'].dataType.simpleString()}")
+    return in_arrow(marked, run, f"s bigint, a int, _id {marked.schema['_id'].dataType.simpleString()}")
 
 
 def find_windows(marked: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -102,7 +102,7 @@ def find_windows(marked: DataFrame, window: int, anchor: int) -> DataFrame:
                 w = words.runs(window)[0][starts].view(np.int64) if len(starts) else starts
                 yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(_ids(part)[words.doc[starts]]), pa.array(a)], ["w", "_id", "a"])
 
-    return marked.mapInArrow(run, f"w bigint, _id {marked.schema['_id'].dataType.simpleString()}, a int")
+    return in_arrow(marked, run, f"w bigint, _id {marked.schema['_id'].dataType.simpleString()}, a int")
 
 
 def cut_passages(owners: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -117,7 +117,7 @@ def cut_passages(owners: DataFrame, window: int, anchor: int) -> DataFrame:
                 texts = [words.joined(i, j) for i, j in zip(starts[first].tolist(), (starts[last] + window).tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(_ids(part)[words.doc[starts[first]]]), pa.array(a[first]), pa.array(texts, pa.string())], ["owner", "a", "passage"])
 
-    return owners.mapInArrow(run, f"owner {owners.schema['_id'].dataType.simpleString()}, a int, passage string")
+    return in_arrow(owners, run, f"owner {owners.schema['_id'].dataType.simpleString()}, a int, passage string")
 
 
 class Shard:
@@ -255,7 +255,6 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the results are replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     roles = {id_col: "_id", text_col: "_text"}
     rows = packed(docs, roles)
     texts = rows.where("_id is not null").repartition(partitions(spark), "_id")
@@ -289,7 +288,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("_id", "_text", *rest_of(rows), "_passages")
     fields = [f for f in rows.schema.fields if f.name != "_passages"] + StructType.fromDDL("n_words bigint, n_removed bigint, kept string").fields
     results = {"_n_words": F.col("n_words"), "_n_removed": F.col("n_removed"), "_kept": F.col("kept")}
-    return unpacked(rows.mapInArrow(run, StructType(fields)), docs.columns, roles, results)
+    return unpacked(in_arrow(rows, run, StructType(fields)), docs.columns, roles, results)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, appending, chunks, cut, small_batches, table
+from .common import Words, appending, chunks, cut, in_arrow, table
 
 #: Labelled documents of each class that the model is fitted on, at most; those with the smallest hash of the id.
 SAMPLE = 2500
@@ -142,9 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     [part.column("_id"), part.column("_toxic"), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(off, pa.array(of)), pa.ListArray.from_arrays(off, pa.array(n.astype(np.int32)))],
                     ["_id", "toxic", "key", "of", "n"])
 
-    small_batches(docs.sparkSession)
     schema = StructType([rows.schema["_id"], *StructType.fromDDL("toxic int, key bigint, of array<bigint>, n array<int>").fields])
-    rows = rows.mapInArrow(featured, schema).groupBy("toxic", "key").agg(F.min_by(F.struct("of", "n"), "_id").alias("x"))
+    rows = in_arrow(rows, featured, schema).groupBy("toxic", "key").agg(F.min_by(F.struct("of", "n"), "_id").alias("x"))
     rows = cut(rows.select("toxic", "key", "x.of", "x.n"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -194,7 +193,6 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
                     [*part.columns, pa.array(np.where(blank, 0.0, above.sum(1))), pa.array(p), pa.array((scores >= model.reject) & ~blank)],
                     [*part.schema.names, "_severity", "_p_toxic", "_rejected"])
 
-    small_batches(docs.sparkSession)
     return appending(docs, run, "_severity double, _p_toxic double, _rejected boolean")
 
 

@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import appending, chunks, small_batches, table
+from .common import appending, chunks, table
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-REMEMBERED = 500_000
+#: Words that a worker remembers within a partition; beyond it the memory starts anew.
+REMEMBERED = 150_000
 
 
 def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
@@ -114,12 +115,14 @@ def count_tokens(docs: DataFrame, path: str | None = None, text_col: str = "text
 
     def run(batches):
         c = counter(path)
-        for batch in batches:
-            for part in chunks(batch, text_col):
-                n = pa.array(np.array(c.count_texts(part.column(text_col).to_pylist()), np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, n], [*part.schema.names, "_n_tokens"])
+        try:
+            for batch in batches:
+                for part in chunks(batch, text_col):
+                    n = pa.array(np.array(c.count_texts(part.column(text_col).to_pylist()), np.int64))
+                    yield pa.RecordBatch.from_arrays([*part.columns, n], [*part.schema.names, "_n_tokens"])
+        finally:
+            c.known = {}
 
-    small_batches(docs.sparkSession)
     return appending(docs, run, "_n_tokens bigint")
 
 

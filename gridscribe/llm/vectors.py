@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, cut, join_labels, packed, small_batches, table, unpacked
+from .common import components, cut, in_arrow, join_labels, packed, table, unpacked
 
 COSINE, BLOCKS = 0.95, 4
 #: Vectors of a part of a cell; a task compares two parts.
@@ -77,7 +77,7 @@ def cells(reps: DataFrame, blocks: int, cosine: float, grid: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(home)), *(batch.column(c).take(take) for c in ("rep", "copies", "embedding"))], ["cell", "home", "rep", "copies", "embedding"])
 
     kinds = {f.name: f.dataType.simpleString() for f in reps.schema.fields}
-    return reps.mapInArrow(run, f"cell string, home boolean, rep {kinds['rep']}, copies bigint, embedding {kinds['embedding']}")
+    return in_arrow(reps, run, f"cell string, home boolean, rep {kinds['rep']}, copies bigint, embedding {kinds['embedding']}")
 
 
 def links_in(cell: str, target: np.ndarray, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, among: bool, blocks: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,6 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     none with each other. Rows with the same id are rows of their own in the counts. Null ids: no links. Empty table: no rows. Further
     columns stay; columns named like the results are replaced.
     """
-    small_batches(vectors.sparkSession)
     roles = {id_col: "_id", vector_col: "_vector"}
     columns, vectors = vectors.columns, packed(vectors, roles)
     fine = F.forall("_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("_vector", lambda x: x != 0)
