@@ -35,7 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text (little-endian unsigned 32-bit), their number, and the text that they decode to."""
-    rows = bpe.decode(bpe.encode(docs).drop("text"))
+    rows = bpe.round_trip(docs)
     return rows.select("doc_id", "lang", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_ids").alias("ids"), F.col("_decoded").alias("text"))
 
 
