@@ -11,8 +11,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
-#: Sub-blocks of a size bin of a source, so that no block holds more than a small part of a hot source.
-SUB_BLOCKS = 32
+#: Rows of a block of a size bin of a source, about: a bin is cut by ranges of the hash into as many blocks as the table has rows for.
+BLOCK_ROWS = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -57,25 +57,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """docs with _size, _source_size, _target, _copies: how often the mix takes each row.
 
     Each document of a source is expected target / source_size times. Within a source, documents stand in the order of
-    (size bin, hash of the id): the prefix sum of expected copies plus one random offset of the source is cut at each
+    (size bin, hash of the id, id, hash of the text): the prefix sum of expected copies plus one random offset of the source is cut at each
     integer, and a document is emitted once per integer it crosses, so copies differ by less than one from what is expected, and
-    taken words follow the target at every size. The prefix sum is over blocks (bin, 32 parts by hash) first and then within a
-    block: a source with a third of all rows is no single task.
+    taken words follow the target at every size. The prefix sum is over blocks (bin, range of the hash) first and then within a
+    block. Blocks get narrower with the number of rows, so a source with a third of all rows, or one common size, is no single task; how many
+    blocks there are changes no result, as they follow the order.
 
-    Null text: size 0. Null source: a source of its own, last. Empty table: no rows. Ties and repeated rows: each row is a
-    document; rows with the same id stand side by side in any order. Null ids stand first in their bin. Further columns stay;
+    Null text: size 0; very long texts are counted whole. Null source: a source of its own, last. Empty table: no rows. Ties and repeated rows: each row is a
+    document; rows with the same id are told apart by their texts, and rows that are the same in both may change places. Null ids stand first in their bin and hash. Further columns stay;
     columns beginning with "_size", "_source_size", "_target", "_copies" are replaced.
     """
     roles = {id_col: "_id", text_col: "_text", source_col: "_source"}
     rows = packed(docs, roles).withColumn("_size", n_words(F.col("_text")))
-    rows = rows.withColumns({"_bin": size_bin(F.col("_size")), "_h": hashed("coalesce(cast(_id as string), '')")}).withColumn("_sub", F.col("_h") % SUB_BLOCKS)
+    ranges = docs.agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_ranges"))
+    rows = rows.withColumns({"_bin": size_bin(F.col("_size")), "_h": hashed("coalesce(cast(_id as string), '')"), "_tie": F.xxhash64("_text")})
+    rows = rows.join(F.broadcast(ranges)).withColumn("_sub", F.floor(F.col("_h") * F.col("_ranges") / F.lit(float(1 << 32)))).drop("_ranges")
     blocks = rows.groupBy("_source", "_bin", "_sub").agg(F.count("*").alias("n"), F.sum("_size").alias("size"))
     sources = targets(blocks.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, most)
     ahead = Window.partitionBy("_source").orderBy("_bin", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     plan = blocks.join(sources, F.col("_source").eqNullSafe(F.col("source"))).select(
         F.col("_source").alias("b_source"), F.col("_bin").alias("b_bin"), F.col("_sub").alias("b_sub"), "ahead", "source_size", "target")
-    within = Window.partitionBy("_source", "_bin", "_sub").orderBy("_h", "_id")
+    within = Window.partitionBy("_source", "_bin", "_sub").orderBy("_h", "_id", "_tie")
     rows = rows.withColumn("_rank", F.row_number().over(within))
     rows = rows.join(plan, F.col("_source").eqNullSafe(F.col("b_source")) & (F.col("_bin") == F.col("b_bin")) & (F.col("_sub") == F.col("b_sub")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -87,8 +90,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def emit(mixed: DataFrame) -> DataFrame:
     """Each row as often as the mix takes it, with the columns of the documents."""
-    copies = F.explode(F.expr("sequence(1, cast(_copies as int))"))
-    return mixed.where("_copies > 0").withColumn("_copy", copies).drop("_copy", "_size", "_source_size", "_target", "_copies")
+    own = [c for c in mixed.columns if c not in ("_size", "_source_size", "_target", "_copies")]
+    times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_time")
+    return mixed.where("_copies > 0").select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), times).select(*[F.col("_row").getField(c).alias(c) for c in own])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +125,7 @@ shares AS (
     / sum(CASE WHEN NOT stopped THEN weight END) OVER () END AS target FROM halted),
 placed AS (
   SELECT b.*, s.source_size, s.target, CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0 END AS rate,
-    row_number() OVER (PARTITION BY b.source ORDER BY b.bin, b.h % 32, b.h, b.doc_id) AS n,
+    row_number() OVER (PARTITION BY b.source ORDER BY b.bin, b.h, b.doc_id) AS n,
     cast('0x' || substr(md5('mix:' || coalesce(b.source, '')), 1, 8) AS bigint) / 4294967296.0::double AS off
   FROM binned b JOIN shares s ON b.source IS NOT DISTINCT FROM s.source),
 counted AS (SELECT *, cast(floor(n * rate + off) - floor((n - 1) * rate + off) AS bigint) AS copies FROM placed)

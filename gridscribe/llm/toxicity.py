@@ -114,10 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Grades: 0 for documents that are not toxic; toxic ones with at most the median number of telling words of the toxic
     sample have grade 1, the others grade 2. Cuts are moved from the sample's balance of classes to that of all labels. Of near copies in
     the sample (same least hash of five words; below five words, the same words) that of the smallest id counts in each class, else the words of a much copied document would pass for telling ones. What
-    comes to the driver: `features` counted features and as many numbers of each sampled document at most.
+    comes to the driver: `features` counted features and as many numbers of each sampled document at most. Of rows with the same id the
+    least text counts, of labels of one id the higher, so that the model follows from the tables alone.
     """
     none = Ordinal(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    labels = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)").dropDuplicates(["_id"])
+    labels = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)").groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     totals = {r["_toxic"]: r["n"] for r in labels.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return none
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         part = labels.where(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample)
         chosen = part if chosen is None else chosen.unionAll(part)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).select("_id", "_text", "_toxic")
 
     def featured(batches):
         for batch in batches:

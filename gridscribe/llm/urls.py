@@ -39,7 +39,7 @@ def _host_rule(first: str, second: str = "", literals: tuple[str, ...] = ()) ->
 
 
 #: Pattern rules by tokens of the host for gambling, betting, advertising and tracking, spam, and adult hosts. A token that plain hosts have too
-#: blocks beside another telling one only. op5_url_filters doesn't run them: its verdicts are those of its SQL, which is made of PATTERN_RULES.
+#: blocks beside another telling one only.
 GENERAL_RULES = (
     _host_rule("casino|casinos", "win|wins|bonus|bonuses|game|games|slot|slots|online|royal|vegas|jackpot|spin|spins|live|club|best|top|free|mobile|poker"),
     _host_rule("poker|slots|jackpot|roulette|blackjack", "win|wins|bonus|online|vegas|spin|spins|live|free|room|rooms|best|top|mobile"),
@@ -55,6 +55,9 @@ GENERAL_RULES = (
     _host_rule("sex|nude|nudes", "cam|cams|chat|video|videos|tube|pics|live|free|dating"),
 )
 
+#: The pattern rules that the query runs.
+RULES = PATTERN_RULES + GENERAL_RULES
+
 
 def split_url(url: str | None) -> tuple[str, str]:
     """(host, path); both empty for a null or a url without ``://``."""
@@ -87,12 +90,12 @@ def token_index(rules, counts: dict[str, int]) -> dict[str, list[re.Pattern]]:
     return index
 
 
-def judge_urls(pages: DataFrame, url_col: str = "url", host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, url_col: str = "url", host_rules=HOST_RULES, pattern_rules=RULES) -> DataFrame:
     """pages with _host, _path, _rule (the host rule that fits, else null), _verdict (allow or block).
 
     The host rule decides where one fits. Elsewhere the url is cut into tokens, each token fetches the pattern rules that are
     indexed under it, and only those run: a fit blocks. Null urls and urls without ``://``: empty host and path; a null is allowed.
-    Repeated rows and empty tables need nothing special; further columns stay, columns named like the results are replaced.
+    Ties, repeated rows, very long urls and empty tables need nothing special; further columns stay, columns named like the results are replaced.
     The rules are a parameter that every worker gets; they do not grow with the data.
     """
     pages = pages.drop("_host", "_path", "_rule", "_verdict")
@@ -125,7 +128,7 @@ def _sql() -> str:
     fits = " ".join(
         f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
         for h, p, _ in sorted(HOST_RULES, key=lambda r: -len(r[0] + r[1])))
-    blocked = " OR ".join(f"regexp_matches(low, '{p}')" for p, _ in PATTERN_RULES)
+    blocked = " OR ".join(f"regexp_matches(low, '{p}')" for p, _ in RULES)
     verdicts = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in HOST_RULES)
     lower = f"'{UPPER}', '{LOWER}'"
     return f"""

@@ -229,7 +229,7 @@ def test_op5_index_loses_no_match(spark):
     made_up = [(u,) for us in FITTING for u in us] + [(f"http://{a}online{b}casino{c}.org/{d}",) for a in ("", "my", "my-") for b in ("", "-", "_", ".", "x") for c in ("", "s", "-1") for d in ("", "casino")]
     got = {r["url"]: (r["_rule"], r["_verdict"]) for r in urls.judge_urls(spark.createDataFrame(made_up, "url string")).collect()}
     for (u,) in made_up:
-        assert got[u] == (None, "block" if any(re.search(p, u, re.ASCII) for p, _ in urls.PATTERN_RULES) else "allow")
+        assert got[u] == (None, "block" if any(re.search(p, u, re.ASCII) for p, _ in urls.RULES) else "allow")
 
 
 def test_op5_general_rules(spark):
@@ -243,7 +243,7 @@ def test_op5_general_rules(spark):
         fitting = [u for u, in made_up if re.search(pattern, u, re.ASCII)]
         assert all(any(t in urls.token_index([(pattern, (x,))], {}) for t in urls.tokens(u)) for x in literals for u in fitting)
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url")
-    got = urls.judge_urls(pages, pattern_rules=urls.PATTERN_RULES + urls.GENERAL_RULES).where("_rule is null").collect()
+    got = urls.judge_urls(pages).where("_rule is null").collect()
     spam = re.compile(r"[.]?(casino-win|free-bets|ads-track|spam-farm|cheap-pills|adult-x)[.]")
     assert sum(r["_verdict"] == "block" for r in got) > 50 and all((r["_verdict"] == "block") == bool(spam.search(r["_host"])) for r in got)
 
