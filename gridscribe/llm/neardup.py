@@ -285,3 +285,21 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id").join(found, F.col("doc_id") == F.col("_id"), "left")
     cls = F.coalesce("class_id", "doc_id")
     return rows.select("doc_id", cls.alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), (F.col("doc_id") == cls).alias("kept"))
+
+
+#: All pairs of documents that share a shingle, compared exactly; who reaches whom by links gives the classes.
+SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+placed AS (SELECT doc_id, CASE WHEN len(ws) < {SHINGLE} THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + {SHINGLE} - 1], ' ') END AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - {SHINGLE} + 2))) AS i FROM d WHERE len(ws) > 0)),
+bags AS (SELECT doc_id, s, count(*) AS n FROM placed GROUP BY ALL),
+whole AS (SELECT doc_id, sum(n) AS size, md5(string_agg(s || chr(10) || n, chr(10) ORDER BY s)) AS bag FROM bags GROUP BY doc_id),
+same AS (SELECT bag, min(doc_id) AS rep, count(*) AS copies FROM whole GROUP BY bag),
+rep_bags AS (SELECT bags.* FROM bags JOIN same ON doc_id = rep),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS k FROM rep_bags x JOIN rep_bags y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM common JOIN whole p ON a = p.doc_id JOIN whole q ON b = q.doc_id WHERE k >= {THRESHOLD} * (p.size + q.size - k)),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT DISTINCT a AS id, a AS other FROM links UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a),
+classes AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(class_id, rep, d.doc_id) AS class_id, coalesce(copies, 1) AS copies, coalesce(class_id, rep, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN whole USING (doc_id) LEFT JOIN same USING (bag) LEFT JOIN classes ON rep = id"""

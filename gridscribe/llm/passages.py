@@ -294,3 +294,15 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+#: Every window of every document by its words.
+SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+placed AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS i FROM d),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {WINDOW} - 1], ' ')) AS k FROM placed),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM hits, (SELECT unnest(range(0, {WINDOW})) AS j)),
+one AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text, count(*) AS n FROM one ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""

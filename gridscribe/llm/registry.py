@@ -18,8 +18,11 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring_dedup": passages.SQL,
+    "op3_minhash_near_dedup": neardup.SQL,
     "op4_quality_rules": quality.SQL,
     "op5_url_filters": urls.SQL,
     "op6_mixing": mixing.SQL,
+    "op9_embedding_near_dedup": vectors.SQL,
     "op10_line_dedup": lines.SQL,
 }

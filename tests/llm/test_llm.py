@@ -276,6 +276,16 @@ def test_op6_words_come_near_their_targets(spark):
     assert all(abs(r["t"] - r["target"]) <= 2 * r["m"] for r in rows)
 
 
+def test_op6_blocks_change_nothing_and_ties_are_ordered(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40, f"w{i} " * (1 + i % 3), "ab"[i % 7 == 0], f"c{i}") for i in range(300)], "doc_id bigint, text string, source string, _copy string")
+    got = lambda df: sorted(map(str, mixing.mix(df).collect()))
+    want = got(docs)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 7)
+    assert got(docs) == want == got(docs.orderBy(F.rand(3)).repartition(5))
+    out = mixing.emit(mixing.mix(docs))
+    assert out.columns == docs.columns and out.where("_copy is null").count() == 0
+
+
 def test_op7_equals_the_library(spark, odd, none, documents):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -335,6 +345,51 @@ def test_op8_gradient_orders_the_grades():
     assert np.corrcoef(expected, grade)[0, 1] > 0.9
 
 
+def test_op8_fit_is_the_best_cumulative_link_model():
+    """Against the penalised likelihood written out term by term: no small step in any direction raises it."""
+    rng = np.random.default_rng(7)
+    grade = rng.integers(0, 3, 60)
+    x = np.c_[grade * 0.6 + rng.normal(0, 1, 60), rng.normal(0, 1, 60)].astype(np.float64)
+    w, cuts = toxicity.fit_ordinal(x, grade, 3, rounds=4000, rate=0.02)
+
+    def loss(w, cuts):
+        total = 0.0
+        for row, g in zip(x, grade):
+            below = [1 / (1 + np.exp(-(c - row @ w))) for c in cuts]
+            total -= np.log(([*below, 1.0][g]) - ([0.0, *below][g]))
+        return total / len(x) + 0.5 * 1e-4 * (w @ w)
+
+    best = loss(w, cuts)
+    for k in range(4):
+        for step in (-0.05, 0.05):
+            moved = np.r_[w, cuts]
+            moved[k] += step
+            assert loss(moved[:2], moved[2:]) > best - 1e-6
+
+
+def test_op9_query_on_planted_links(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 1, (60, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = []
+    for k, cos in enumerate([0.949, 0.9499, 0.9501, 0.951, 0.96, 0.99] * 5):  # just below and above the limit
+        other = rng.normal(0, 1, 64)
+        other -= (other @ base[k]) * base[k]
+        near.append(cos * base[k] + np.sqrt(1 - cos * cos) * other / np.linalg.norm(other))
+    x = np.concatenate([base, near, base[:3], near[:3]])
+    spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in vectors.op9_embedding_near_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T >= 0.95
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        label = np.array([label[s[i]].min() for i in range(len(x))])
+    assert got == [(i, int(s[i].sum()) - 1, int(label[i]), bool(label[i] == i)) for i in range(len(x))] and sum(r[1] for r in got) > 40
+    assert got == sorted(con.sql(registry.SQL["op9_embedding_near_dedup"]).select("vec_id, n_links, component_id, kept").fetchall())
+
+
 def test_op9(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(0, 1, (40, 16))
@@ -377,6 +432,23 @@ def test_components(spark):
     assert all(got.get(i, i) == 0 for i in range(61)) and got[102] == got[101] == 100 and 200 not in got
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, *r[1:4], len(r[1] or ""), r[5]) for i, r in enumerate(ODD)] + [(None, LONG, "en", "a", 5, "x"), (2, "same id", "en", "a", 7, "x")]
+    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (None, 1, 1), (3, None, None)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, "doc_id bigint, text string, lang string, source string, n_chars bigint, _id string")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            assert len(got) <= len(given) or name == "mixing"
+            assert name == "bpe" or out.columns == docs.columns
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _id string")
+    assert corpus_pipeline.line_dedup_stage(spark, docs.drop("n_chars"), str(tmp_path)).columns == [c for c in docs.columns if c != "n_chars"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
