@@ -5,9 +5,11 @@ No metric joins or shuffles: numbers of a table are some dozens, so tolerant sem
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType
 
-from .text import SEVERITY, arm_values, extract_numbers, facts, let, near, plain_numbers, sentences, tokens
+from .text import SEVERITY, arm_values, extract_numbers, facts, let, near, plain_numbers, sentences, token_numbers, tokens
 
 TOLERANCE = 0.01
 
@@ -38,9 +40,9 @@ def nar(gen: Column, src: Column) -> Column:
     return F.when(F.size(gen) == 0, F.lit(1.0)).otherwise(1 - F.size(ungrounded(gen, src)) / F.size(gen))
 
 
-def hallucinated(sents: Column, src: Column) -> Column:
-    """Sentences that hold an ungrounded number."""
-    return F.filter(sents, lambda s: F.size(ungrounded(extract_numbers(s), src)) > 0)
+def hallucinated(sents: Column, bad: Column) -> Column:
+    """Sentences that hold one of the text's ungrounded numbers. No number goes beyond a sentence, so the text's are those of its sentences."""
+    return F.filter(sents, lambda s: F.arrays_overlap(extract_numbers(s), bad))
 
 
 def omitted(source_facts: Column, gen: Column) -> Column:
@@ -48,20 +50,25 @@ def omitted(source_facts: Column, gen: Column) -> Column:
     return F.filter(source_facts, lambda f: ~F.exists(f["numbers"], lambda n: F.exists(gen, lambda g: near(g, n, TOLERANCE))))
 
 
-def drifts(gen: Column, src: Column) -> Column:
-    return F.transform(F.transform(gen, lambda g: F.struct(g.alias("g"), nearest(g, src).alias("s"))), lambda x: F.abs(x["g"] - x["s"]) / F.greatest(F.abs(x["s"]), F.lit(0.01)))
+def paired(gen: Column, src: Column) -> Column:
+    """(g, s): each number of the text with the nearest of the source."""
+    return F.transform(gen, lambda g: F.struct(g.alias("g"), nearest(g, src).alias("s")))
 
 
-def ndi(gen: Column, src: Column) -> Column:
+def relative(pairs: Column) -> Column:
+    return F.transform(pairs, lambda x: F.abs(x["g"] - x["s"]) / F.greatest(F.abs(x["s"]), F.lit(0.01)))
+
+
+def ndi(gen: Column, src: Column, pairs: Column | None = None) -> Column:
     """Mean relative distance to the nearest source number; 0 without numbers, 1 without source numbers."""
-    return F.when(F.size(gen) == 0, F.lit(0.0)).when(F.size(src) == 0, F.lit(1.0)).otherwise(mean(drifts(gen, src)))
+    pairs = paired(gen, src) if pairs is None else pairs
+    return F.when(F.size(gen) == 0, F.lit(0.0)).when(F.size(src) == 0, F.lit(1.0)).otherwise(mean(relative(pairs)))
 
 
-def risk_index(gen: Column, src: Column, sign: int) -> Column:
+def risk_index(gen: Column, src: Column, sign: int, pairs: Column | None = None) -> Column:
     """Mean relative size of differences to the nearest source number beyond half a unit to one side."""
-    moved = F.filter(F.transform(gen, lambda g: F.struct(g.alias("g"), nearest(g, src).alias("s"))), lambda x: sign * (x["g"] - x["s"]) > 0.5)
-    sizes = F.transform(moved, lambda x: F.abs(x["g"] - x["s"]) / F.greatest(F.abs(x["s"]), F.lit(0.01)))
-    return F.when((F.size(gen) > 0) & (F.size(src) > 0), mean(sizes)).otherwise(F.lit(0.0))
+    moved = F.filter(paired(gen, src) if pairs is None else pairs, lambda x: sign * (x["g"] - x["s"]) > 0.5)
+    return F.when((F.size(gen) > 0) & (F.size(src) > 0), let(relative(moved), mean)).otherwise(F.lit(0.0))
 
 
 def contraindication_omission(gen: Column, src: Column) -> Column:
@@ -96,18 +103,23 @@ def fluency(rouge_l: Column, bert: Column, meteor: Column) -> Column:
     return F.least(0.30 * rouge_l + 0.45 * bert + 0.25 * meteor, F.lit(1.0))
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two token arrays, a row of the table at a time."""
+def common_length(a, b) -> int:
+    """Length of the longest common subsequence of two lists, a row of the table as the bits of one integer."""
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & at.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
-    def step(prev: Column, x: Column) -> Column:
-        start = F.struct(F.array(F.lit(0)).alias("row"), F.lit(0).alias("left"))
-        fill = F.aggregate(F.zip_with(F.sequence(F.lit(1), F.size(b)), b, lambda j, y: F.struct(j.alias("j"), y.alias("y"))), start, lambda acc, e: let(
-            F.when(e["y"] == x, F.element_at(prev, e["j"]) + 1).otherwise(F.greatest(F.element_at(prev, e["j"] + 1), acc["left"])),
-            lambda v: F.struct(F.concat(acc["row"], F.array(v)).alias("row"), v.alias("left"))))
-        return fill["row"]
 
-    rows = F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), step)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(rows, -1)).otherwise(F.lit(0))
+@F.pandas_udf(IntegerType())
+def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """common_length of two token arrays, in Arrow batches; 0 for a null."""
+    return pd.Series([0 if x is None or y is None else common_length(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
 def rouge(gen: Column, ref: Column) -> dict[str, Column]:
@@ -152,22 +164,50 @@ def accuracy_vs_reference(gen: Column, ref: Column, tolerance: float = 1.01) ->
     return let(g, lambda n: let(r, lambda m: share(F.size(F.filter(m, lambda x: F.exists(n, lambda y: F.abs(x - y) <= tolerance))), F.size(m), 1.0)))
 
 
+#: Array columns that hang on the table alone.
+SOURCE_SIDE = ("_src", "_facts", "_sread")
+
+
+def with_source_side(df: DataFrame, table=SEVERITY, text_col: str = "table_text") -> DataFrame:
+    """df with the numbers, facts and tokens of its tables. Before texts of one table become rows of their own, so that each table is read once."""
+    src = F.col(text_col)
+    return df.withColumns({"_src": extract_numbers(src), "_facts": facts(src, table), "_sread": token_numbers(src)})
+
+
 def evaluate(df: DataFrame, arms: tuple[str, ...], radius: int = 30, table=SEVERITY) -> DataFrame:
-    """df (generated, reference, table_text, ...) with all grounded metrics, in one pass without a shuffle."""
+    """df (generated, reference, table_text, ...) with all grounded metrics, in one pass without a shuffle.
+
+    Numbers, facts and tokens of the tables are taken from with_source_side if df has them.
+    """
     gen, src = F.col("generated"), F.col("table_text")
-    rows = df.withColumns({
-        "_gen": extract_numbers(gen), "_src": extract_numbers(src), "_sents": sentences(gen), "_facts": facts(src, table),
-        **{f"_g{k}": arm_values(gen, a, radius) for k, a in enumerate(arms)}, **{f"_s{k}": arm_values(src, a, radius) for k, a in enumerate(arms)}})
+    if not set(SOURCE_SIDE) <= set(df.columns):
+        df = with_source_side(df, table)
+    rows = df.withColumns({"_gen": extract_numbers(gen), "_sents": sentences(gen), "_gread": token_numbers(gen)})
+    values = lambda read, a: arm_values(F.col(read), a, radius)
+    rows = rows.withColumns({**{f"_g{k}": values("_gread", a) for k, a in enumerate(arms)}, **{f"_s{k}": values("_sread", a) for k, a in enumerate(arms)}})
     g, s = F.col("_gen"), F.col("_src")
     gp, sp = [F.col(f"_g{k}") for k in range(len(arms))], [F.col(f"_s{k}") for k in range(len(arms))]
     confused, evaluated = confusion(gp, sp)
-    rows = rows.withColumns({"_gone": omitted(F.col("_facts"), g), "_bad": hallucinated(F.col("_sents"), s), "_confused": confused, "_evaluated": evaluated})
+    rows = rows.withColumns({"_gone": omitted(F.col("_facts"), g), "_lost": ungrounded(g, s), "_confused": confused, "_evaluated": evaluated, "_pairs": F.when(F.size(s) > 0, paired(g, s))})
+    rows = rows.withColumn("_bad", hallucinated(F.col("_sents"), F.col("_lost")))
+    lost, pairs = F.size("_lost"), F.col("_pairs")
     tiers = lambda c: F.aggregate(F.col(c), F.lit(0), lambda a, f: a + f["tier"])
     rows = rows.withColumns({
-        "nar": nar(g, s), "hr": share(F.size("_bad"), F.size("_sents"), 0.0), "or_score": share(F.size("_gone"), F.size("_facts"), 0.0), "swos": share(tiers("_gone"), tiers("_facts"), 0.0),
-        "ndi": ndi(g, s), "rdi": risk_index(g, s, -1), "rii": risk_index(g, s, 1), "cor": contraindication_omission(gen, src),
+        "nar": F.when(F.size(g) == 0, F.lit(1.0)).otherwise(1 - lost / F.size(g)), "hr": share(F.size("_bad"), F.size("_sents"), 0.0), "or_score": share(F.size("_gone"), F.size("_facts"), 0.0), "swos": share(tiers("_gone"), tiers("_facts"), 0.0),
+        "ndi": ndi(g, s, pairs), "rdi": risk_index(g, s, -1, pairs), "rii": risk_index(g, s, 1, pairs), "cor": contraindication_omission(gen, src),
         "acr": share(F.col("_confused"), F.col("_evaluated"), 0.0) if len(arms) > 1 else F.lit(0.0), "dpe": delta_error(gp, sp) if len(arms) > 1 else F.lit(0.0),
         "n_source_nums": F.size(s).cast("long"), "n_output_nums": F.size(g).cast("long"), "n_halluc_sents": F.size("_bad").cast("long"), "n_total_sents": F.size("_sents").cast("long"),
     })
     rows = rows.withColumn("safety_score", safety(F.col("nar"), F.col("hr"), F.col("or_score"), F.col("acr")))
     return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+
+
+def tiers_lost(gone: Column, all_facts: Column) -> Column:
+    """How many facts of each severity tier the source has and the text leaves out: a map tier -> (omitted, total)."""
+    count = lambda x, t: F.size(F.filter(x, lambda f: f["tier"] == t)).cast("long")
+    return F.create_map(*[x for t in (1, 2, 3, 4) for x in (F.lit(t), F.struct(count(gone, t).alias("omitted"), count(all_facts, t).alias("total")))])
+
+
+def omission_reading(swos: Column, omission: Column) -> Column:
+    """What weighting by severity says against the plain omission rate, with a margin of 0.05."""
+    return F.when(swos > omission + 0.05, "severe facts go first").when(swos < omission - 0.05, "severe facts stay").otherwise("even")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, functions as F
 
 #: Fixed: a number is at most three leading digits with separators, or a bare decimal, and touches no word character.
@@ -65,13 +68,21 @@ def near(a: Column, b: Column, tolerance: float) -> Column:
     return F.abs(a - b) / F.greatest(F.abs(b), F.lit(1e-9)) <= tolerance
 
 
-def arm_values(text: Column, arm: str, radius: int) -> Column:
-    """First numbers of tokens at most `radius` tokens from an occurrence of the arm's name, once per occurrence."""
+def token_numbers(text: Column) -> Column:
+    """(toks, nums): the tokens, and (place, first number) of those that hold one."""
+    first = lambda t: F.when(t.rlike("[0-9]"), F.try_element_at(extract_numbers(t), F.lit(1)))
+    numbers = lambda toks: F.filter(F.transform(toks, lambda t, i: F.struct(i.alias("i"), first(t).alias("v"))), lambda x: x["v"].isNotNull())
+    return let(tokens(text), lambda toks: F.struct(toks.alias("toks"), numbers(toks).alias("nums")))
+
+
+def arm_values(read: Column, arm: str, radius: int) -> Column:
+    """First numbers of tokens at most `radius` tokens from an occurrence of the arm's name, once per occurrence; `read` is token_numbers."""
     name = arm.lower().split()
+    here = lambda toks, i: [F.get(toks, i + k) == w for k, w in enumerate(name)]
 
-    def of(toks: Column) -> Column:
-        numbers = F.filter(F.transform(toks, lambda t, i: F.struct(i.alias("i"), F.try_element_at(extract_numbers(t), F.lit(1)).alias("v"))), lambda x: x["v"].isNotNull())
-        starts = F.transform(toks, lambda t, i: F.when(F.slice(toks, i + 1, len(name)) == F.array(*[F.lit(x) for x in name]), i))
-        return let(numbers, lambda n: F.flatten(F.transform(F.filter(starts, lambda p: p.isNotNull()), lambda p: F.transform(F.filter(n, lambda x: F.abs(x["i"] - p) <= radius), lambda x: x["v"]))))
+    def of(x: Column) -> Column:
+        toks, nums = x["toks"], x["nums"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(toks)), lambda i: F.coalesce(reduce(and_, here(toks, i)), F.lit(False)))
+        return F.flatten(F.transform(starts, lambda p: F.transform(F.filter(nums, lambda n: F.abs(n["i"] - p) <= radius), lambda n: n["v"])))
 
-    return let(tokens(text), of)
+    return let(read, of)

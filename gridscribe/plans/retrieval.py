@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.tables import FEATURES, table_features
@@ -25,28 +29,45 @@ def scaled(df: DataFrame, names) -> DataFrame:
     return rows.select("table_id", F.array(*[(F.col(c) - F.col(f"s_{c}.m")) / one(c) for c in names]).alias("v"))
 
 
-def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True, blocks: int = 64) -> DataFrame:
-    """(q, id, rank, distance) of the k nearest by cosine, exactly; a zero vector is at distance 1.
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True, block: int = 1024, part: int = 16_384) -> DataFrame:
+    """(q, id, rank, distance) of the k nearest by cosine of (id, v), exactly, ties by id; a zero vector is at distance 1.
 
-    A stated query set against all rows, in blocks: every corpus row meets each block of queries once, each pair of blocks keeps its
-    own best k before the next shuffle, so what is shuffled grows with queries x blocks x k and not with all pairs.
+    A stated query set against all rows, in blocks: a task multiplies one block of queries with one part of the corpus and keeps its own k
+    best of each query, so what is shuffled after it grows with queries x parts x k, not with pairs. Both sides are sent once for each block of the
+    other; the numbers of blocks and parts follow the counts, so that no task holds more than a block and a part.
     """
-    unit = lambda v: F.transform(v, lambda x: F.when(F.sqrt(dot(v, v)) > 0, x / F.sqrt(dot(v, v))).otherwise(0.0))
-    q = queries.select(F.col("id").alias("q"), unit(F.col("v")).alias("qv"))
-    q = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(8)).alias("b")).agg(F.collect_list(F.struct("q", "qv")).alias("qs"))
-    c = corpus.select("id", unit(F.col("v")).alias("cv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("part")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    pairs = c.join(q, "b").select("id", "part", F.explode(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), (1 - dot(x["qv"], F.col("cv"))).alias("d")))).alias("x"))
-    pairs = pairs.select("x.q", "id", "part", F.round("x.d", 9).alias("distance"))
-    if exclude_self:
-        pairs = pairs.where("q <> id")
-    best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "id"))), 1, k)
-    local = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q", "part").orderBy("distance", "id"))).where(F.col("r") <= k)
-    merged = local.groupBy("q").agg(best.alias("n"))
-    return merged.select("q", F.posexplode("n").alias("rank", "n")).select("q", (F.col("rank") + 1).cast("long").alias("rank"), F.col("n.id").alias("id"), F.col("n.distance").alias("distance"))
+    blocks, parts = (max(1, math.ceil(df.count() / n)) for df, n in ((queries, block), (corpus, part)))
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int, is_query: bool) -> DataFrame:
+        at = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own)
+        return df.select("id", F.col("v").cast("array<double>").alias("v"), F.lit(is_query).alias("is_query"), at).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    rows = dealt(queries, "b", blocks, "p", parts, True).unionByName(dealt(corpus, "p", parts, "b", blocks, False))
+
+    def best(task: pa.Table) -> pa.Table:
+        task = task.combine_chunks()
+        ids, mine = task.column("id").to_numpy(), task.column("is_query").to_numpy()
+        found = [[], [], []]
+        if mine.any() and not mine.all():
+            x = task.column("v").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
+            size = np.sqrt((x * x).sum(1))
+            x = x / np.where(size > 0, size, 1.0)[:, None]
+            c_ids = ids[~mine]
+            distance = np.round(1 - x[mine] @ x[~mine].T, 9)
+            for q, d in zip(ids[mine], distance):
+                at = np.flatnonzero(c_ids != q) if exclude_self else np.arange(len(c_ids))
+                if len(at) > k:
+                    at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+                at = at[np.lexsort((c_ids[at], d[at]))][:k]
+                for out, v in zip(found, (np.full(len(at), q), c_ids[at], d[at])):
+                    out.append(v)
+        q, i, d = (np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(found, (ids.dtype, ids.dtype, float)))
+        return pa.table({"q": q, "id": i, "distance": d})
+
+    kind = dict(queries.dtypes)["id"]
+    local = rows.groupBy("b", "p").applyInArrow(best, f"q {kind}, id {kind}, distance double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id")).cast("long")
+    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "id", "distance")
 
 
 def scaler(spark, sf_dir):

@@ -14,8 +14,13 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(trials(spark, sf_dir))
 
 
+def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """texts with what their metrics need of the tables, read once a table."""
+    return candidates(M.with_source_side(trials(spark, sf_dir)))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.evaluate(texts(spark, sf_dir), ARMS)
+    return M.evaluate(read_texts(spark, sf_dir), ARMS)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -78,7 +83,7 @@ def standalone_metrics(spark, sf_dir):
 
 def percentile_profile(spark, sf_dir):
     """Mean, population deviation and percentiles of each metric and mode."""
-    long = scored(spark, sf_dir).unpivot(["mode"], ["nar", "hr", "ndi", "acr"], "metric", "value")
+    long = scored(spark, sf_dir).unpivot(["mode"], list(METRICS), "metric", "value")
     rows = long.groupBy("mode", "metric").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.percentile("value", 0.1).alias("p10"), F.percentile("value", 0.5).alias("p50"),
         F.percentile("value", 0.9).alias("p90"), F.min("value").alias("min"), F.max("value").alias("max"))
@@ -140,15 +145,17 @@ def metric_melt(spark, sf_dir):
 
 
 # -- ablations ---------------------------------------------------------------------------------------------------
-FIRST_PERCENT = r"^([\s\S]*?)(\d+\.\d)%([\s\S]*)$"
+FIRST_PERCENT = r"(?s)^(.*?)(\d+(?:\.\d+)?)%(.*)$"
+#: Fixed: words of the sentences that the severity ablation drops.
+SEVERE = r"(?i)\bfatal\b|\bdeath\b|\bsae\b|\bserious adverse\b|\bgrade\s*[34]\b|\bsevere\b"
 
 
-def with_drift(text: Column) -> Column:
-    """The first percent of one decimal raised by 1.2."""
-    value = F.regexp_extract(text, FIRST_PERCENT, 2)
-    tenth = F.replace(value, F.lit("."), F.lit("")).try_cast("long") + 12
-    new = F.concat(F.regexp_extract(text, FIRST_PERCENT, 1), F.floor(tenth / 10).cast("string"), F.lit("."), (tenth % 10).cast("string"), F.lit("%"), F.regexp_extract(text, FIRST_PERCENT, 3))
-    return F.when(text.rlike(FIRST_PERCENT), new).otherwise(text)
+def with_drift(text: Column, delta: float = 1.2) -> Column:
+    """The first percent raised by delta, to one decimal, not below 0."""
+    part = lambda k: F.regexp_extract(text, FIRST_PERCENT, k)
+    moved = F.bround(part(2).try_cast("decimal(20,6)") + F.lit(delta).cast("decimal(20,6)"), 1)
+    new = F.greatest(F.lit(0).cast("decimal(20,1)"), moved.cast("decimal(20,1)")).cast("string")
+    return F.when(text.rlike(FIRST_PERCENT), F.concat(part(1), new, F.lit("%"), part(3))).otherwise(text)
 
 
 def with_swap(text: Column, a: str = ARMS[0], b: str = ARMS[1]) -> Column:
@@ -157,21 +164,23 @@ def with_swap(text: Column, a: str = ARMS[0], b: str = ARMS[1]) -> Column:
 
 
 def without_severe(text: Column) -> Column:
-    """Without sentences of the upper severity tiers; all stay if none would."""
-    s = T.sentences(text)
-    rest = F.filter(s, lambda x: T.severity(x) < 2)
-    return F.when(F.size(rest) > 0, F.array_join(rest, " ")).otherwise(text)
+    """Without sentences that name a severe event; all stay if none would."""
+    rest = F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+", -1), lambda x: ~x.rlike(SEVERE))
+    return F.when(F.size(rest) > 0, F.trim(F.array_join(rest, " "))).otherwise(text)
 
 
+ABLATION_METRICS = ("nar", "hr", "or_score", "swos", "acr", "safety_score")
 PROFILES = ("full_system", "no_gate", "no_arm_parser", "no_severity")
 
 
 def ablated(df: DataFrame) -> DataFrame:
-    """Each text under each profile: one pass, as many rows as profiles."""
+    """Each text under each profile: one pass, as many rows as profiles. The gate's profile touches generated modes, the arm parser's the
+    template and the fine-tuned one."""
     g = F.col("generated")
     rows = df.withColumn("profile_name", F.explode(F.array(*[F.lit(p) for p in PROFILES])))
-    p = F.col("profile_name")
-    return rows.withColumn("generated", F.when(p == "no_gate", with_drift(g)).when(p == "no_arm_parser", with_swap(g)).when(p == "no_severity", without_severe(g)).otherwise(g))
+    p, mode = F.col("profile_name"), F.col("mode")
+    drift, swap = (p == "no_gate") & mode.isin("dl_base", "finetuned"), (p == "no_arm_parser") & mode.isin("ml", "finetuned")
+    return rows.withColumn("generated", F.when(drift, with_drift(g)).when(swap, with_swap(g)).when(p == "no_severity", without_severe(g)).otherwise(g))
 
 
 def ablation_texts(spark, sf_dir):
@@ -180,8 +189,9 @@ def ablation_texts(spark, sf_dir):
 
 def ablation_deltas(spark, sf_dir):
     """Mean of each metric by profile against the full system: a join with as many rows as modes and metrics."""
-    rows = M.evaluate(ablated(texts(spark, sf_dir)), ARMS).groupBy("profile_name", "mode").agg(*[F.avg(m).alias(m) for m in ("nar", "hr", "or_score", "acr")])
-    long = rows.unpivot(["profile_name", "mode"], ["nar", "hr", "or_score", "acr"], "metric", "value")
+    names = list(ABLATION_METRICS)
+    rows = M.evaluate(ablated(read_texts(spark, sf_dir)), ARMS).groupBy("profile_name", "mode").agg(*[F.avg(m).alias(m) for m in names])
+    long = rows.unpivot(["profile_name", "mode"], names, "metric", "value")
     base = long.where("profile_name = 'full_system'").select("mode", "metric", F.col("value").alias("base"))
     rows = long.join(base, ["mode", "metric"]).withColumn("delta", F.col("value") - F.col("base"))
     rows = rows.withColumn("pct_delta", F.when(F.abs("base") > 1e-12, 100 * F.col("delta") / F.col("base")))
@@ -273,12 +283,12 @@ _FLU = """, parts AS (SELECT table_id, mode, rl, least(0.72 + rl * 0.22, 0.97) A
 _ABLATED = f"""
 profiled AS (SELECT table_id, mode, reference, table_text, unnest({list(PROFILES)}) AS profile_name, generated AS raw FROM candidates),
 firsts AS (SELECT *, regexp_extract(raw, '(\\d+\\.\\d)%', 1) AS p FROM profiled),
-ablated0 AS (SELECT *, list_filter(string_split(raw, '. '), lambda x: NOT regexp_matches(lower(x), 'fatal|\\bsae\\b|grade 3')) AS calm,
+ablated0 AS (SELECT *, list_filter(string_split(raw, '. '), lambda x: NOT regexp_matches(lower(x), '\\bfatal\\b|\\bdeath\\b|\\bsae\\b|\\bserious adverse\\b|\\bgrade\\s*[34]\\b|\\bsevere\\b')) AS calm,
   strpos(raw, p || '%') AS pos, cast(replace(p, '.', '') AS bigint) + 12 AS t FROM firsts),
-ablated AS (SELECT table_id, mode, profile_name, reference, table_text, CASE profile_name
-  WHEN 'no_gate' THEN substr(raw, 1, pos - 1) || (t // 10) || '.' || (t % 10) || substr(raw, pos + length(p))
-  WHEN 'no_arm_parser' THEN replace(replace(replace(raw, 'Placebo', '~'), 'Drug A', 'Placebo'), '~', 'Drug A')
-  WHEN 'no_severity' THEN CASE WHEN len(calm) > 0 THEN array_to_string(calm, '. ') || CASE WHEN calm[-1] LIKE '%.' THEN '' ELSE '.' END ELSE raw END
+ablated AS (SELECT table_id, mode, profile_name, reference, table_text, CASE
+  WHEN profile_name = 'no_gate' AND mode <> 'ml' THEN substr(raw, 1, pos - 1) || (t // 10) || '.' || (t % 10) || substr(raw, pos + length(p))
+  WHEN profile_name = 'no_arm_parser' AND mode <> 'dl_base' THEN replace(replace(replace(raw, 'Placebo', '~'), 'Drug A', 'Placebo'), '~', 'Drug A')
+  WHEN profile_name = 'no_severity' THEN CASE WHEN len(calm) > 0 THEN array_to_string(calm, '. ') || CASE WHEN calm[-1] LIKE '%.' THEN '' ELSE '.' END ELSE raw END
   ELSE raw END AS generated FROM ablated0)"""
 
 _LONG = lambda cols, src: " UNION ALL ".join(f"SELECT mode, '{c}' AS metric, {c} AS value FROM {src}" for c in cols)
@@ -295,7 +305,7 @@ QUERIES = {
     "value_hallucination": (value_hallucination, f"{_BASE}, n AS (SELECT table_id, mode, {numbers_sql('generated')} AS g, {numbers_sql('table_text')} AS s FROM candidates) SELECT table_id, mode, {_hall('0.01', '0, 1, 2', 'hr_report')}, {_hall('0.11', '', 'hr_benchmark')}, {_hall('1.01', '', 'hr_gate')}, {_hall('0.11', '0, 1, 2, 3, 4, 5', 'hr_guardian')} FROM n"),
     "accuracy_vs_reference": (accuracy_vs_reference, f"{_BASE}, n AS (SELECT table_id, mode, {numbers_sql('generated')} AS g, {numbers_sql('reference')} AS r FROM candidates) SELECT table_id, mode, round(len(list_filter(r, lambda x: len(list_filter(g, lambda y: abs(x - y) <= 1.01)) > 0)) / len(r), 6) AS accuracy FROM n"),
     "standalone_metrics": (standalone_metrics, f"WITH {TRIALS_SQL}, {scores_sql(radius=25)} SELECT table_id, mode, {_R('nar', 'hr', 'or_score', 'swos')}, round(list_sum(list_transform(g, lambda v: list_min(list_transform(s, lambda x: abs(v - x) / greatest(abs(x), 1e-9))))) / len(g), 6) AS ndi, {_R('acr', 'safety_score')} FROM scores"),
-    "percentile_profile": (percentile_profile, f"{_SCORES}, long AS ({_LONG(('nar', 'hr', 'ndi', 'acr'), 'scores')}) SELECT mode, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(cast(value AS double), 0.1), 6) AS p10, round(quantile_cont(cast(value AS double), 0.5), 6) AS p50, round(quantile_cont(cast(value AS double), 0.9), 6) AS p90, round(min(cast(value AS double)), 6) AS min, round(max(cast(value AS double)), 6) AS max FROM long GROUP BY ALL"),
+    "percentile_profile": (percentile_profile, f"{_SCORES}, long AS ({_LONG(METRICS, 'scores')}) SELECT mode, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(cast(value AS double), 0.1), 6) AS p10, round(quantile_cont(cast(value AS double), 0.5), 6) AS p50, round(quantile_cont(cast(value AS double), 0.9), 6) AS p90, round(min(cast(value AS double)), 6) AS min, round(max(cast(value AS double)), 6) AS max FROM long GROUP BY ALL"),
     "gate_breakdown": (gate_breakdown, f"{_SCORES} SELECT mode, count(*) FILTER (WHERE hr > 0) AS hallucinated, count(*) FILTER (WHERE nar < 0.95) AS ungrounded, count(*) FILTER (WHERE swos > or_score) AS severe_omission, count(*) FILTER (WHERE acr > 0) AS arm_confusion, count(*) FILTER (WHERE hr = 0 AND nar >= 0.95) AS passed FROM scores GROUP BY mode"),
     "error_composition": (error_composition, f"{_SCORES} SELECT mode, round(100 * avg((hr > 0)::int), 6) AS pct_hr, round(100 * avg((or_score > 0)::int), 6) AS pct_or, round(100 * avg((acr > 0)::int), 6) AS pct_acr, round(100 * avg((ndi > 0.001)::int), 6) AS pct_ndi, round(100 * avg((hr > 0 OR nar < 0.95)::int), 6) AS gate_rate FROM scores GROUP BY mode"),
     "sample_deviation": (sample_deviation, f"{_SCORES} SELECT mode, round(avg(safety_score), 6) AS mean, round(stddev_samp(safety_score), 6) AS std FROM scores GROUP BY mode"),
@@ -306,7 +316,8 @@ QUERIES = {
     "metric_melt": (metric_melt, f"{_SUMMARY}, long AS ({_LONG(METRICS, 'summary')}) SELECT mode, metric, round(cast(value AS double), 6) AS value, CASE WHEN metric IN ('nar', 'safety_score') THEN 'higher' ELSE 'lower' END AS direction FROM long"),
     "ablation_texts": (ablation_texts, f"{_BASE}, {_ABLATED} SELECT table_id, mode, profile_name, generated FROM ablated"),
     "ablation_deltas": (ablation_deltas, f"""{_BASE}, {_ABLATED}, {scores_sql('ablated', keys='table_id, mode, profile_name')},
-      long AS (SELECT profile_name, mode, metric, avg(value) AS value FROM scores UNPIVOT (value FOR metric IN (nar, hr, or_score, acr)) GROUP BY ALL)
+      cast_scores AS (SELECT profile_name, mode, {', '.join(f'cast({m} AS double) AS {m}' for m in ABLATION_METRICS)} FROM scores),
+      long AS (SELECT profile_name, mode, metric, avg(value) AS value FROM cast_scores UNPIVOT (value FOR metric IN ({', '.join(ABLATION_METRICS)})) GROUP BY ALL)
       SELECT a.profile_name, a.mode, a.metric, round(a.value, 6) AS value, round(a.value - b.value, 6) AS delta, CASE WHEN abs(b.value) > 1e-12 THEN round(100 * (a.value - b.value) / b.value, 6) END AS pct_delta
       FROM long a JOIN long b ON b.profile_name = 'full_system' AND a.mode = b.mode AND a.metric = b.metric"""),
     "gate_fallback": (gate_fallback, f"""{_BASE}, n AS (SELECT *, {numbers_sql('dl_base')} AS g, {numbers_sql('table_text')} AS s FROM trials),

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 
 def session(master: str | None = None, app: str = "gridscribe") -> SparkSession:
-    """AQE, UTC, and partitions that follow the data; a master only where none is set (a cluster sets its own)."""
+    """AQE, UTC, and partitions that follow the data. A master is set only where the caller names one: else spark-submit or the
+    configuration has it, and code would win over them."""
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
+    if master:
+        builder = builder.master(master)
     settings = {
         "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC",
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for k, v in settings.items():
         builder = builder.config(k, v)

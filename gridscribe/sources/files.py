@@ -2,33 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 CORRUPT = "_corrupt_record"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType, mode: str = "tolerant") -> DataFrame:
-    """JSON lines: `tolerant` keeps bad lines in _corrupt_record, `skip` drops them, `strict` fails on the first. Blank lines never count."""
-    if mode == "tolerant":
+def parse_jsonl(lines: DataFrame, schema: StructType, mode: str = "tolerant", line_col: str = "line") -> DataFrame:
+    """Rows of a column of JSON lines, further columns first. Blank lines never count.
+
+    `tolerant` keeps a bad line in _corrupt_record with null fields, `skip` drops it, `strict` fails on it and names it; further
+    columns, such as a line number, are in that message. Null lines are blank. Each line by itself: no shuffle.
+    """
+    text = F.trim(F.col(line_col), F.lit(" \t\r"))
+    rest = [c for c in lines.columns if c != line_col]
+    rows = lines.where(F.col(line_col).isNotNull() & (text != ""))
+    rows = rows.withColumn("_v", F.from_json(line_col, StructType([*schema.fields, StructField(CORRUPT, StringType())]), {"columnNameOfCorruptRecord": CORRUPT}))
+    bad = F.col(f"_v.{CORRUPT}")
+    if mode == "skip":
+        rows = rows.where(bad.isNull())
+    if mode == "strict":
+        where = F.to_json(F.struct(*rest)) if rest else F.lit("")
+        rows = rows.where(bad.isNull() | F.raise_error(F.concat(F.lit("bad JSON line "), where, F.lit(": "), bad)).isNotNull())
+    fields = [F.col(f"_v.{f.name}").alias(f.name) for f in schema.fields]
+    return rows.select(*rest, *fields, *([bad.alias(CORRUPT)] if mode == "tolerant" else []))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: StructType, mode: str = "tolerant", n_max: int | None = None) -> DataFrame:
+    """JSON lines, as in parse_jsonl. `n_max` takes the first physical lines of a file, blank ones included."""
+    if mode == "tolerant" and n_max is None:
         return spark.read.schema(StructType([*schema.fields, StructField(CORRUPT, StringType())])).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
-    return spark.read.schema(schema).json(path, mode={"skip": "DROPMALFORMED", "strict": "FAILFAST"}[mode])
+    if n_max is None:
+        return spark.read.schema(schema).json(path, mode={"skip": "DROPMALFORMED", "strict": "FAILFAST"}[mode])
+    return parse_jsonl(spark.read.text(path).limit(n_max).withColumnRenamed("value", "line"), schema, mode)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def read_results(spark: SparkSession, glob: str, defaults: dict[str, str] | None = None) -> DataFrame:
-    """CSV files of one glob with the model and tier of their names; columns that older files lack get a default."""
-    df = spark.read.csv(glob, header=True, inferSchema=True)
+def read_results(spark: SparkSession, glob: str, defaults: dict[str, str] | None = None, schema: StructType | None = None) -> DataFrame:
+    """CSV files of one glob with the model, tier and time of their names; columns that older files lack get a default.
+
+    With a schema, files are read once; without, all columns are text, so that no pass over the data is needed to guess types.
+    """
+    df = spark.read.csv(glob, header=True, schema=schema) if schema else spark.read.csv(glob, header=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    df = df.select("*", name.alias("source_file"), F.regexp_extract(name, r"_(tier\d)_", 1).alias("file_tier"), F.regexp_extract(name, r"_tier\d_([a-z_]+?)_\d", 1).alias("file_model"))
+    df = df.select("*", name.alias("source_file"), *named(name))
     for c, v in (defaults or {"profile_name": "full_system"}).items():
         df = df.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v))
     return df
 
 
+def named(name: Column) -> list[Column]:
+    """(file_tier, file_model, file_time) of a file name such as results_tier1_dl_base_20260318_231619.csv; empty or null where it says none."""
+    stamp = F.regexp_extract(name, r"_(\d{8}_\d{6})(?:\.|$)", 1)
+    return [
+        F.regexp_extract(name, r"_(tier\d)(?:_|\.|$)", 1).alias("file_tier"), F.regexp_extract(name, r"_tier\d_([a-z_]+?)_\d", 1).alias("file_model"),
+        F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss")).alias("file_time")]
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     missing = sorted(set(columns) - set(df.columns))
     if missing:
@@ -41,13 +75,30 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[s
     {"parquet": writer.parquet, "json": writer.json, "csv": lambda p: writer.csv(p, header=True)}[kind](path)
 
 
+def summary(df: DataFrame, path: str, keys: tuple[str, ...], metrics: tuple[str, ...], run_id: str) -> None:
+    """A run's sinks: rows as CSV, means of each key as CSV, and one JSON line that names the run, its rows and its outputs."""
+    write(df, f"{path}/results", "csv")
+    means = df.groupBy(*keys).agg(F.count("*").alias("n_examples"), *[F.round(F.avg(m), 4).alias(m) for m in metrics])
+    write(means, f"{path}/summary", "csv")
+    manifest = means.agg(F.lit(run_id).alias("run_id"), F.sum("n_examples").alias("n_examples"), F.count("*").alias("n_groups"), F.lit(f"{path}/results").alias("results"), F.lit(f"{path}/summary").alias("summary"))
+    write(manifest, f"{path}/manifest", "json")
+
+
 def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends the rows whose key the target lacks, and returns them: running twice adds nothing. A missing target is an empty one."""
+    """Appends the rows whose key the target lacks, and returns the target: running twice adds nothing. A missing target is an empty one.
+
+    What is returned reads the target after the append, so no plan runs over a folder that it has changed. Of rows with one key the
+    first by all columns is taken. Only keys of the target are read.
+    """
     spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-    new = df.dropDuplicates([key])
-    if there:
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+    order = [c for c in df.columns if c != key]
+    new = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_row")).select(key, *[F.col("_row").getField(c).alias(c) for c in order]).select(*df.columns) if order else df.distinct()
+    try:
+        there = spark.read.parquet(path).select(key)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
+        new = new.join(there, key, "left_anti")
     new.write.mode("append").parquet(path)
-    return new
+    return spark.read.schema(df.schema).parquet(path)

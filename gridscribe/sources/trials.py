@@ -13,6 +13,15 @@ LABELS = ("Any TEAE", "SAE", "Grade 3-4 AE", "Discontinuation due to AE", "Fatal
 MODES = ("ml", "dl_base", "finetuned")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over all cores: what follows costs far more than its bytes say, by which partitions would be put together again.
+
+    A later groupBy on the key needs no shuffle of its own.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(table_id, row_index, label, n_a, n_b, big_a, big_b): subjects of each row and arm. Two aggregations, both with map-side sums."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_linenumber", "l_linestatus", "l_orderkey")
@@ -48,7 +57,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         "table_id", "row_index", "big_a", "big_b", F.concat_ws(" | ", "label", cell("n_a", "t_a"), cell("n_b", "t_b")).alias("row"), said(a, b, ta, tb).alias("ml"),
         F.when(~((F.col("table_id") % 4 == 0) & (F.col("row_index") == 5)), said(a, b, ta + drift, tb)).alias("dl_base"),
         F.when(F.col("table_id") % 5 == 0, said(b, a, ta, tb)).otherwise(said(a, b, ta, tb)).alias("finetuned"))
-    tables = rows.groupBy("table_id").agg(
+    tables = spread(rows, "table_id").groupBy("table_id").agg(
         F.max("big_a").alias("big_a"), F.max("big_b").alias("big_b"), F.sort_array(F.collect_list(F.struct("row_index", "row", "ml", "dl_base", "finetuned"))).alias("r"))
     head = F.concat(F.lit(f"start_table [HEADERS: | Event | {a} (N="), F.col("big_a").cast("string"), F.lit(f") | {b} (N="), F.col("big_b").cast("string"), F.lit(")] [ROW] "))
     text = lambda c: F.array_join(F.filter(F.col(f"r.{c}"), lambda x: x.isNotNull()), " ")
@@ -58,9 +67,10 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(trials_df: DataFrame) -> DataFrame:
-    """(table_id, mode, generated, reference, table_text): one row for each text of a table."""
-    long = trials_df.unpivot(["table_id", "table_text", "reference"], list(MODES), "mode", "generated")
-    return long.select("table_id", "mode", "generated", "reference", "table_text")
+    """(table_id, mode, generated, reference, table_text) and the columns that begin with an underscore: one row for each text of a table."""
+    more = [c for c in trials_df.columns if c.startswith("_")]
+    long = trials_df.unpivot(["table_id", "table_text", "reference", *more], list(MODES), "mode", "generated")
+    return long.select("table_id", "mode", "generated", "reference", "table_text", *more)
 
 
 def _said(a: str, b: str, ta: str, tb: str) -> str:

@@ -27,8 +27,6 @@ def rows(values, columns):
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
-    if name in ("rouge_fallback", "fluency_proxies"):
-        pytest.skip("slow in both engines; compared at sf0.01 by the driver")
     got = catalog.queries()[name](spark, SF)
     want = duck.sql(catalog.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)

@@ -71,6 +71,36 @@ def test_swapping_arms_keeps_grounding_and_drift_does_not_raise_it(spark):
     assert one(spark, with_drift(F.col("t")), t="no percent") == "no percent"
 
 
+def test_drift_takes_any_percent(spark):
+    from gridscribe.plans.scoring import with_drift, without_severe
+
+    got = [one(spark, with_drift(F.col("t")), t=t) for t in ("a 12% b 3%", "12.34% x", "0.5%", "none")]
+    assert got == ["a 13.2% b 3%", "13.5% x", "1.7%", "none"]
+    assert one(spark, without_severe(F.col("t")), t="Two died. Any serious adverse reaction was mild. sae here\nNausea. One death.") == "Two died."
+    assert one(spark, without_severe(F.col("t")), t="Grade 3 only.") == "Grade 3 only."
+
+
+def test_common_length_against_the_table():
+    import random
+
+    from gridscribe.functions.metrics import common_length
+
+    rng = random.Random(1)
+    for _ in range(50):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        assert common_length(a, b) == row[-1]
+
+
+def _next(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+    return out
+
+
 def test_lcs(spark):
     assert one(spark, M.lcs(F.split("a", " "), F.split("b", " ")), a="a b c d e", b="b x d e") == 3
     assert one(spark, M.rouge(F.col("a"), F.col("b"))["rouge_l"], a="", b="x") == 0.0
