@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import curation, parsing, results, retrieval, scoring, writing
+from .plans import composing, curation, parsing, results, retrieval, scoring, writing
 
-PLANS = (scoring, parsing, results, curation, retrieval, writing)
+PLANS = (scoring, parsing, composing, results, curation, retrieval, writing)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

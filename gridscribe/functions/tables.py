@@ -49,6 +49,31 @@ def raw_rows(text: Column) -> Column:
     return found(text, ROW)
 
 
+def line_rows(text: Column) -> Column:
+    """Rows of a text whose rows stand on one line: a row that goes on after a line break is none, as its end is looked for on its line."""
+    return found(text, r"\[ROW\](.*?)(?=\[ROW\]|end_table)")
+
+
+def unmerged(row: Column) -> Column:
+    """Cells without those that repeat their left neighbour, as merged cells do."""
+    return F.filter(F.transform(row, lambda c, i: F.when((i == 0) | (c != F.get(row, i - 1)), c)), lambda c: c.isNotNull())
+
+
+def linearized(grid: Column, title: Column) -> Column:
+    """A grid (array of rows of cells) as a table text: the first row is the header; rows without any text go, merged cells become one.
+    Without a title, or with an empty one, there is no title mark."""
+    clean = F.transform(grid, lambda r: F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))))
+
+    def of(rows: Column) -> Column:
+        body = F.filter(F.slice(rows, 2, F.lit(1 << 30)), lambda r: F.exists(r, lambda c: c != ""))
+        lines = F.transform(body, lambda r: F.concat(F.lit("[ROW] "), F.array_join(let(r, unmerged), " | ")))
+        mark = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit("[TABLE_TITLE: "), title, F.lit("] "))).otherwise("")
+        head = F.concat(F.lit("[HEADERS: | "), F.array_join(let(F.get(rows, F.lit(0)), unmerged), " | "), F.lit("] "))
+        return F.concat(F.lit("start_table "), mark, head, F.array_join(lines, " "), F.lit(" end_table"))
+
+    return let(clean, of)
+
+
 def cells(row: Column) -> Column:
     return F.transform(F.split(row, r"\|", -1), lambda c: F.trim(c))
 
@@ -186,6 +211,7 @@ def table_features(text: Column) -> dict[str, Column]:
     return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in zip(FEATURES, values, strict=True)}
 
 
+# Fixed: names of the template clusters and the order in which they are tried.
 def cluster() -> Column:
     """The template cluster of a table from its feature columns: fourteen, the more specific first."""
     has = lambda c: F.col(c) > 0
