@@ -162,6 +162,10 @@ _LISTED = f"""events AS (SELECT table_id, row_index, label, CASE WHEN shape <> 6
 picked AS (SELECT * FROM events WHERE regexp_matches(label, '{T.SAE_PATTERN}') OR regexp_matches(label, '{T.SEVERE_PATTERN}') OR abs(t_b - t_a) >= 30 OR t_b >= 50),
 listed AS (SELECT table_id, string_agg(label || ' was reported in ' || coalesce(nb || ' (', '') || {_TENTH('t_b')} || CASE WHEN nb IS NULL THEN '' ELSE ')' END || ' of subjects in the ' || arm_b || ' arm versus '
     || coalesce(na || ' (', '') || {_TENTH('t_a')} || CASE WHEN na IS NULL THEN '' ELSE ')' END || ' in the ' || arm_a || ' arm.', ' ' ORDER BY row_index) AS listing FROM picked GROUP BY table_id)"""
+#: (table_id, filled, missing): slots of the cluster's template that a table has and lacks.
+COVERAGE_SQL = f"""{_KV}, {_WIDENED}, {_LEGACY}, every AS (SELECT cluster, list_distinct(flatten(list(needed))) AS needed FROM templates GROUP BY cluster)
+  SELECT table_id, array_to_string(list_sort(list_filter(needed, lambda s: list_contains(keys, s))), ',') AS filled, array_to_string(list_sort(list_filter(needed, lambda s: NOT list_contains(keys, s))), ',') AS missing
+  FROM clustered JOIN every USING (cluster) JOIN wide USING (table_id)"""
 
 QUERIES = {
     "fact_sheet": (fact_sheet, f"{_KV} SELECT * FROM kv"),

@@ -129,11 +129,11 @@ CLUSTER_SQL = """CASE WHEN num_arms = 1 THEN 'C13_single_arm' WHEN has_dual_phas
   WHEN has_discontinuation > 0 AND has_sae = 0 AND has_grade34 = 0 THEN 'C07_minimal_teae_disc' WHEN has_sae = 0 AND has_grade34 = 0 AND has_discontinuation = 0 THEN CASE WHEN num_rows >= 4 THEN 'C14_individual_ae_listing' ELSE 'C10_teae_only' END
   ELSE 'C09_safety_population_note' END"""
 _ARM = "[{'c': 'Placebo', 'e': 'Drug A', 'i': 1}, {'c': 'Placebo', 'e': 'Drug A', 'i': 0}, {'c': 'Control', 'e': 'Experimental', 'i': 1}, {'c': 'Placebo double-blind', 'e': 'Drug A open-label', 'i': 1}, {'c': 'Placebo', 'e': 'Drug A', 'i': 1}, {'c': 'Placebo', 'e': 'Drug A', 'i': 1}, {'c': 'Control', 'e': 'Experimental', 'i': 1}, {'c': 'Placebo', 'e': 'Drug A', 'i': 1}][shape + 1]"
-_KINDSQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(label), '{p}') THEN '{k}'" for k, p in T.ROW_TYPES) + " END"
-_PREFIXSQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.SLOT_PREFIX.items()) + " END"
+KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(label), '{p}') THEN '{k}'" for k, p in T.ROW_TYPES) + " END"
+PREFIX_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.SLOT_PREFIX.items()) + " END"
 #: (table_id, prefix, n_a, pct_a, n_b, pct_b) of the shapes, by what their rows were made of.
-SLOTS_SQL = f"""WITH {SHAPES_SQL}, kinds AS (SELECT *, {_KINDSQL} AS kind, CASE WHEN shape <> 6 THEN n_a END AS na, CASE WHEN shape <> 6 THEN n_b END AS nb, nullif(t_a / 10, 0) AS pa, nullif(t_b / 10, 0) AS pb FROM shaped_rows WHERE shape <> 2),
-  slots AS (SELECT table_id, {_PREFIXSQL} AS prefix, arg_min(na, row_index) FILTER (WHERE na IS NOT NULL) AS n_a, cast(arg_min(pa, row_index) FILTER (WHERE pa IS NOT NULL) AS double) AS pct_a,
+SLOTS_SQL = f"""WITH {SHAPES_SQL}, kinds AS (SELECT *, {KIND_SQL} AS kind, CASE WHEN shape <> 6 THEN n_a END AS na, CASE WHEN shape <> 6 THEN n_b END AS nb, nullif(t_a / 10, 0) AS pa, nullif(t_b / 10, 0) AS pb FROM shaped_rows WHERE shape <> 2),
+  slots AS (SELECT table_id, {PREFIX_SQL} AS prefix, arg_min(na, row_index) FILTER (WHERE na IS NOT NULL) AS n_a, cast(arg_min(pa, row_index) FILTER (WHERE pa IS NOT NULL) AS double) AS pct_a,
     arg_min(nb, row_index) FILTER (WHERE nb IS NOT NULL) AS n_b, cast(arg_min(pb, row_index) FILTER (WHERE pb IS NOT NULL) AS double) AS pct_b FROM kinds WHERE kind IS NOT NULL GROUP BY ALL)"""
 _MODSQL = lambda m: f"list_reduce(list_prepend(0::bigint, list_transform(string_split(md5(table_text), ''), lambda c: cast('0x' || c AS bigint))), lambda a, d: (a * 16 + d) % {m})"
 
@@ -148,7 +148,7 @@ QUERIES = {
         coalesce(try_cast(coalesce(nullif(regexp_extract(m, '^\\d+\\s*\\((\\d+\\.?\\d*)', 1), ''), nullif(regexp_extract(m, '(\\d+\\.?\\d*)\\s*%', 1), '')) AS double), 0) AS pct_m FROM n"""),
     "arm_parse": (arm_parse, f"""WITH {SHAPES_SQL}, a AS (SELECT table_id, {_ARM} AS arm, shape, max(big_a) AS a, max(big_b) AS b FROM shaped_rows GROUP BY table_id, shape)
       SELECT table_id, arm.c AS control, arm.e AS experimental, CASE shape WHEN 2 THEN b WHEN 6 THEN NULL ELSE a END AS n_control, CASE WHEN shape NOT IN (2, 6) THEN b END AS n_experimental, cast(arm.i AS bigint) AS exp_idx FROM a"""),
-    "row_types": (row_types, f"WITH {SHAPES_SQL} SELECT label, count(*) AS n, {_KINDSQL} AS kind, regexp_matches(label, '{T.SAE_PATTERN}') AS is_sae, regexp_matches(label, '{T.SEVERE_PATTERN}') AS is_severe, regexp_matches(label, '{T.OVERVIEW_PATTERN}') AS is_overview FROM shaped_rows GROUP BY label"),
+    "row_types": (row_types, f"WITH {SHAPES_SQL} SELECT label, count(*) AS n, {KIND_SQL} AS kind, regexp_matches(label, '{T.SAE_PATTERN}') AS is_sae, regexp_matches(label, '{T.SEVERE_PATTERN}') AS is_severe, regexp_matches(label, '{T.OVERVIEW_PATTERN}') AS is_overview FROM shaped_rows GROUP BY label"),
     "table_types": (table_types, f"SELECT doc_id, {_TYPES(T.TABLE_TYPES)} AS kind, {_TYPES(T.SPLIT_TYPES)} AS split_kind FROM (SELECT doc_id, lower(text) AS low FROM documents)"),
     "table_features": (table_feature_rows, f"{_FEATURES}, v AS (SELECT table_id, {_FVALUES} FROM f) SELECT table_id, {', '.join(f'round({k}, 6) AS {k}' for k in T.FEATURES)} FROM v"),
     "row_features": (row_feature_rows, f"""{_EV} SELECT table_id, label, round(pct_b, 6) AS drug_pct, round(pct_a, 6) AS ctrl_pct, round(diff, 6) AS abs_risk_diff, round(least(rr, 20), 6) AS relative_risk,

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, Window, functions as F
 
+from ..functions.exact import fisher_exact
 from .scoring import rounded
 
 
@@ -60,6 +61,7 @@ def first_groups(spark, sf_dir):
     return rounded(rows.orderBy("first").limit(15).select("trap", "n", "correct", (F.col("correct") / F.col("n")).alias("accuracy")), "accuracy")
 
 
+# The published coefficients of the polynomial.
 def normal_tail(z: Column) -> Column:
     """Two-sided tail of the normal distribution by the five-term polynomial."""
     t = 1 / (1 + 0.2316419 * F.abs(z))
@@ -78,6 +80,19 @@ def significance(spark, sf_dir):
     return rounded(rows.select("*", p.alias("p_value"), (p < 0.05).alias("significant")), "p_value")
 
 
+def exact_tests(spark, sf_dir):
+    """Fisher's exact test of each variant's correct and wrong answers against those of the base variant; the normal approximation where there are too many
+    cases for it."""
+    rows = items(spark, sf_dir).groupBy("variant").agg(F.count_if("is_correct").alias("c"), F.count_if(~F.col("is_correct")).alias("d"))
+    base = rows.where("variant = 'view'").select(F.col("c").alias("a"), F.col("d").alias("b"))
+    rows = rows.where("variant <> 'view'").join(F.broadcast(base))
+    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
+    pool = (a + c) / (a + b + c + d)
+    z = (a / (a + b) - c / (c + d)) / F.nullif(F.sqrt(pool * (1 - pool) * (1 / (a + b) + 1 / (c + d))), F.lit(0.0))
+    p = fisher_exact("a", "b", "c", "d")
+    return rounded(rows.withColumn("p", p).select("variant", F.when(F.isnan("p"), F.coalesce(normal_tail(z), F.lit(1.0))).otherwise(F.col("p")).alias("p_value")), "p_value")
+
+
 def hypothesis_verdict(spark, sf_dir):
     v = variant_statistics(spark, sf_dir).where("variant in ('view', 'error')").groupBy().pivot("variant", ["view", "error"]).agg(F.max("accuracy").alias("a"), F.max("avg_switches").alias("s"), F.max("off_target_rate").alias("o"))
     return v.select((F.col("view_a") - F.col("error_a") >= 0.15).alias("h1"), (F.col("error_s") >= 2 * F.col("view_s")).alias("h2"), (F.col("error_o") - F.col("view_o") >= 0.10).alias("h3"), F.round(100 * (F.col("view_a") - F.col("error_a")), 2).alias("drop_pp"))
@@ -122,6 +137,9 @@ QUERIES = {
     "significance": (significance, f"""{_I}, c AS (SELECT count(*) FILTER (WHERE variant = 'view') AS n_view, count(*) FILTER (WHERE variant = 'view' AND is_correct) AS c_view, count(*) FILTER (WHERE variant = 'error') AS n_error, count(*) FILTER (WHERE variant = 'error' AND is_correct) AS c_error FROM items),
       p AS (SELECT *, (c_view + c_error) / (n_view + n_error) AS pool FROM c), z AS (SELECT *, (c_view / n_view - c_error / n_error) / sqrt(pool * (1 - pool) * (1 / n_view + 1 / n_error)) AS z FROM p), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z),
       v AS (SELECT *, 2 * exp(-z * z / 2) * ({_P}) / sqrt(2 * pi()) AS p FROM t) SELECT n_view, c_view, n_error, c_error, round(p, 6) AS p_value, p < 0.05 AS significant FROM v"""),
+    "exact_tests": (exact_tests, f"""{_I}, c AS (SELECT variant, count(*) FILTER (WHERE is_correct) AS c, count(*) FILTER (WHERE NOT is_correct) AS d FROM items GROUP BY variant), t AS (SELECT x.variant, v.c AS a, v.d AS b, x.c, x.d FROM c x, c v WHERE v.variant = 'view' AND x.variant <> 'view'),
+      s AS (SELECT *, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) AS x FROM t), l AS (SELECT variant, a, x, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS p FROM s),
+      o AS (SELECT *, max(p) FILTER (WHERE x = a) OVER (PARTITION BY variant) AS here FROM l) SELECT variant, round(least(1, sum(exp(p)) FILTER (WHERE p <= here + 1e-7)), 6) AS p_value FROM o GROUP BY variant"""),
     "hypothesis_verdict": (hypothesis_verdict, f"{_S}, r AS (SELECT variant, round(accuracy, 6) AS a, round(off_target_rate, 6) AS o, round(avg_switches, 6) AS s FROM s) SELECT x.a - y.a >= 0.15 AS h1, y.s >= 2 * x.s AS h2, y.o - x.o >= 0.10 AS h3, round(100 * (x.a - y.a), 2) AS drop_pp FROM r x, r y WHERE x.variant = 'view' AND y.variant = 'error'"),
     "latest_runs": (latest_runs, "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"),
     "latency_gate": (latency_gate, "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg((value > 80 OR user_id % 5 = 0)::int), 6) AS gate_rate FROM events GROUP BY event_type"),

@@ -29,8 +29,8 @@ def scaled(df: DataFrame, names) -> DataFrame:
     return rows.select("table_id", F.array(*[(F.col(c) - F.col(f"s_{c}.m")) / one(c) for c in names]).alias("v"))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True, block: int = 1024, part: int = 16_384) -> DataFrame:
-    """(q, id, rank, distance) of the k nearest by cosine of (id, v), exactly, ties by id; a zero vector is at distance 1.
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True, block: int = 1024, part: int = 16_384, metric: str = "cosine") -> DataFrame:
+    """(q, id, rank, distance) of the k nearest by cosine (or "euclidean") of (id, v), exactly, ties by id; by cosine a zero vector is at distance 1.
 
     A stated query set against all rows, in blocks: a task multiplies one block of queries with one part of the corpus and keeps its own k
     best of each query, so what is shuffled after it grows with queries x parts x k, not with pairs. Both sides are sent once for each block of the
@@ -51,9 +51,14 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool =
         if mine.any() and not mine.all():
             x = task.column("v").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
             size = np.sqrt((x * x).sum(1))
-            x = x / np.where(size > 0, size, 1.0)[:, None]
             c_ids = ids[~mine]
-            distance = np.round(1 - x[mine] @ x[~mine].T, 9)
+            if metric == "cosine":
+                x = x / np.where(size > 0, size, 1.0)[:, None]
+                distance = 1 - x[mine] @ x[~mine].T
+            else:
+                square = (size * size)[mine][:, None] + (size * size)[~mine][None, :] - 2 * x[mine] @ x[~mine].T
+                distance = np.sqrt(np.maximum(square, 0))
+            distance = np.round(distance, 9)
             for q, d in zip(ids[mine], distance):
                 at = np.flatnonzero(c_ids != q) if exclude_self else np.arange(len(c_ids))
                 if len(at) > k:

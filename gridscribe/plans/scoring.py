@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import metrics as M, text as T
+from ..functions.rouge import rouge_f1
 from ..sources.trials import ARMS, TRIALS_SQL, candidates, trials
 
 METRICS = ("nar", "hr", "or_score", "swos", "ndi", "acr", "rdi", "rii", "dpe", "cor", "safety_score")
@@ -144,6 +145,53 @@ def metric_melt(spark, sf_dir):
     return rounded(rows.withColumn("direction", F.when(F.col("metric").isin("nar", "safety_score"), "higher").otherwise("lower")), "value")
 
 
+def rouge_stemmed(spark, sf_dir):
+    """ROUGE F1 with stems, in Arrow batches."""
+    rows = texts(spark, sf_dir).select("table_id", "mode", rouge_f1("generated", "reference").alias("r"))
+    return rounded(rows.select("table_id", "mode", "r.*"), "rouge_1", "rouge_2", "rouge_l")
+
+
+def omission_by_tier(spark, sf_dir):
+    """Facts of each severity tier that each text leaves out, and what the weighting by severity says against the plain rate."""
+    rows = read_texts(spark, sf_dir).withColumn("gone", M.omitted(F.col("_facts"), T.extract_numbers(F.col("generated"))))
+    rows = rows.select("table_id", "mode", M.tiers_lost(F.col("gone"), F.col("_facts")).alias("m"), F.size("gone").alias("g"), F.size("_facts").alias("f"), *[F.aggregate(c, F.lit(0), lambda a, x: a + x["tier"]).alias(k) for k, c in (("wg", "gone"), ("wf", "_facts"))])
+    reading = M.omission_reading(M.share(F.col("wg"), F.col("wf"), 0.0), M.share(F.col("g"), F.col("f"), 0.0))
+    return rows.select("table_id", "mode", *[F.col("m")[F.lit(t)][k].alias(f"{k}_{t}") for t in (1, 2, 3, 4) for k in ("omitted", "total")], reading.alias("reading"))
+
+
+def benchmark_report(spark, sf_dir):
+    """Per mode: rows, successes and verified ones with their rates; of the hallucination rate, where it is known, n, mean, deviation, extremes and percentiles; and
+    whether the means meet the thresholds. A row succeeds if it has a text of two sentences; every tenth table has no rate here."""
+    rows = scored(spark, sf_dir).select("table_id", "mode", "hr", "nar", "n_total_sents")
+    rows = rows.withColumns({"success": F.col("n_total_sents") >= 5, "verified": F.col("hr") == 0, "known": F.when(F.col("table_id") % 10 != 0, F.col("hr"))})
+    rate = lambda c: F.avg(F.col(c).cast("int"))
+    v = F.col("known")
+    out = rows.groupBy("mode").agg(
+        F.count("*").alias("n_total"), F.count_if("success").alias("n_success"), F.count_if("verified").alias("n_verified"), rate("success").alias("success_rate"), rate("verified").alias("verified_rate"), F.count(v).alias("n"),
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), *[F.percentile(v, p).alias(k) for k, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))], F.max(v).alias("max"), F.avg("nar").alias("mean_nar"))
+    names = ("success_rate", "verified_rate", "mean", "std", "min", "p10", "p50", "p90", "max", "mean_nar")
+    out = out.withColumns({"mean_hall_lt_0_04": F.col("mean") < 0.04, "mean_num_acc_gt_0_96": F.col("mean_nar") > 0.96})
+    return rounded(out, *names)
+
+
+def best_fluency(spark, sf_dir):
+    """The mode with the best mean fluency and that with the best mean safety, the first by name of equal ones."""
+    rows = scored(spark, sf_dir)
+    r = M.rouge(F.col("generated"), F.col("reference"))["rouge_l"]
+    rows = rows.withColumn("rl", r).withColumn("fluency", M.fluency(F.col("rl"), M.bert_proxy(F.col("rl")), M.meteor_proxy(F.col("generated"), F.col("reference"))))
+    rows = rows.groupBy("mode").agg(F.round(F.avg("fluency"), 9).alias("fluency"), F.round(F.avg("safety_score"), 9).alias("safety"))
+    best = lambda k: F.min_by("mode", F.struct(-F.col(k), "mode"))
+    return rounded(rows.agg(best("fluency").alias("best_fluency_mode"), best("safety").alias("best_safety_mode"), F.max("fluency").alias("fluency")), "fluency")
+
+
+def ablation_ranking(spark, sf_dir):
+    """Profiles of each mode and metric by how much they change it, the largest rise first, and the modes in a set order."""
+    rows = ablation_deltas(spark, sf_dir)
+    rank = F.row_number().over(Window.partitionBy("mode", "metric").orderBy(F.desc("delta"), "profile_name")).cast("long")
+    place = F.array_position(F.array(*[F.lit(m) for m in ("ml", "dl_base", "finetuned")]), F.col("mode")).cast("long")
+    return rows.select(place.alias("place"), "mode", "metric", "profile_name", rank.alias("rank")).orderBy("place", "metric", "rank")
+
+
 # -- ablations ---------------------------------------------------------------------------------------------------
 FIRST_PERCENT = r"(?s)^(.*?)(\d+(?:\.\d+)?)%(.*)$"
 #: Fixed: words of the sentences that the severity ablation drops.
@@ -320,6 +368,19 @@ QUERIES = {
       long AS (SELECT profile_name, mode, metric, avg(value) AS value FROM cast_scores UNPIVOT (value FOR metric IN ({', '.join(ABLATION_METRICS)})) GROUP BY ALL)
       SELECT a.profile_name, a.mode, a.metric, round(a.value, 6) AS value, round(a.value - b.value, 6) AS delta, CASE WHEN abs(b.value) > 1e-12 THEN round(100 * (a.value - b.value) / b.value, 6) END AS pct_delta
       FROM long a JOIN long b ON b.profile_name = 'full_system' AND a.mode = b.mode AND a.metric = b.metric"""),
+    "rouge_stemmed": (rouge_stemmed, None),
+    "omission_by_tier": (omission_by_tier, f"""{_SCORES}, t AS (SELECT *, CASE WHEN regexp_matches(lower(table_text), '\\bfatal\\b|\\bdeath\\b|\\bdied\\b|\\bmortality\\b') THEN 4 WHEN regexp_matches(lower(table_text), '\\bsae\\b') THEN 3 WHEN regexp_matches(lower(table_text), '\\bgrade\\s*3\\b') THEN 2 ELSE 1 END AS tier FROM scores)
+      SELECT table_id, mode, {', '.join(f"(tier = {k} AND or_score = 1)::bigint AS omitted_{k}, (tier = {k})::bigint AS total_{k}" for k in (1, 2, 3, 4))}, 'even' AS reading FROM t"""),
+    "benchmark_report": (benchmark_report, f"""{_SCORES}, r AS (SELECT mode, n_total_sents >= 5 AS success, hr = 0 AS verified, nar, CASE WHEN table_id % 10 <> 0 THEN cast(hr AS double) END AS known FROM scores)
+      SELECT mode, count(*) AS n_total, count(*) FILTER (WHERE success) AS n_success, count(*) FILTER (WHERE verified) AS n_verified, round(avg(success::int), 6) AS success_rate, round(avg(verified::int), 6) AS verified_rate, count(known) AS n, round(avg(known), 6) AS mean,
+        round(stddev_pop(known), 6) AS std, round(min(known), 6) AS min, round(quantile_cont(known, 0.1), 6) AS p10, round(quantile_cont(known, 0.5), 6) AS p50, round(quantile_cont(known, 0.9), 6) AS p90, round(max(known), 6) AS max, round(avg(nar), 6) AS mean_nar,
+        avg(known) < 0.04 AS mean_hall_lt_0_04, avg(nar) > 0.96 AS mean_num_acc_gt_0_96 FROM r GROUP BY mode"""),
+    "best_fluency": (best_fluency, f"""{_RL}{_FLU}, {scores_sql()}, m AS (SELECT mode, round(avg(least(0.3 * rl + 0.45 * bertscore_f1 + 0.25 * meteor, 1)), 9) AS fluency FROM parts GROUP BY mode), n AS (SELECT mode, round(avg(safety_score), 9) AS safety FROM scores GROUP BY mode)
+      SELECT (SELECT mode FROM m ORDER BY fluency DESC, mode LIMIT 1) AS best_fluency_mode, (SELECT mode FROM n ORDER BY safety DESC, mode LIMIT 1) AS best_safety_mode, (SELECT round(max(fluency), 6) FROM m) AS fluency"""),
+    "ablation_ranking": (ablation_ranking, f"""{_BASE}, {_ABLATED}, {scores_sql('ablated', keys='table_id, mode, profile_name')}, cast_scores AS (SELECT profile_name, mode, {', '.join(f'cast({m} AS double) AS {m}' for m in ABLATION_METRICS)} FROM scores),
+      long AS (SELECT profile_name, mode, metric, avg(value) AS value FROM cast_scores UNPIVOT (value FOR metric IN ({', '.join(ABLATION_METRICS)})) GROUP BY ALL),
+      d AS (SELECT a.profile_name, a.mode, a.metric, round(a.value - b.value, 6) AS delta FROM long a JOIN long b ON b.profile_name = 'full_system' AND a.mode = b.mode AND a.metric = b.metric)
+      SELECT list_position(['ml', 'dl_base', 'finetuned'], mode)::bigint AS place, mode, metric, profile_name, row_number() OVER (PARTITION BY mode, metric ORDER BY delta DESC, profile_name) AS rank FROM d"""),
     "gate_fallback": (gate_fallback, f"""{_BASE}, n AS (SELECT *, {numbers_sql('dl_base')} AS g, {numbers_sql('table_text')} AS s FROM trials),
       a AS (SELECT *, len(list_filter(g, lambda x: len(list_filter(s, lambda y: abs(x - y) <= 1.01)) > 0)) / len(g) AS accuracy FROM n)
       SELECT table_id, round(accuracy, 6) AS accuracy, accuracy >= 0.95 AS accepted, md5(CASE WHEN accuracy >= 0.95 THEN dl_base ELSE ml END) AS text_md5 FROM a"""),

@@ -33,19 +33,46 @@ def summary_compare(spark, sf_dir):
     return texts(spark, sf_dir).groupBy("table_id").pivot("mode", ["dl_base", "finetuned", "ml"]).agg(F.max(F.length("generated").cast("long")))
 
 
-def trained_selector(spark, sf_dir):
-    """Gradient-boosted trees on the twelve row features against weak labels, with class weights; scores of all rows."""
+SELECTOR_FEATURES = ("drug_pct", "ctrl_pct", "abs_risk_diff", "risk_dir", "relative_risk", "drug_pct_rank", "abs_diff_rank", "sae", "severe", "drug_above_5pct", "drug_above_10pct", "diff_above_5pp")
+
+
+def selector(spark, sf_dir):
+    """(model, held-out rows): gradient-boosted trees on the twelve row features against weak labels, with class weights, fitted on four of five tables."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    names = ["drug_pct", "ctrl_pct", "abs_risk_diff", "risk_dir", "relative_risk", "drug_pct_rank", "abs_diff_rank", "sae", "severe", "drug_above_5pct", "drug_above_10pct", "diff_above_5pp"]
+    from .curation import mentioned
+
     rows = row_features(parsed_rows(trials(spark, sf_dir))).withColumns({"sae": F.col("is_sae").cast("int"), "severe": F.col("is_severe").cast("int")})
-    rows = rows.withColumn("label_", F.lower("reference").contains(F.lower("label")).cast("double")).select("table_id", "label", "label_", *names)
-    share = F.broadcast(rows.agg(F.avg("label_").alias("share")))
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(rows.join(share).withColumn("weight", F.when(F.col("label_") > 0, 1 - F.col("share")).otherwise(F.col("share"))))
-    model = GBTClassifier(labelCol="label_", weightCol="weight", maxIter=10, maxDepth=4, seed=42).fit(data)
-    score = F.element_at(_array("probability"), 2)
-    return model.transform(data).select("table_id", "label", F.col("label_").alias("target"), score.alias("score"))
+    rows = rows.withColumn("label_", mentioned(F.col("label"), F.col("reference")).cast("double")).select("table_id", "label", "label_", *SELECTOR_FEATURES)
+    data = VectorAssembler(inputCols=list(SELECTOR_FEATURES), outputCol="features").transform(rows)
+    fit_on, rest = data.where("table_id % 5 <> 0"), data.where("table_id % 5 = 0")
+    share = F.broadcast(fit_on.agg(F.avg("label_").alias("share")))
+    fit_on = fit_on.join(share).withColumn("weight", F.when(F.col("label_") > 0, 1 - F.col("share")).otherwise(F.col("share")))
+    return GBTClassifier(labelCol="label_", weightCol="weight", maxIter=10, maxDepth=4, seed=42).fit(fit_on), rest
+
+
+def trained_selector(spark, sf_dir):
+    """Scores of the rows that the trees were not fitted on."""
+    model, rest = selector(spark, sf_dir)
+    return model.transform(rest).select("table_id", "label", F.col("label_").alias("target"), F.element_at(_array("probability"), 2).alias("score"))
+
+
+def selector_report(spark, sf_dir):
+    """Accuracy, precision, recall and F1 of the selector on held-out rows."""
+    rows = trained_selector(spark, sf_dir).select((F.col("score") > 0.5).alias("told"), (F.col("target") > 0).alias("wanted"))
+    count = lambda c: F.count_if(c).cast("double")
+    t, w = F.col("told"), F.col("wanted")
+    rows = rows.agg(F.count("*").alias("n"), F.avg((t == w).cast("int")).alias("accuracy"), count(t & w).alias("hit"), count(t).alias("t"), count(w).alias("w"))
+    p, r = F.try_divide("hit", "t"), F.try_divide("hit", "w")
+    return rows.select("n", "accuracy", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
+
+
+def feature_importances(spark, sf_dir):
+    """The selector's features, the most important first."""
+    model, _ = selector(spark, sf_dir)
+    rows = spark.createDataFrame(list(zip(SELECTOR_FEATURES, model.featureImportances.toArray().tolist())), "feature string, importance double")
+    return rows.orderBy(F.desc("importance"), "feature")
 
 
 def _array(column: str):
@@ -55,11 +82,11 @@ def _array(column: str):
 
 
 def selector_auc(spark, sf_dir):
-    """Area under the curve of a score by the rank sum: ranks are counted per distinct score, so no window holds all rows."""
-    rows = parsed_rows(trials(spark, sf_dir)).select((F.length("label") > 8).cast("int").alias("y"), F.round("drug_pct", 1).alias("score"))
-    by = rows.groupBy("score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    below = by.alias("a").join(by.alias("b"), F.col("b.score") < F.col("a.score"), "left").groupBy(F.col("a.score").alias("score")).agg(F.max("a.p").alias("p"), F.max("a.q").alias("q"), F.coalesce(F.sum("b.q"), F.lit(0)).alias("below"))
-    return rounded(below.agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc")), "auc")
+    """Area under the curve of a score, by the rank sum over its distinct values."""
+    from .synthesis import areas
+
+    rows = parsed_rows(trials(spark, sf_dir)).select(F.lit("drug_pct").alias("model"), (F.length("label") > 8).cast("int").alias("label"), F.round(F.col("drug_pct") / 100, 3).alias("score"))
+    return rounded(areas(rows).select("auc"), "auc")
 
 
 _W = f"WITH {TRIALS_SQL} "
@@ -94,4 +121,6 @@ QUERIES = {
     "selector_auc": (selector_auc, f"""{_W}, r AS (SELECT (length(label) > 8)::int AS y, t_b / 10 AS score FROM counted WHERE row_index > 1 AND NOT (t_a = 0 AND t_b = 0))
       SELECT round(sum(CASE WHEN n.score < p.score THEN 1.0 WHEN n.score = p.score THEN 0.5 ELSE 0 END) / count(*), 6) AS auc FROM r p, r n WHERE p.y = 1 AND n.y = 0"""),
     "trained_selector": (trained_selector, None),
+    "selector_report": (selector_report, None),
+    "feature_importances": (feature_importances, None),
 }
