@@ -11,8 +11,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
-#: Rows of a block of a size bin of a source, about: a bin is cut by ranges of the hash into as many blocks as the table has rows for.
-BLOCK_ROWS = 50_000
+#: A size bin of a source is cut by ranges of the hash into blocks: a range for so many rows of the table, and at most so many ranges, by which the prefix sum over
+#: the blocks of a source stays some million rows (about 400 bins).
+BLOCK_ROWS, MOST_RANGES = 2_000, 4_096
 
 
 def n_words(text: Column) -> Column:
@@ -69,7 +70,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     roles = {id_col: "_id", text_col: "_text", source_col: "_source"}
     rows = packed(docs, roles).withColumn("_size", n_words(F.col("_text")))
-    ranges = docs.agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_ranges"))
+    ranges = docs.agg(F.least(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(MOST_RANGES)).alias("_ranges"))
     rows = rows.withColumns({"_bin": size_bin(F.col("_size")), "_h": hashed("coalesce(cast(_id as string), '')"), "_tie": F.xxhash64("_text")})
     rows = rows.join(F.broadcast(ranges)).withColumn("_sub", F.floor(F.col("_h") * F.col("_ranges") / F.lit(float(1 << 32)))).drop("_ranges")
     blocks = rows.groupBy("_source", "_bin", "_sub").agg(F.count("*").alias("n"), F.sum("_size").alias("size"))
