@@ -95,7 +95,7 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not re.match(r"local(\[|$)", sc.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
