@@ -31,7 +31,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that holds it. Only hashes of long lines are shuffled, once per document and key; documents per key are counted with
     map-side sums, so a line that a third of all documents hold is a few rows; the list of lost keys of a document is no longer than the document.
 
-    Null or empty text: one empty line, and the text becomes empty. Rows with the same id count as one document for a key and each is
+    Null or empty text: one empty line, and the text becomes empty. Very long texts are cut into lines whole, in the arrays of one row. Ties cannot be: a key has one largest id. Rows with the same id count as one document for a key and each is
     reassembled. Rows with a null id count for no key and lose no line. Empty table: no rows. Further columns stay, and
     columns named like the two results are replaced.
     """

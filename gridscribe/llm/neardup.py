@@ -240,8 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. Documents of buckets that still hold several classes are compared all with all, within what these
        buckets connect, in parts of 512 documents: tasks multiply occurrence matrices and return a spanning forest, so no pair is a row.
 
-    Null or empty texts have no row here and stay by themselves. Rows with the same id are one document. Null ids have no row. Empty
-    table: no rows. Other columns play no part.
+    Null or empty texts have no row here and stay by themselves. Very long texts are shingled whole, each as a slice of its own. Rows with the same id are
+    one document, linked if one of its texts is. Ties: of leads, classes and copies the smallest id counts, so the result does not hang on the order of rows. Null ids have
+    no row. Empty table: no rows. Other columns play no part, whatever their names.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
     sketched = cut(sketch(docs))
@@ -274,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those whose class has a smaller id. Documents without words and null ids stay."""
+    """docs without those whose class has a smaller id. Documents without words and null ids stay, and so do all columns, whatever their names."""
     gone = near_duplicates(docs, id_col, text_col).where("_id <> class_id").select(F.col("_id").alias("_gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 

@@ -250,7 +250,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only hashes and passages are shuffled besides one pass of the texts, which three joins share. A passage that a third of all documents share is one owner and small
     aggregates; each document gets passages in proportion to its own repeated words.
 
-    Null or empty text: no words, nothing kept. Rows with the same id are one document: they do not remove each other's words.
+    Null or empty text: no words, nothing kept. Ties: a passage has one smallest id, its owner; which of equal hashes comes first plays no part. Rows with the same id are one document: they do not remove each other's words.
     Null ids: kept whole, they own nothing. Empty table: no rows. Texts are never cut. Further columns stay; columns named like
     the results are replaced.
     """

@@ -15,7 +15,7 @@ from .common import appending, chunks, table
 SPACE = "▁"
 UNKNOWN_COST = 10.0
 #: Words that a worker remembers within a partition; beyond it the memory starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 
 def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
@@ -108,7 +108,7 @@ def counter(path: str | None) -> Counter:
 def count_tokens(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with _n_tokens (long), of whole texts. Null and empty texts have none.
 
-    Each row by itself, without a shuffle; repeated rows and empty tables need nothing special. Further columns stay; a column
+    Each row by itself, without a shuffle; ties, repeated rows and empty tables need nothing special, and a very long text is a slice of its own. Further columns stay; a column
     named like the result is replaced. A worker holds one batch and a bounded memory of words.
     """
     docs = docs.drop("_n_tokens")
