@@ -164,27 +164,27 @@ def accuracy_vs_reference(gen: Column, ref: Column, tolerance: float = 1.01) ->
     return let(g, lambda n: let(r, lambda m: share(F.size(F.filter(m, lambda x: F.exists(n, lambda y: F.abs(x - y) <= tolerance))), F.size(m), 1.0)))
 
 
-#: Array columns that hang on the table alone.
-SOURCE_SIDE = ("_src", "_facts", "_sread")
+#: Array columns that hang on the table alone, besides its arms' values _s0, _s1, ...
+SOURCE_SIDE = ("_src", "_facts")
 
 
-def with_source_side(df: DataFrame, table=SEVERITY, text_col: str = "table_text") -> DataFrame:
-    """df with the numbers, facts and tokens of its tables. Before texts of one table become rows of their own, so that each table is read once."""
+def with_source_side(df: DataFrame, arms: tuple[str, ...], radius: int = 30, table=SEVERITY, text_col: str = "table_text") -> DataFrame:
+    """df with the numbers and facts of its tables and the values near their arms. Before texts of one table become rows of their own, so that each table is read once."""
     src = F.col(text_col)
-    return df.withColumns({"_src": extract_numbers(src), "_facts": facts(src, table), "_sread": token_numbers(src)})
+    df = df.withColumns({"_src": extract_numbers(src), "_facts": facts(src, table), "_sread": token_numbers(src)})
+    return df.withColumns({f"_s{k}": arm_values(F.col("_sread"), a, radius) for k, a in enumerate(arms)}).drop("_sread")
 
 
 def evaluate(df: DataFrame, arms: tuple[str, ...], radius: int = 30, table=SEVERITY) -> DataFrame:
     """df (generated, reference, table_text, ...) with all grounded metrics, in one pass without a shuffle.
 
-    Numbers, facts and tokens of the tables are taken from with_source_side if df has them.
+    What hangs on the tables is taken from with_source_side, of the same arms, radius and severity words, if df has it.
     """
     gen, src = F.col("generated"), F.col("table_text")
     if not set(SOURCE_SIDE) <= set(df.columns):
-        df = with_source_side(df, table)
+        df = with_source_side(df, arms, radius, table)
     rows = df.withColumns({"_gen": extract_numbers(gen), "_sents": sentences(gen), "_gread": token_numbers(gen)})
-    values = lambda read, a: arm_values(F.col(read), a, radius)
-    rows = rows.withColumns({**{f"_g{k}": values("_gread", a) for k, a in enumerate(arms)}, **{f"_s{k}": values("_sread", a) for k, a in enumerate(arms)}})
+    rows = rows.withColumns({f"_g{k}": arm_values(F.col("_gread"), a, radius) for k, a in enumerate(arms)})
     g, s = F.col("_gen"), F.col("_src")
     gp, sp = [F.col(f"_g{k}") for k in range(len(arms))], [F.col(f"_s{k}") for k in range(len(arms))]
     confused, evaluated = confusion(gp, sp)

@@ -17,7 +17,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """texts with what their metrics need of the tables, read once a table."""
-    return candidates(M.with_source_side(trials(spark, sf_dir)))
+    return candidates(M.with_source_side(trials(spark, sf_dir), ARMS))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
