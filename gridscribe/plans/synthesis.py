@@ -207,6 +207,11 @@ _LAST = f"""{_S}, kinds AS (SELECT table_id, row_index, {KIND_SQL} AS kind, CASE
     CASE WHEN shape = 7 THEN NULL ELSE nullif(t_a / 10, 0) END AS p_a, nullif(CASE WHEN shape = 7 THEN t_a ELSE t_b END / 10, 0) AS p_b FROM shaped_rows WHERE shape <> 2),
   prefixed AS (SELECT *, {PREFIX_SQL} AS prefix FROM kinds WHERE kind IS NOT NULL),
   last AS ({' UNION ALL '.join(f"SELECT table_id, prefix || '_{k}' AS slot, cast(arg_max({c}, row_index) AS varchar) AS value FROM prefixed WHERE {c} IS NOT NULL GROUP BY ALL" for c, k in _PARTS)})"""
+_KINDS = (("TEAE", "Any TEAE", 82, 99), ("G34", "Grade 3-4 AE", 20, 65), ("SAE", "SAE", 10, 45), ("DISC", "Discontinuation due to AE", 3, 25))
+_DRAWN = ", ".join([*(f"floor(100 + 501 * ({_U('s_suppkey', f'n{x}')}))::bigint AS n{x}" for x in "ab"), *(f"{lo} + {hi - lo} * ({_U('s_suppkey', f'{k}{x}')}) AS {k}_{x}" for k, _, lo, hi in _KINDS for x in "ab")])
+_CELL = lambda k, x: f"round(n{x} * {k}_{x} / 100)::bigint || ' (' || round({k}_{x}, 1) || '%)'"
+_MADE_TABLE = " || ".join(["'start_table [HEADERS: | Event | Drug B (N=' || na || ') | Placebo (N=' || nb || ')]'", *(f"' [ROW] {label} | ' || {_CELL(k, 'a')} || ' | ' || {_CELL(k, 'b')}" for k, label, *_ in _KINDS), "' end_table'"])
+_MADE_TEXT = " || ' ' || ".join(f"'{label} was reported in ' || {_CELL(k, 'a')} || ' of subjects in the Drug B arm and ' || {_CELL(k, 'b')} || ' in the Placebo arm.'" for k, label, *_ in _KINDS)
 
 QUERIES = {
     "line_rows": (line_rows, f"{_S}, n AS (SELECT table_id, count(*) AS n FROM shaped_rows GROUP BY table_id) SELECT table_id, CASE WHEN table_id % 3 = 0 THEN n - n // 2 ELSE n END AS n_line, n AS n_all FROM n"),
@@ -220,7 +225,7 @@ QUERIES = {
       m AS (SELECT table_id, ml, s, unnest(s[2:-2]) AS x, unnest(range(0, len(s[2:-2]))) AS i FROM p), o AS (SELECT table_id, string_agg(x, ' ' ORDER BY md5(x || ':42' || i), x) AS mid FROM m GROUP BY table_id)
       SELECT table_id, md5(CASE WHEN len(s) < 3 THEN ml ELSE s[1] || ' ' || mid || ' ' || s[-1] END) AS text_md5 FROM p LEFT JOIN o USING (table_id)"""),
     "varied_tables": (varied_tables, None),
-    "template_examples": (template_examples, None),
+    "template_examples": (template_examples, f"WITH d AS (SELECT s_suppkey AS id, {_DRAWN} FROM supplier) SELECT id, {_MADE_TABLE} AS table_text, {_MADE_TEXT} AS writeup FROM d"),
     "oversample": (oversample, f"{_LAB}, n AS (SELECT label, count(*) AS n FROM scored GROUP BY label) SELECT label::bigint AS label, (SELECT max(n) FROM n) AS n, n AS n_real FROM n"),
     "event_clusters": (event_clusters, None),
     "ensemble_vote": (ensemble_vote, f"{_LAB}, w AS (SELECT {', '.join(f'{_AUC(m)} AS w_{m}' for m in MODELS)}), v AS (SELECT id, ({' + '.join(f'{m} * w_{m}' for m in MODELS)}) / ({' + '.join(f'w_{m}' for m in MODELS)}) AS score FROM scored, w) SELECT id, round(score, 6) AS score, score > 0.5 AS told FROM v"),
