@@ -66,8 +66,10 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
 
 
 def appending(df: DataFrame, run, extra: str) -> DataFrame:
-    """in_arrow whose batches are those of df with further columns (a DDL string) at the end."""
-    return in_arrow(df, run, StructType([*df.schema.fields, *StructType.fromDDL(extra).fields]))
+    """in_arrow whose batches are those of df with further columns (a DDL string) at the end; columns with a dot in their name have another one within."""
+    more = StructType.fromDDL(extra).fields
+    plain = df.toDF(*[f"_column_{i}" if "." in c or "`" in c else c for i, c in enumerate(df.columns)])
+    return in_arrow(plain, run, StructType([*plain.schema.fields, *more])).toDF(*df.columns, *[f.name for f in more])
 
 
 def packed(df: DataFrame, roles: dict[str, str]) -> DataFrame:
@@ -209,6 +211,25 @@ class Words:
         return b" ".join(data[s:e].tobytes() for s, e in zip(self.start[i:j].tolist(), self.end[i:j].tolist()))
 
 
+def left_over(words: Words, gone: np.ndarray) -> pa.Array:
+    """The words of each text that are not gone, joined by one space."""
+    keep = np.flatnonzero(~gone)
+    n = len(words.data)
+    edge = np.zeros(n + 1, np.int8)
+    edge[words.start[keep]] += 1
+    edge[words.end[keep]] -= 1  # words never touch
+    mask = np.cumsum(edge[:n], dtype=np.int8).astype(bool)
+    data = words.data.copy()
+    joint = keep[:-1][words.doc[keep[:-1]] == words.doc[keep[1:]]] if len(keep) else keep
+    mask[words.end[joint]] = True
+    data[words.end[joint]] = 32
+    texts = len(words.offsets) - 1
+    sizes = np.add.reduceat(np.r_[mask, False].astype(np.int64), np.minimum(words.offsets[:-1], n)) if texts else np.zeros(0, np.int64)
+    sizes[np.diff(words.offsets) == 0] = 0
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    return pa.StringArray.from_buffers(texts, pa.py_buffer(offsets), pa.py_buffer(data[mask]))
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = SLICE):
     """Slices of the batch with about `most` bytes of text at the most; a longer text is a slice of its own."""
     col = batch.column(column)

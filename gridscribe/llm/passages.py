@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, chunks, in_arrow, packed, partitions, rest_of, table, unpacked
+from .common import Words, chunks, in_arrow, left_over, packed, partitions, rest_of, table, unpacked
 
 WINDOW = 50
 #: Words of an anchor run. A window's anchor is the least hash of its runs of so many words.
@@ -205,21 +205,7 @@ def strip_occurrences(part: pa.RecordBatch, window: int) -> tuple[np.ndarray, np
                 removed[i + b] -= 1
     gone = np.cumsum(removed[:-1]) > 0
     counts = np.bincount(words.doc[gone], minlength=part.num_rows)
-    keep = np.flatnonzero(~gone)
-    n = len(words.data)
-    edge = np.zeros(n + 1, np.int8)
-    edge[words.start[keep]] += 1
-    edge[words.end[keep]] -= 1  # words never touch
-    mask = np.cumsum(edge[:n], dtype=np.int8).astype(bool)
-    data = words.data.copy()
-    joint = keep[:-1][words.doc[keep[:-1]] == words.doc[keep[1:]]] if len(keep) else keep
-    mask[words.end[joint]] = True
-    data[words.end[joint]] = 32
-    sizes = np.add.reduceat(np.r_[mask, False].astype(np.int64), np.minimum(words.offsets[:-1], n)) if part.num_rows else np.zeros(0, np.int64)
-    sizes[np.diff(words.offsets) == 0] = 0
-    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-    kept = pa.StringArray.from_buffers(part.num_rows, pa.py_buffer(offsets), pa.py_buffer(data[mask]))
-    return np.diff(words.first), counts, kept
+    return np.diff(words.first), counts, left_over(words, gone)
 
 
 def list_sizes(column: pa.Array) -> np.ndarray:

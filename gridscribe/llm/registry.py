@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, mixing, neardup, passages, quality, toxicity, unigram, urls, vectors
+from . import bpe, chat, lines, mixing, neardup, passages, periodic, quality, toxicity, unigram, urls, vectors
 
 QUERIES = {
     "op1_substring_dedup": passages.op1_substring_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_chat_formatting": chat.op11_chat_formatting,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 SQL = {
@@ -25,4 +27,5 @@ SQL = {
     "op6_mixing": mixing.SQL,
     "op9_embedding_near_dedup": vectors.SQL,
     "op10_line_dedup": lines.SQL,
+    "op11_chat_formatting": chat.SQL,
 }
