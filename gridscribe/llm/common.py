@@ -88,19 +88,22 @@ def unpacked(df: DataFrame, columns: list[str], roles: dict[str, str], results:
     return df.select(*own, *[v.alias(k) for k, v in results.items()])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to spark.checkpoint.dir and read again: the lineage ends in a folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Where it is missing, only a session on one machine gets a folder of its own; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    Where the setting is missing, only a session on one machine gets a folder of its own; on a cluster that is an error.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to spark.checkpoint.dir and read again: the lineage ends in a folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not re.match(r"local(\[|$)", sc.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lines, mixing, neardup, passages, periodic, quality, toxicity, unigram, urls, vectors
+from . import bpe, chat, lines, mixing, neardup, passages, periodic, quality, timeparts, toxicity, unigram, urls, vectors
 
 QUERIES = {
     "op1_substring_dedup": passages.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
     "op10_line_dedup": lines.op10_line_dedup,
     "op11_chat_formatting": chat.op11_chat_formatting,
+    "op12_time_partitions": timeparts.op12_time_partitions,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
