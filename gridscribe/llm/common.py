@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..session import cut, shared_folder  # noqa: F401
+
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``: only these six characters part words.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
@@ -88,25 +89,6 @@ def unpacked(df: DataFrame, columns: list[str], roles: dict[str, str], results:
     return df.select(*own, *[v.alias(k) for k, v in results.items()])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share. Where it is missing, only a session on one machine gets a folder of its own; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to spark.checkpoint.dir and read again: the lineage ends in a folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def powers(mul: int, inverse: bool, n: int) -> np.ndarray:
     """mul**i (or its inverse) modulo 2**64 for i < n."""
     have = _POWERS.get((mul, inverse))

@@ -24,6 +24,31 @@ def line_hash(line: Column, min_chars: int) -> Column:
     return F.when(F.length(F.btrim(line, F.lit(SPACE))) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.hash(key).alias("b")))
 
 
+def with_kept_lines(rows: DataFrame, min_chars: int) -> DataFrame:
+    """rows (_text, lost: the keys that the document loses, or null) with _lines and kept, the lines that stay.
+
+    Lost keys and the keys of long lines are sorted together: a lost key comes first among its equals, and what follows it up to the next key are the places of lost
+    lines. The places between those stay. Every step is linear in the lines of the row, or a sort of them.
+    """
+    at = lambda name, i: F.get(name, i)
+    rows = rows.withColumn("_lines", F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1))
+    keys = F.concat(
+        F.transform("lost", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("place"))),
+        F.filter(F.transform("_lines", lambda x, i: F.struct(line_hash(x, min_chars).alias("k"), i.alias("place"))), lambda s: s["k"].isNotNull()))
+    rows = rows.withColumn("_keys", F.when(F.col("lost").isNotNull(), F.sort_array(keys)))
+    heads = F.filter(F.sequence(F.lit(0), F.size("_keys") - 1), lambda i: ~at("_keys", i)["k"].eqNullSafe(at("_keys", i - 1)["k"]))
+    rows = rows.withColumn("_heads", F.when(F.col("_keys").isNotNull(), heads))
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    of = lambda i, j: F.when(at("_keys", i)["place"] < 0, span(i + 1, F.coalesce(at("_heads", j + 1), F.size("_keys")) - 1)).otherwise(none)
+    gone = F.transform(F.flatten(F.transform("_heads", of)), lambda i: at("_keys", i)["place"])
+    rows = rows.withColumn("_gone", F.sort_array(gone)).drop("_keys", "_heads")
+    between = lambda j: span(F.coalesce(at("_gone", j - 1), F.lit(-1)) + 1, F.coalesce(at("_gone", j), F.size("_lines")) - 1)
+    stay = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), between))
+    kept = F.when(F.size("_gone") > 0, F.transform(stay, lambda i: at("_lines", i))).otherwise(F.col("_lines"))
+    return rows.withColumn("kept", kept).drop("_gone")
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the text reassembled from the lines that stay, and _n_lines and _n_dropped (long).
 
@@ -31,7 +56,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that holds it. Only hashes of long lines are shuffled, once per document and key; documents per key are counted with
     map-side sums, so a line that a third of all documents hold is a few rows; the list of lost keys of a document is no longer than the document.
 
-    Null or empty text: one empty line, and the text becomes empty. Very long texts are cut into lines whole, in the arrays of one row. Ties cannot be: a key has one largest id. Rows with the same id count as one document for a key and each is
+    Null or empty text: one empty line, and the text becomes empty. Very long texts are cut into lines whole, in the arrays of one row; their lines and lost keys are sorted together. Ties cannot be: a key has one largest id. Rows with the same id count as one document for a key and each is
     reassembled. Rows with a null id count for no key and lose no line. Empty table: no rows. Further columns stay, and
     columns named like the two results are replaced.
     """
@@ -44,10 +69,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = held.select("at", F.col("h.a").alias("a"), F.col("h.b").alias("b")).distinct()
     common = held.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("at").alias("keeper")).where(F.col("n") >= min_docs)
     lost = held.join(common, ["a", "b"]).where("at <> keeper").groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("lost"))
-    lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1)
-    kept = F.when(F.col("lost").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("lost"), line_hash(x, min_chars)), F.lit(True))))
-    rows = rows.join(lost.hint("shuffle_hash"), F.col("_id") == F.col("at"), "left").select("_id", *rest, F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    rows = rows.join(lost.hint("shuffle_hash"), F.col("_id") == F.col("at"), "left").select("_id", *rest, "_text", "lost")
+    rows = with_kept_lines(rows, min_chars).select("_id", *rest, F.size("_lines").cast("long").alias("n_lines"), "kept")
     rows = rows.select("_id", *rest, "n_lines", F.size("kept").cast("long").alias("n_left"), F.array_join("kept", "\n").alias("_text"))
     return unpacked(rows, docs.columns, roles, {"_n_lines": F.col("n_lines"), "_n_dropped": F.col("n_lines") - F.col("n_left")})
 

@@ -13,7 +13,7 @@ from .common import Words, chunks, in_arrow, left_over, packed, partitions, rest
 WINDOW = 50
 #: Words of an anchor run. A window's anchor is the least hash of its runs of so many words.
 ANCHOR = 12
-#: Words of the passages that one automaton holds at most, besides a single longer passage.
+#: Words of the passages that one automaton holds at most; each is a letter, so there are no more letters than these.
 SHARD_WORDS = 400_000
 
 
@@ -120,6 +120,32 @@ def cut_passages(owners: DataFrame, window: int, anchor: int) -> DataFrame:
     return in_arrow(owners, run, f"owner {owners.schema['_id'].dataType.simpleString()}, a int, passage string")
 
 
+def _longest(most: int, equal) -> int:
+    """The largest n up to `most` with equal(0, n), where equal(i, j) compares what lies between i and j: stretches double until one differs, which is then halved."""
+    n, step = 0, 64
+    while n < most:
+        k = min(step, most - n)
+        if equal(n, n + k):
+            n, step = n + k, 2 * step
+            continue
+        low, high = 0, k
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if equal(n + low, n + mid) else (low, mid)
+        return n + low
+    return n
+
+
+def agreement(a: str, i: int, b: str, j: int) -> int:
+    """Letters that agree from a[i] and b[j] on."""
+    return _longest(min(len(a) - i, len(b) - j), lambda x, y: a[i + x : i + y] == b[j + x : j + y])
+
+
+def agreement_before(a: str, i: int, b: str, j: int) -> int:
+    """Letters that agree before a[i] and b[j]."""
+    return _longest(min(i, j), lambda x, y: a[i - y : i - x] == b[j - y : j - x])
+
+
 class Shard:
     """An automaton over some passages, each word one letter of the shard's own alphabet.
 
@@ -127,13 +153,13 @@ class Shard:
     the passages and places it comes from; a hit is widened to both sides as far as passage and document agree.
     """
 
-    def __init__(self, passages: list[tuple[bytes, int]], window: int):
+    def __init__(self, passages: list[tuple[list[bytes], int]], window: int):
         self.window, self.letter, self.passages = window, {}, []
         half = window // 2
         places: dict[str, list[tuple[int, int]]] = {}
-        for text, owner in passages:
+        for words, owner in passages:
             letters = []
-            for w in text.split(b" "):
+            for w in words:
                 c = self.letter.get(w)
                 if c is None:
                     n = len(self.letter) + 1
@@ -149,37 +175,46 @@ class Shard:
         self.automaton.make_automaton()
 
     def occurrences(self, words: list[bytes], doc_id) -> list[tuple[int, int]]:
-        """Stretches [i, j) of the document, a window long at least, that a passage of a smaller document covers."""
+        """Stretches [i, j) of the document, a window long at least, that a passage of a smaller document covers; together they hold every word of every such window.
+
+        Any such window holds a whole hit and reaches no further than a window less the hit to either side of it. So a hit is passed over, and the rest of its places too, once all
+        words that near to it are in one stretch: a passage that repeats itself is not tried at each of its places against each place of the text.
+        """
         get = self.letter.get
         text = "".join([get(w, "\0") for w in words])
         n, seen, out = len(text), {}, []
+        low, high = 0, 0  # what joined stretches cover last
         for last, (size, where) in self.automaton.iter(text):
             p = last + 1 - size
+            first, end = max(0, p - self.window + size), min(n, p + self.window)
             for k, o in where:
+                if low <= first and end <= high:
+                    break
                 passage, owner = self.passages[k]
-                if owner >= doc_id or seen.get((k, p - o), -1) > p:
+                shift = p - o
+                if owner >= doc_id or seen.get((k, shift), -1) > p:
                     continue
-                shift, m = p - o, len(passage)
-                i, j = o, o + size
-                while i and shift + i and passage[i - 1] == text[shift + i - 1]:
-                    i -= 1
-                while j < m and shift + j < n and passage[j] == text[shift + j]:
-                    j += 1
-                seen[k, shift] = shift + j
+                i = p - agreement_before(passage, o, text, p)
+                j = p + size + agreement(passage, o + size, text, p + size)
+                seen[k, shift] = j
                 if j - i >= self.window:
-                    out.append((shift + i, shift + j))
+                    out.append((i, j))
+                    low, high = (min(low, i), max(high, j)) if i <= high and low <= j else (i, j)
         return out
 
 
 def shards(passages: list[tuple[bytes, int]], window: int):
+    """Automata of at most SHARD_WORDS words each. A longer passage is cut into pieces that share a window less one word, so that each of its windows is in one."""
     now, size = [], 0
     for text, owner in passages:
-        n = text.count(b" ") + 1
-        if now and size + n > SHARD_WORDS:
-            yield Shard(now, window)
-            now, size = [], 0
-        now.append((text, owner))
-        size += n
+        words = text.split(b" ")
+        for i in range(0, max(1, len(words) - window + 1), SHARD_WORDS - window + 1):
+            piece = words[i : i + SHARD_WORDS]
+            if now and size + len(piece) > SHARD_WORDS:
+                yield Shard(now, window)
+                now, size = [], 0
+            now.append((piece, owner))
+            size += len(piece)
     if now:
         yield Shard(now, window)
 

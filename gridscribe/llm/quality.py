@@ -47,14 +47,18 @@ def with_classes(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_word_chars": F.col("_chars") - F.col("_space"), "_classes": classes}).drop("_chars", "_space", "_marks", "_upper", "_digits", "_other")
 
 
+def run_hash(x: Column, y: Column, z: Column) -> Column:
+    return F.xxhash64(x, y, z)
+
+
 def with_repeats(rows: DataFrame) -> DataFrame:
     """rows (_w, _n_words) with _n_repeat_words: words in runs of three that the text holds twice or more.
 
     Runs are hashed. Where hashes recur, each is shortened by the bits that its place takes and sorted with it as one number; equal
-    neighbours are runs found twice, and each covers its place and the next two.
+    neighbours propose the runs that may be found twice. Those are sorted by their words, and equal ones are found twice: each covers its place and the next two.
     """
     word = lambda i: F.get("_w", i)
-    runs = F.transform(F.slice("_w", 1, F.greatest(F.col("_n_words") - 2, F.lit(0)).cast("int")), lambda x, i: F.xxhash64(x, word(i + 1), word(i + 2)))
+    runs = F.transform(F.slice("_w", 1, F.greatest(F.col("_n_words") - 2, F.lit(0)).cast("int")), lambda x, i: run_hash(x, word(i + 1), word(i + 2)))
     rows = rows.withColumn("_runs", runs)
     recurring = F.size(F.array_distinct("_runs")) < F.size("_runs")
     rows = rows.withColumn("_bits", F.when(recurring, F.length(F.bin(F.col("_n_words")))).otherwise(0).cast("int"))
@@ -64,8 +68,14 @@ def with_repeats(rows: DataFrame) -> DataFrame:
     same = lambda i: F.call_function("shiftrightunsigned", at(i).bitwiseXOR(at(i - 1)), F.col("_bits")) == 0
     rows = rows.withColumn("_again", F.when(F.col("_bits") > 0, F.filter(F.sequence(F.lit(1), F.size("_placed") - 1), same)))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
-    twice = F.transform(F.concat("_again", F.transform("_again", lambda i: i - 1)), lambda i: at(i).bitwiseAND(mask))
-    rows = rows.withColumn("_twice", F.sort_array(F.array_distinct(twice))).drop("_placed", "_again", "_bits")
+    may = F.array_distinct(F.transform(F.concat("_again", F.transform("_again", lambda i: i - 1)), lambda i: at(i).bitwiseAND(mask)))
+    rows = rows.withColumn("_may", F.when(F.size("_again") > 0, may)).drop("_placed", "_again", "_bits")
+    # words hold no spaces, so joined by them they say which words they are
+    said = lambda p: F.concat_ws(" ", word(p.cast("int")), word(p.cast("int") + 1), word(p.cast("int") + 2))
+    rows = rows.withColumn("_said", F.sort_array(F.transform("_may", lambda p: F.struct(said(p).alias("s"), p.alias("p"))))).drop("_may")
+    one = lambda i: F.get("_said", i)["s"]
+    twice = F.filter("_said", lambda x, i: x["s"].eqNullSafe(one(i - 1)) | x["s"].eqNullSafe(one(i + 1)))
+    rows = rows.withColumn("_twice", F.sort_array(F.transform(twice, lambda x: x["p"]))).drop("_said")
     covered = F.transform("_twice", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_twice", i + 1) - p, F.lit(3).cast("long"))))
     return rows.withColumn("_n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, v: a + v), F.lit(0).cast("long"))).drop("_twice")
 

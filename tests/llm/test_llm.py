@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -472,3 +473,69 @@ def test_pipeline_stages(spark, tmp_path):
             assert after.columns == columns
         before = after
     assert corpus_pipeline.run(spark, SF).count() == before.count()
+
+
+def brute_repeats(text):
+    w = WORD.findall(text)
+    n = Counter(zip(w, w[1:], w[2:]))
+    return len({j for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)})
+
+
+def test_op4_equal_hashes_of_other_words_do_not_count(spark, monkeypatch):
+    monkeypatch.setattr(quality, "run_hash", lambda x, y, z: F.pmod(F.xxhash64(x, y, z), F.lit(4)))
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in range(300)), " ".join(f"w{i % 50}" for i in range(120)), "a b c x y a b c", "", "a", "a a a a a", *(" ".join(rng.choice(list("abcdefgh"), 200)) for _ in range(10))]
+    texts += [" ".join([*(f"u{i}" for i in range(50)), "p q r", *(f"v{i}" for i in range(50)), "p q r"])]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id int, text string, lang string")
+    assert {r["doc_id"]: r["_n_repeat_words"] for r in quality.judge_quality(df).collect()} == {i: brute_repeats(t) for i, t in enumerate(texts)}
+
+
+def test_op10_many_lines(spark):
+    """Documents of 30,000 lines that lose every other one: in a time that follows the lines."""
+    line = lambda i: f"{i:06d} " + "x" * 40 if i % 2 == 0 else f"short {i}"
+    text = "\n".join(line(i) for i in range(30_000))
+    df = spark.createDataFrame([(i, text) for i in range(6)] + [(7, text + "\n" + line(0))], "doc_id bigint, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in lines.drop_repeated_lines(df).collect()}
+    assert time.time() - began < 60
+    assert got[0]["text"] == "\n".join(f"short {i}" for i in range(1, 30_000, 2)) and got[0]["_n_dropped"] == 15_000
+    assert got[7]["text"] == text + "\n" + line(0) and got[7]["_n_dropped"] == 0
+
+
+def test_op10_lost_lines_at_the_ends_and_side_by_side(spark):
+    a, b, c = ("A" * 40, "b" * 45, "c" * 50)
+    texts = [f"{a}\n{b}", f"{a}\n{a}\nx\n{b}\n{a}", f"x\n{b}\n\n{a}\ny", f"{b}\n{a}\n", f" {a.lower()} \n{c}", f"{a}\n{b}\n{a}"]
+    got = {r["doc_id"]: (r["text"], r["_n_dropped"]) for r in lines.drop_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {0: ("", 2), 1: ("x", 4), 2: ("x\n\ny", 2), 3: ("", 2), 4: (c, 1), 5: (texts[5], 0)}
+
+
+def test_op1_repetitive_texts(spark):
+    words = " ".join(["la"] * 200_000)
+    docs = [(1, "x " + words), (2, words + " y"), (3, " ".join(["la", "li"] * 30_000)), (4, "z " + " ".join(["la", "li"] * 40_000))]
+    began = time.time()
+    got = {r["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept"]) for r in passages.remove_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert time.time() - began < 60
+    assert got == {1: (200_001, 0, docs[0][1]), 2: (200_001, 200_000, "y"), 3: (60_000, 0, docs[2][1]), 4: (80_001, 80_000, "z")}
+
+
+def test_op1_repeats_within_passages_equal_brute_force():
+    rng = np.random.default_rng(9)
+    for trial in range(60):
+        alphabet = [b"a", b"b", b"c"][: 1 + trial % 3]
+        make = lambda n: [x for _ in range(n) for x in [alphabet[int(rng.integers(len(alphabet)))]] * int(rng.integers(1, 12))]  # noqa: E731, B023
+        owned, text = [make(int(rng.integers(2, 30))) for _ in range(3)], make(int(rng.integers(5, 60)))
+        text += owned[0][: int(rng.integers(1, 200))] + text[: int(rng.integers(1, 60))]
+        known = {tuple(w[i : i + 50]) for k, w in enumerate(owned) if k < 2 for i in range(len(w) - 49)}
+        want = {x for i in range(len(text) - 49) if tuple(text[i : i + 50]) in known for x in range(i, i + 50)}
+        shard = passages.Shard([(w, k) for k, w in enumerate(owned)], 50)
+        got = {x for i, j in shard.occurrences(text, 2) for x in range(i, j)}
+        assert got == want
+
+
+def test_op1_long_passages_are_cut_into_shards(monkeypatch):
+    monkeypatch.setattr(passages, "SHARD_WORDS", 120)
+    words = [f"w{i}".encode() for i in range(500)]
+    made = list(passages.shards([(b" ".join(words), 1), (b" ".join(words[:60]), 2)], 50))
+    assert all(len(s.letter) <= 120 for s in made) and len(made) > 4
+    covered = {x for s in made for i, j in s.occurrences(words, 5) for x in range(i, j)}
+    assert covered == set(range(500))
