@@ -45,19 +45,28 @@ def legacy(spark, sf_dir):
     return rows.select("table_id", got["text"].alias("text"), F.array_join(got["unfilled"], ",").alias("unfilled"))
 
 
+def with_cluster(tables: DataFrame) -> DataFrame:
+    """tables (table_id, table_text, ...) with cluster."""
+    more = [c for c in tables.columns if c not in ("table_id", "table_text")]
+    rows = tables.select("table_id", *more, "table_text", *[v.alias(k) for k, v in T.table_features(F.col("table_text")).items()])
+    return rows.select("table_id", *more, "table_text", T.cluster().alias("cluster"))
+
+
 def clustered(spark, sf_dir) -> DataFrame:
-    rows = shapes(spark, sf_dir)
-    rows = rows.select("table_id", "shape", "table_text", *[v.alias(k) for k, v in T.table_features(F.col("table_text")).items()])
-    return rows.select("table_id", "shape", "table_text", T.cluster().alias("cluster"))
+    return with_cluster(shapes(spark, sf_dir))
 
 
-def listings(spark, sf_dir) -> DataFrame:
+def listings_of(tables: DataFrame) -> DataFrame:
     """(table_id, listing): a sentence for each selected row of single events, in the order of the table."""
-    rows = shapes(spark, sf_dir).withColumn("_a", T.arms(F.col("table_text")))
+    rows = tables.withColumn("_a", T.arms(F.col("table_text")))
     rows = T.selected(T.parsed_rows(rows)).where("selected").select("table_id", F.struct("row_index", G.event_sentence().alias("s")).alias("x"))
     return rows.groupBy("table_id").agg(F.array_join(F.sort_array(F.collect_list("x"))["s"], " ").alias("listing"))
 
 
+def listings(spark, sf_dir) -> DataFrame:
+    return listings_of(shapes(spark, sf_dir))
+
+
 def event_listing(spark, sf_dir):
     return listings(spark, sf_dir)
 
@@ -68,9 +77,10 @@ def summaries(spark, sf_dir):
 
 
 def text_polish(spark, sf_dir):
-    """Polish of texts with every flaw that it mends."""
+    """Polish of texts with every flaw that it mends: whole tables with flaws within and at the end."""
     t = F.col("table_text")
-    rough = F.concat(F.substring(t, 1, 40), F.lit(" ( ) a , , b . . c  d ; e 5 % versus in the "), F.substring(t, 41, 30), F.lit(" !"))
+    flaws = " ( ) a , , b . . c  d ; e 5 % versus in the "
+    rough = F.concat(F.substring(t, 1, 40), F.lit(flaws), F.substring(t, F.lit(41), F.length(t)), F.lit(" !"))
     return shapes(spark, sf_dir).select("table_id", F.md5(G.polish(rough)).alias("text_md5"))
 
 
@@ -177,7 +187,7 @@ QUERIES = {
     "summaries": (summaries, f"""{_SAID}, told AS (SELECT table_id, count(sentence) AS n, string_agg(sentence, ' ' ORDER BY {_ORDER}) AS narrative FROM said GROUP BY table_id), {_LEGACY}, {_LISTED},
       bodies AS (SELECT table_id, cluster, CASE WHEN n >= 2 THEN 'realized' ELSE 'template' END AS origin, CASE WHEN n >= 2 THEN narrative ELSE text END AS body, listing FROM legacy JOIN told USING (table_id) LEFT JOIN listed USING (table_id))
       SELECT table_id, origin, {_polished("CASE WHEN cluster <> 'C14_individual_ae_listing' OR listing IS NULL THEN body WHEN length(body) < 20 THEN listing ELSE body || ' ' || listing END")} AS summary, cast(NULL AS varchar) AS error FROM bodies"""),
-    "text_polish": (text_polish, f"WITH {SLOTS_SQL.split('WITH ', 1)[1]}, t AS (SELECT table_id, substr(table_text, 1, 40) || ' ( ) a , , b . . c  d ; e 5 % versus in the ' || substr(table_text, 41, 30) || ' !' AS t FROM shapes) SELECT table_id, md5({_polished('t')}) AS text_md5 FROM t"),
+    "text_polish": (text_polish, f"WITH {SLOTS_SQL.split('WITH ', 1)[1]}, t AS (SELECT table_id, substr(table_text, 1, 40) || ' ( ) a , , b . . c  d ; e 5 % versus in the ' || substr(table_text, 41) || ' !' AS t FROM shapes) SELECT table_id, md5({_polished('t')}) AS text_md5 FROM t"),
     "cluster_dimension": (clusters, f"SELECT * FROM (VALUES {', '.join(f'({_q(k)}, {_q(d)}, {_q(t)})' for k, (d, t) in G.CLUSTERS.items())}) c(cluster, description, template)"),
     "feature_dimension": (feature_names, f"SELECT * FROM (VALUES {', '.join(f'({i}::bigint, {_q(k)})' for i, k in enumerate(T.FEATURES))}) f(position, name)"),
 }

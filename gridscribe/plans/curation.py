@@ -147,12 +147,13 @@ def source_union(spark, sf_dir):
 
 
 def pages_of(spark, sf_dir):
-    """(doc_id, page, text): documents as pages of lines, some of which are paragraphs of a trial's text."""
+    """(doc_id, page, text): whole documents as pages of lines, with paragraphs of a trial's text in those that have the id of a trial."""
     said = trials(spark, sf_dir).select(F.col("table_id").alias("doc_id"), "ml", "reference")
-    rows = docs(spark, sf_dir).join(said, "doc_id")
+    rows = docs(spark, sf_dir).join(said, "doc_id", "left")
     page = lambda *parts: F.concat_ws("\n\n", *parts)
-    early = F.when(F.col("doc_id") % 3 == 0, page(F.lit("short"), F.col("ml"), F.substring("text", 1, 300)))
-    texts = F.array(F.coalesce(early, F.substring("text", 1, 300)), page(F.substring("text", 1, 90), F.col("reference")), F.when(F.col("doc_id") % 2 == 0, F.col("ml")).otherwise(F.lit("")))
+    text, told = F.coalesce("text", F.lit("")), F.coalesce("ml", F.lit(""))
+    first = F.when(F.col("doc_id") % 3 == 0, page(F.lit("short"), told, text)).otherwise(text)
+    texts = F.array(first, page(text, F.coalesce("reference", F.lit(""))), F.when(F.col("doc_id") % 2 == 0, told).otherwise(F.lit("")))
     return rows.select("doc_id", F.posexplode(texts).alias("page", "text"))
 
 
@@ -203,10 +204,14 @@ def page_links(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.size(links).cast("long").alias("n_links"), F.size(F.array_distinct(links)).cast("long").alias("n_distinct"), F.md5(F.array_join(links, "|")).alias("links_md5"))
 
 
-def reference_scrub(spark, sf_dir):
+def scrubbed(text):
     """Page marks, document ids and confidentiality notes go, white space is squeezed."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"(?i)page \d+ of \d+", ""), r"(?i)document id:? \S+", ""), r"(?i)confidential", "")
-    return docs(spark, sf_dir).select("doc_id", F.md5(F.trim(F.regexp_replace(t, r"[ \t\n\r]+", " "))).alias("text_md5"))
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?i)page \d+ of \d+", ""), r"(?i)document id:? \S+", ""), r"(?i)confidential", "")
+    return F.trim(F.regexp_replace(t, r"[ \t\n\r]+", " "))
+
+
+def reference_scrub(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(scrubbed("text")).alias("text_md5"))
 
 
 def item_fingerprint(spark, sf_dir):
@@ -262,8 +267,8 @@ _W = f"WITH {TRIALS_SQL} "
 _PIECES = f"""{_W}, said AS (SELECT 't' || table_id AS of, unnest([ml, string_split(ml, '. ')[1], table_text, 'Table ' || table_id || ': safety', 'Note: percentages are of subjects', 'Write up of table ' || table_id || ' with all subjects of the safety set', 'x']) AS text,
   unnest(range(0, 7)) AS kind FROM trials), pieces AS (SELECT of, kind, text, lower(text) AS low FROM said UNION ALL SELECT 'd' || doc_id, 99, text, lower(text) FROM documents)"""
 _PAGES = f"""{_W}, pages_of AS (SELECT doc_id, unnest(range(0, 3)) AS page, unnest([
-    CASE WHEN doc_id % 3 = 0 THEN 'short' || chr(10) || chr(10) || ml || chr(10) || chr(10) || substr(text, 1, 300) ELSE substr(text, 1, 300) END,
-    substr(text, 1, 90) || chr(10) || chr(10) || reference, CASE WHEN doc_id % 2 = 0 THEN ml ELSE '' END]) AS text FROM documents JOIN trials ON doc_id = table_id)"""
+    CASE WHEN doc_id % 3 = 0 THEN 'short' || chr(10) || chr(10) || coalesce(ml, '') || chr(10) || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END,
+    coalesce(text, '') || chr(10) || chr(10) || coalesce(reference, ''), CASE WHEN doc_id % 2 = 0 THEN coalesce(ml, '') ELSE '' END]) AS text FROM documents LEFT JOIN trials ON doc_id = table_id)"""
 QUERIES = {
     "fingerprint_dedup": (fingerprint_dedup, f"{_W}, f AS (SELECT table_id, md5(array_to_string(list_sort(regexp_extract_all(table_text, '\\d+\\.?\\d*')), '')) AS fingerprint FROM trials) SELECT fingerprint, min(table_id) AS table_id, count(*) AS n FROM f GROUP BY fingerprint"),
     "leakage_guard": (leakage_guard, f"{_W}, s AS (SELECT table_id, CASE WHEN table_id % 7 = 0 THEN '' ELSE array_to_string(list_sort(regexp_extract_all(table_text, '\\d+\\.?\\d*')), '') END AS k FROM trials) SELECT table_id FROM s WHERE k NOT IN (SELECT k FROM s WHERE table_id % 5 = 0)"),

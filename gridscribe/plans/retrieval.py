@@ -1,15 +1,23 @@
-"""Retrieval queries: scaling, nearest neighbours, leave-one-out."""
+"""Retrieval queries: scaling, nearest neighbours, leave-one-out evaluation, summaries adapted from a neighbour's write-up."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import metrics as M, tables as T
+from ..functions.rouge import rouge_f1
 from ..functions.tables import FEATURES, table_features
+from ..operators import adapt as D, generation as G
+from ..operators.neighbours import best_of, distances, matrix, nearest_by_pivots, nearest_left_out
+from ..session import cut
+from ..sources.shapes import shapes
 from ..sources.trials import TRIALS_SQL, trials
+from .composing import clustered, listings, listings_of, with_cluster
+from .curation import scrubbed
+from .parsing import FEATURES_SQL
 from .scoring import rounded
 
 #: Features that the scaler's SQL states as well.
@@ -21,12 +29,12 @@ def features(spark, sf_dir, names=FEATURES) -> DataFrame:
     return trials(spark, sf_dir).select("table_id", *[cols[k].alias(k) for k in names])
 
 
-def scaled(df: DataFrame, names) -> DataFrame:
-    """Features less their mean over the population deviation; a constant feature is only centred. Means are one row, broadcast."""
-    stats = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"s_{c}") for c in names])
+def scaled(df: DataFrame, names, fit_on: DataFrame | None = None) -> DataFrame:
+    """Features less the mean over the population deviation of fit_on (df itself if left out); a constant feature is only centred. Means are one row, broadcast."""
+    stats = (df if fit_on is None else fit_on).agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"s_{c}") for c in names])
     rows = df.join(F.broadcast(stats))
     one = lambda c: F.when(F.col(f"s_{c}.s") > 1e-12, F.col(f"s_{c}.s")).otherwise(1.0)
-    return rows.select("table_id", F.array(*[(F.col(c) - F.col(f"s_{c}.m")) / one(c) for c in names]).alias("v"))
+    return rows.select(F.col("table_id").alias("id"), F.array(*[(F.col(c) - F.col(f"s_{c}.m")) / one(c) for c in names]).alias("v"))
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True, block: int = 1024, part: int = 16_384, metric: str = "cosine") -> DataFrame:
@@ -45,29 +53,9 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool =
     rows = dealt(queries, "b", blocks, "p", parts, True).unionByName(dealt(corpus, "p", parts, "b", blocks, False))
 
     def best(task: pa.Table) -> pa.Table:
-        task = task.combine_chunks()
         ids, mine = task.column("id").to_numpy(), task.column("is_query").to_numpy()
-        found = [[], [], []]
-        if mine.any() and not mine.all():
-            x = task.column("v").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
-            size = np.sqrt((x * x).sum(1))
-            c_ids = ids[~mine]
-            if metric == "cosine":
-                x = x / np.where(size > 0, size, 1.0)[:, None]
-                distance = 1 - x[mine] @ x[~mine].T
-            else:
-                square = (size * size)[mine][:, None] + (size * size)[~mine][None, :] - 2 * x[mine] @ x[~mine].T
-                distance = np.sqrt(np.maximum(square, 0))
-            distance = np.round(distance, 9)
-            for q, d in zip(ids[mine], distance):
-                at = np.flatnonzero(c_ids != q) if exclude_self else np.arange(len(c_ids))
-                if len(at) > k:
-                    at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
-                at = at[np.lexsort((c_ids[at], d[at]))][:k]
-                for out, v in zip(found, (np.full(len(at), q), c_ids[at], d[at])):
-                    out.append(v)
-        q, i, d = (np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(found, (ids.dtype, ids.dtype, float)))
-        return pa.table({"q": q, "id": i, "distance": d})
+        x = matrix(task.column("v"))
+        return best_of(ids[mine], ids[~mine], distances(x[mine], x[~mine], metric), k, exclude_self)
 
     kind = dict(queries.dtypes)["id"]
     local = rows.groupBy("b", "p").applyInArrow(best, f"q {kind}, id {kind}, distance double")
@@ -82,10 +70,9 @@ def scaler(spark, sf_dir):
 
 
 def table_neighbours(spark, sf_dir):
-    """The three nearest tables of each table on all 32 scaled features; rows only, as the last digits of sums differ between engines."""
-    v = scaled(features(spark, sf_dir), FEATURES).select(F.col("table_id").alias("id"), "v")
-    rows = nearest(v, v, 3)
-    return rows.select("q", "rank", "id", F.round("distance", 6).alias("distance"))
+    """The three nearest tables of each table on all 32 scaled features, by pivots."""
+    v = cut(scaled(features(spark, sf_dir), FEATURES))
+    return nearest_by_pivots(v, v, 3)[0].select("q", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
 def embedding_neighbours(spark, sf_dir):
@@ -106,14 +93,102 @@ def leave_one_out(spark, sf_dir):
     return rows
 
 
+def loo_neighbours(spark, sf_dir):
+    """The nearest other table of each table, with features scaled by the other tables alone."""
+    return nearest_left_out(features(spark, sf_dir).withColumnRenamed("table_id", "id"), 1, list(FEATURES)).select("q", "id", F.round("distance", 6).alias("distance"))
+
+
+def told_by(pairs: DataFrame, tables: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(table_id, adapted): each table (table_id, table_text) told with the write-up of the corpus table (table_id, table_text, writeup) that it is paired with (q, id); null where
+    too few of the write-up's slots are known. Tables without a pair stay, with null."""
+    text = F.col("table_text")
+    old = corpus.select(F.col("table_id").alias("id"), "writeup", T.arms(text).alias("a"), D.last_slots(text).alias("old_slots"))
+    pairs = pairs.join(old, "id").select(F.col("q").alias("table_id"), "writeup", "a", "old_slots")
+    rows = tables.select("table_id", G.slots_of(text).alias("slots")).join(pairs, "table_id", "left")
+    rows = rows.withColumn("template", D.delexicalized("writeup", F.col("a.control"), F.col("a.experimental"), "old_slots"))
+    return rows.select("table_id", G.polish(D.adapted(F.col("template"), F.col("slots"))).alias("adapted"))
+
+
+def loo_scores(spark, sf_dir) -> DataFrame:
+    """(table_id, origin, rouge_1, rouge_2, rouge_l, numeric_accuracy, hallucination_rate): each table told with the write-up of its nearest other table, scored against its own."""
+    corpus = trials(spark, sf_dir).select("table_id", "table_text", F.col("reference").alias("writeup"))
+    near = nearest_left_out(features(spark, sf_dir).withColumnRenamed("table_id", "id"), 1, list(FEATURES)).select("q", "id")
+    told = told_by(near, corpus, corpus)
+    tables = with_cluster(corpus).join(told, "table_id")
+    rows = G.composed(tables, listings_of(corpus)).join(corpus, "table_id")
+    gen, ref = F.coalesce("summary", F.lit("")), scrubbed(F.col("writeup"))
+    rows = rows.select(
+        "table_id", "origin", rouge_f1(gen, ref).alias("r"), M.accuracy_vs_reference(gen, ref).alias("numeric_accuracy"),
+        M.value_hallucination(gen, F.col("table_text"), 0.01, (0.0, 1.0, 2.0)).alias("hallucination_rate"))
+    return rows.select("table_id", "origin", "r.rouge_1", "r.rouge_2", "r.rouge_l", "numeric_accuracy", "hallucination_rate")
+
+
+LOO_METRICS = ("rouge_1", "rouge_2", "rouge_l", "numeric_accuracy", "hallucination_rate")
+#: Fixed: which statistic of which metric is to be above or below what.
+LOO_GOALS = (("rouge_1", "p10", ">", 0.75), ("rouge_1", "mean", ">", 0.85), ("numeric_accuracy", "mean", ">", 0.96), ("hallucination_rate", "mean", "<", 0.04))
+
+
+def loo_report(scores: DataFrame) -> DataFrame:
+    """(metric, n, mean, std, p10, p50, p90, min, max, goals) to four places: goals is a map of statistic to whether it is met. Nulls of a metric are left out of it."""
+    long = scores.unpivot(["table_id"], list(LOO_METRICS), "metric", "value").where("value is not null")
+    rows = long.groupBy("metric").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), *[F.percentile("value", p).alias(k) for k, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))],
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    rows = rows.withColumns({c: F.round(c, 4) for c in ("mean", "std", "p10", "p50", "p90", "min", "max")})
+    met = lambda stat, sign, goal: F.col(stat) > goal if sign == ">" else F.col(stat) < goal
+    goals = F.map_from_entries(F.filter(F.array(*[
+        F.when(F.col("metric") == m, F.struct(F.lit(f"{stat} {sign} {goal}").alias("k"), met(stat, sign, goal).alias("v"))) for m, stat, sign, goal in LOO_GOALS]), lambda e: e.isNotNull()))
+    return rows.withColumn("goals", goals)
+
+
+def loo_evaluation(spark, sf_dir):
+    rows = loo_report(loo_scores(spark, sf_dir))
+    return rows.withColumn("goals", F.array_join(F.transform(F.map_entries("goals"), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))), "; "))
+
+
+def shape_pairs(spark, sf_dir) -> DataFrame:
+    """(q, id): for each table of any shape the nearest other table of the corpus with write-ups, scaled by the corpus."""
+    own = shapes(spark, sf_dir).select("table_id", *[v.alias(k) for k, v in table_features(F.col("table_text")).items()])
+    corpus = cut(features(spark, sf_dir))
+    return nearest_by_pivots(cut(scaled(own, FEATURES, corpus)), cut(scaled(corpus, FEATURES)), 1)[0].select("q", "id")
+
+
+def adapted_shapes(spark, sf_dir) -> DataFrame:
+    corpus = trials(spark, sf_dir).select("table_id", "table_text", F.col("ml").alias("writeup"))
+    return told_by(shape_pairs(spark, sf_dir), shapes(spark, sf_dir), corpus)
+
+
+def adapted_writeups(spark, sf_dir):
+    """Each table told with the write-up of its nearest other table, its names and numbers exchanged."""
+    return adapted_shapes(spark, sf_dir).select("table_id", F.col("adapted").alias("summary"))
+
+
+def neighbour_summaries(spark, sf_dir):
+    """The cascade with the neighbour's write-up first: adapted, else realized, else by template."""
+    return G.composed(clustered(spark, sf_dir).join(adapted_shapes(spark, sf_dir), "table_id"), listings(spark, sf_dir))
+
+
 _F = f"""WITH {TRIALS_SQL}, f AS (SELECT table_id, list_transform(regexp_extract_all(table_text, '\\b\\d+\\.?\\d*\\b'), lambda x: cast(x AS double)) AS n,
   list_transform(regexp_extract_all(table_text, '(\\d+\\.?\\d*)\\s*\\)', 1), lambda x: cast(x AS double)) AS p, list_transform(regexp_extract_all(table_text, 'N\\s*=\\s*(\\d+)', 1), lambda x: cast(x AS double)) AS z FROM trials),
   w AS (SELECT table_id, len(n)::double AS num_count, list_max(n) AS max_number, list_avg(n) AS mean_number, list_max(p) AS max_pct, list_avg(p) AS mean_pct, list_sum(z) AS total_patients FROM f),
   long AS (SELECT table_id, feature, value FROM w UNPIVOT (value FOR feature IN ({', '.join(SHORT)})))"""
 
+#: All 32 features in long form.
+_ALL = f"WITH {TRIALS_SQL}, shapes AS (SELECT table_id, table_text FROM trials), {FEATURES_SQL}, x AS (SELECT table_id, k, x FROM feature_values UNPIVOT (x FOR k IN ({', '.join(FEATURES)})))"
+
 QUERIES = {
     "scaler": (scaler, f"{_F} SELECT feature, round(avg(value), 6) AS mean, round(CASE WHEN stddev_pop(value) > 1e-12 THEN stddev_pop(value) ELSE 1 END, 6) AS std FROM long GROUP BY feature"),
-    "table_neighbours": (table_neighbours, None),
+    "table_neighbours": (table_neighbours, f"""{_ALL}, st AS (SELECT k, avg(x) AS m, CASE WHEN stddev_pop(x) > 1e-12 THEN stddev_pop(x) ELSE 1 END AS s FROM x GROUP BY k), z AS (SELECT table_id, k, (x - m) / s AS z FROM x JOIN st USING (k)),
+      p AS (SELECT a.table_id AS q, b.table_id AS id, sum(a.z * b.z) AS d, sqrt(sum(a.z * a.z)) * sqrt(sum(b.z * b.z)) AS n FROM z a JOIN z b USING (k) WHERE a.table_id <> b.table_id GROUP BY ALL),
+      c AS (SELECT q, id, round(CASE WHEN n > 0 THEN 1 - d / n ELSE 1 END, 9) AS distance FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, id) AS rank FROM c)
+      SELECT q, rank, id, round(distance, 6) AS distance FROM r WHERE rank <= 3"""),
+    "loo_neighbours": (loo_neighbours, f"""{_ALL}, st AS (SELECT a.table_id AS q, b.k, avg(b.x) AS m, CASE WHEN min(b.x) < max(b.x) THEN stddev_pop(b.x) ELSE 1 END AS s FROM (SELECT DISTINCT table_id FROM x) a JOIN x b ON a.table_id <> b.table_id GROUP BY ALL),
+      z AS (SELECT st.q, x.table_id AS id, st.k, (x.x - m) / s AS z FROM st JOIN x USING (k)), p AS (SELECT b.q, b.id, sum(a.z * b.z) AS d, sqrt(sum(a.z * a.z)) * sqrt(sum(b.z * b.z)) AS n FROM z a JOIN z b ON a.q = b.q AND a.k = b.k AND a.id = a.q AND b.id <> b.q GROUP BY ALL),
+      c AS (SELECT q, id, round(CASE WHEN n > 1e-12 THEN 1 - d / n ELSE 1 END, 9) AS distance FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, id) AS rank FROM c)
+      SELECT q, id, round(distance, 6) AS distance FROM r WHERE rank = 1"""),
+    "loo_evaluation": (loo_evaluation, None),
+    "adapted_writeups": (adapted_writeups, None),
+    "neighbour_summaries": (neighbour_summaries, None),
     "embedding_neighbours": (embedding_neighbours, """WITH p AS (SELECT a.vec_id AS q, b.vec_id AS id, round(1 - list_cosine_similarity(cast(a.embedding AS double[]), cast(b.embedding AS double[])), 9) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, id) AS rank FROM p) SELECT q, rank, id, round(distance, 6) AS distance FROM r WHERE rank <= 5"""),
     "leave_one_out": (leave_one_out, f"{_F}, t AS (SELECT feature, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM long GROUP BY feature), m AS (SELECT table_id, feature, (s - value) / (n - 1) AS mean, (q - value * value) / (n - 1) AS sq FROM long JOIN t USING (feature)) SELECT table_id, feature, round(mean, 4) AS mean, round(CASE WHEN sq - mean * mean > 1e-9 THEN sqrt(sq - mean * mean) ELSE 1 END, 4) AS std FROM m"),

@@ -120,15 +120,6 @@ def slot_coverage(spark, sf_dir):
     return rows.select("table_id", join(F.array_intersect("needed", "known")).alias("filled"), join(F.array_except("needed", "known")).alias("missing"))
 
 
-def adapted_writeups(spark, sf_dir):
-    """Each table told with the write-up of the table after it (by id), its names and numbers exchanged."""
-    text = F.col("table_text")
-    old = trials(spark, sf_dir).select((F.col("table_id") - 1).alias("table_id"), F.col("ml").alias("writeup"), T.arms(text).alias("a"), D.last_slots(text).alias("old_slots"))
-    rows = facts(spark, sf_dir).where("shape = 0").select("table_id", "slots").join(old, "table_id")
-    rows = rows.withColumn("template", D.delexicalized("writeup", F.col("a.control"), F.col("a.experimental"), "old_slots"))
-    return rows.select("table_id", G.polish(D.adapted(F.col("template"), F.col("slots"))).alias("summary"))
-
-
 def page_texts(spark, sf_dir) -> DataFrame:
     caption = lambda k: F.concat(F.lit(f"Table {k}: events of study "), F.col("table_id").cast("string"))
     page = F.concat_ws("\n", F.lit("intro"), caption(1), F.lit("x"), F.when(F.col("table_id") % 2 == 0, caption(2)))
@@ -231,7 +222,6 @@ QUERIES = {
     "ensemble_vote": (ensemble_vote, f"{_LAB}, w AS (SELECT {', '.join(f'{_AUC(m)} AS w_{m}' for m in MODELS)}), v AS (SELECT id, ({' + '.join(f'{m} * w_{m}' for m in MODELS)}) / ({' + '.join(f'w_{m}' for m in MODELS)}) AS score FROM scored, w) SELECT id, round(score, 6) AS score, score > 0.5 AS told FROM v"),
     "historical_slots": (historical_slots, f"{_LAST} SELECT * FROM last"),
     "slot_coverage": (slot_coverage, COVERAGE_SQL),
-    "adapted_writeups": (adapted_writeups, None),
     "captions": (captions, f"""{_PAGES} SELECT table_id, 'Table 1: events of study ' || table_id AS caption_0, CASE WHEN table_id % 2 = 0 THEN 'Table 2: events of study ' || table_id ELSE '' END AS caption_1,
       CASE WHEN table_id % 5 = 0 THEN 'Table 9 rows' ELSE 'Table 2: Safety Run ' || table_id END AS inferred FROM pages"""),
     "writeups": (writeups, f"{_PAGES} SELECT table_id, md5(CASE WHEN length(regexp_extract(told, '(?s)^(?:Overall, |Subjects in the )(.*)$', 1)) <= 800 THEN told ELSE '' END) AS writeup_md5 FROM pages"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -212,7 +214,32 @@ def test_fisher_against_all_tables():
         p = {x: math.comb(col, x) * math.comb(n - col, row - x) / math.comb(n, row) for x in range(max(0, row + col - n), min(row, col) + 1)}
         want = sum(v for v in p.values() if v <= p[a] * (1 + 1e-9)) if row and c + d else 1.0
         assert exact.two_sided(a, b, c, d) == pytest.approx(want)
-    assert math.isnan(exact.two_sided(exact.MOST, 1, 1, 1))
+
+
+def test_fisher_by_exact_fractions():
+    rnd = random.Random(1)
+    for _ in range(400):
+        a, b, c, d = (rnd.randrange(rnd.choice([5, 60, 200])) for _ in range(4))
+        n, row, col = a + b + c + d, a + b, a + c
+        if row and c + d and col and b + d:
+            chance = lambda x: math.comb(col, x) * math.comb(n - col, row - x)  # noqa: E731, B023
+            every = [chance(x) for x in range(max(0, row + col - n), min(row, col) + 1)]
+            want = float(Fraction(sum(p for p in every if p * 10**7 <= chance(a) * (10**7 + 1)), sum(every)))
+            assert exact.two_sided(a, b, c, d) == pytest.approx(want, rel=1e-9)
+
+
+def test_fisher_of_many_cases():
+    """A hundred million cases against the sum of all terms by logarithms, and a trillion in no time."""
+    a, b, c, d = 25_010_000, 24_990_000, 24_995_000, 25_005_000
+    n, row, col = a + b + c + d, a + b, a + c
+    mode = (row + 1) * (col + 1) // (n + 2)
+    x = np.arange(mode - 60_000, mode + 60_000, dtype=np.float64)
+    up = np.cumsum(np.log((row - x) * (col - x) / ((x + 1) * (n - row - col + x + 1))))
+    p = np.exp(np.r_[0.0, up] - up.max())
+    want = p[p <= p[a - (mode - 60_000)] * (1 + 1e-7)].sum() / p.sum()
+    assert exact.two_sided(a, b, c, d) == pytest.approx(want, rel=1e-6)
+    assert exact.two_sided(10**11 + 10**6, 10**11, 10**11, 10**11 + 7 * 10**5) == pytest.approx(0.0071897083, rel=1e-6)
+    assert exact.two_sided(10**6, 0, 0, 10**6) < 1e-300
 
 
 def test_jsonl_modes(spark, tmp_path):
