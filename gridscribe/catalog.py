@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import composing, curation, parsing, results, retrieval, scans, scoring, synthesis, writing
+from .plans import composing, curation, pages, parsing, relational, results, retrieval, scans, scoring, synthesis, writing
 
-PLANS = (scoring, parsing, composing, results, curation, retrieval, writing, synthesis, scans)
+PLANS = (scoring, parsing, composing, results, curation, retrieval, writing, synthesis, scans, relational, pages)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

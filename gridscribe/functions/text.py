@@ -75,14 +75,18 @@ def token_numbers(text: Column) -> Column:
     return let(tokens(text), lambda toks: F.struct(toks.alias("toks"), numbers(toks).alias("nums")))
 
 
+def arm_starts(toks: Column, arm: str) -> Column:
+    """Places at which the arm's name begins, token for token."""
+    name = arm.lower().split()
+    here = lambda i: [F.get(toks, i + k) == w for k, w in enumerate(name)]
+    return F.filter(F.sequence(F.lit(0), F.size(toks)), lambda i: F.coalesce(reduce(and_, here(i)), F.lit(False)))
+
+
 def arm_values(read: Column, arm: str, radius: int) -> Column:
     """First numbers of tokens at most `radius` tokens from an occurrence of the arm's name, once per occurrence; `read` is token_numbers."""
-    name = arm.lower().split()
-    here = lambda toks, i: [F.get(toks, i + k) == w for k, w in enumerate(name)]
 
     def of(x: Column) -> Column:
-        toks, nums = x["toks"], x["nums"]
-        starts = F.filter(F.sequence(F.lit(0), F.size(toks)), lambda i: F.coalesce(reduce(and_, here(toks, i)), F.lit(False)))
-        return F.flatten(F.transform(starts, lambda p: F.transform(F.filter(nums, lambda n: F.abs(n["i"] - p) <= radius), lambda n: n["v"])))
+        near = lambda p: F.transform(F.filter(x["nums"], lambda n: F.abs(n["i"] - p) <= radius), lambda n: n["v"])
+        return F.flatten(F.transform(arm_starts(x["toks"], arm), near))
 
     return let(read, of)

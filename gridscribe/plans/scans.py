@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..session import shared_folder
 from ..sources import files
 
 ITEM = StructType([StructField("id", LongType()), StructField("kind", StringType())])
@@ -37,14 +36,8 @@ def jsonl_strict(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    """A new folder beside the session's checkpoints; on one machine without these, a temporary one."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="scans-")
-    return f"{base.rstrip('/')}/scans-{uuid.uuid4().hex}"
+    """A new folder beside the session's checkpoints."""
+    return f"{shared_folder(spark).rstrip('/')}/scans-{uuid.uuid4().hex}"
 
 
 def append_resume(spark, sf_dir):
@@ -55,6 +48,14 @@ def append_resume(spark, sf_dir):
     return files.append_new(docs, path, "doc_id")
 
 
+def append_filtered(spark, sf_dir):
+    """Documents appended in two overlapping turns to a target that keeps a filter of the keys of each part: each is there once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    path = _folder(spark)
+    files.append_filtered(docs.where("lang <> 'en'"), path, "doc_id")
+    return files.append_filtered(docs, path, "doc_id")[0]
+
+
 def json_array(spark, sf_dir):
     """Nations written as one JSON array and read back."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("kind"))
@@ -84,6 +85,7 @@ QUERIES = {
     "jsonl_skip": (jsonl_skip, f"SELECT event_id AS number, event_id AS id, event_type AS kind FROM events WHERE {_GOOD}"),
     "jsonl_strict": (jsonl_strict, f"SELECT event_id AS number, event_id AS id, event_type AS kind FROM events WHERE {_GOOD}"),
     "append_resume": (append_resume, "SELECT doc_id, lang FROM documents"),
+    "append_filtered": (append_filtered, "SELECT doc_id, lang FROM documents"),
     "json_array": (json_array, "SELECT n_nationkey AS id, n_name AS kind FROM nation"),
     "result_files": (result_files, "SELECT t AS file_tier, m AS file_model, 'full_system' AS profile_name, f AS file_time, (SELECT count(*) FROM region) AS n FROM (VALUES ('tier1', 'dl_base', '2026-03-18 23:16:19'), ('tier2', 'ml', '2026-03-19 11:44:52')) v(t, m, f)"),
 }

@@ -301,7 +301,8 @@ scores AS (SELECT {keys}, generated, reference, table_text, nar, hr, or_score, s
 """
 
 
-_SCORES = f"WITH {TRIALS_SQL}, {scores_sql()} "
+#: All metrics of all texts as `scores`, to be followed by further expressions or a SELECT.
+SCORES_SQL = _SCORES = f"WITH {TRIALS_SQL}, {scores_sql()} "
 _R = lambda *names: ", ".join(f"round(cast({n} AS double), 6) AS {n}" for n in names)
 _AVG = ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS)
 _WORDS = "list_distinct(regexp_extract_all(lower({t}), '\\S+'))"

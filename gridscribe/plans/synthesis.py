@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import pages as P, tables as T
-from ..operators import adapt as D, augment as A, generation as G, nlg as N
+from ..operators import adapt as D, augment as A, generation as G, nlg as N, voting as V
+from ..operators.clusters import ward_of_all
+from ..session import cut
 from ..sources.shapes import SHAPES_SQL, shapes
 from ..sources.trials import TRIALS_SQL, trials
 from .composing import COVERAGE_SQL, facts
@@ -81,16 +83,23 @@ def event_clusters(spark, sf_dir):
     return rows.select("table_id", F.col("row_index").cast("long").alias("row_index"), "cluster")
 
 
-def areas(rows: DataFrame) -> DataFrame:
-    """(model, auc) of (model, score, label): areas under the curve by the rank sum. Ranks run over distinct scores in order, counted per range of
-    scores first, so no window holds all rows of a model."""
-    by = rows.groupBy("model", "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).withColumn("b", F.floor(F.col("score") * 64))
-    parts = by.groupBy("model", "b").agg(F.sum("q").alias("of"))
-    parts = parts.select("model", "b", (F.sum("of").over(Window.partitionBy("model").orderBy("b")) - F.col("of")).alias("ahead"))
-    inside = F.sum("q").over(Window.partitionBy("model", "b").orderBy("score")) - F.col("q")
-    below = by.withColumn("inside", inside).join(parts, ["model", "b"]).withColumn("below", F.col("ahead") + F.col("inside"))
-    total = F.sum("p").cast("double") * F.sum("q")
-    return below.groupBy("model").agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / F.nullif(total, F.lit(0.0))).alias("auc"))
+def row_clusters(spark, sf_dir):
+    """Ward clusters of the rows of all tables together."""
+    return ward_of_all(labelled_rows(spark, sf_dir), "id", FEATURES_6, 4.0)
+
+
+def _fold_scores(spark, sf_dir) -> DataFrame:
+    return V.out_of_fold(cut(labelled_rows(spark, sf_dir)), V.tree_and_line_learners(("drug_pct", "ctrl_pct", "relative_risk", "is_sae", "is_severe")))
+
+
+def fold_vote(spark, sf_dir):
+    """Each row by the weighted vote of three learners, none of which was fitted on it."""
+    return V.voted(cut(_fold_scores(spark, sf_dir)))[0]
+
+
+def fold_weights(spark, sf_dir):
+    """Area under the curve and weight of each learner, over rows that it was not fitted on."""
+    return V.voted(cut(_fold_scores(spark, sf_dir)))[1]
 
 
 MODELS = ("by_share", "by_gap", "by_ratio")
@@ -99,7 +108,7 @@ MODELS = ("by_share", "by_gap", "by_ratio")
 def ensemble_vote(spark, sf_dir):
     """Three scores of each row, weighted by their areas under the curve on the labels, which are brought to a sum of one."""
     rows = labelled_rows(spark, sf_dir).select("id", "label", F.round(F.least(F.col("drug_pct") / 100, F.lit(1.0)), 4).alias("by_share"), F.round(F.least(F.col("abs_risk_diff") / 20, F.lit(1.0)), 4).alias("by_gap"), F.round(F.least(F.col("relative_risk") / 20, F.lit(1.0)), 4).alias("by_ratio"))
-    weights = areas(rows.unpivot(["id", "label"], list(MODELS), "model", "score")).groupBy().pivot("model", list(MODELS)).agg(F.max("auc"))
+    weights = V.areas(rows.unpivot(["id", "label"], list(MODELS), "model", "score")).groupBy().pivot("model", list(MODELS)).agg(F.max("auc"))
     rows = rows.join(F.broadcast(weights.withColumnsRenamed({m: f"w_{m}" for m in MODELS})))
     score = A.vote({m: F.col(m) for m in MODELS}, {m: F.col(f"w_{m}") for m in MODELS})
     return rounded(rows.select("id", score.alias("score"), (score > 0.5).alias("told")), "score")
@@ -219,6 +228,9 @@ QUERIES = {
     "template_examples": (template_examples, f"WITH d AS (SELECT s_suppkey AS id, {_DRAWN} FROM supplier) SELECT id, {_MADE_TABLE} AS table_text, {_MADE_TEXT} AS writeup FROM d"),
     "oversample": (oversample, f"{_LAB}, n AS (SELECT label, count(*) AS n FROM scored GROUP BY label) SELECT label::bigint AS label, (SELECT max(n) FROM n) AS n, n AS n_real FROM n"),
     "event_clusters": (event_clusters, None),
+    "row_clusters": (row_clusters, None),
+    "fold_vote": (fold_vote, None),
+    "fold_weights": (fold_weights, None),
     "ensemble_vote": (ensemble_vote, f"{_LAB}, w AS (SELECT {', '.join(f'{_AUC(m)} AS w_{m}' for m in MODELS)}), v AS (SELECT id, ({' + '.join(f'{m} * w_{m}' for m in MODELS)}) / ({' + '.join(f'w_{m}' for m in MODELS)}) AS score FROM scored, w) SELECT id, round(score, 6) AS score, score > 0.5 AS told FROM v"),
     "historical_slots": (historical_slots, f"{_LAST} SELECT * FROM last"),
     "slot_coverage": (slot_coverage, COVERAGE_SQL),

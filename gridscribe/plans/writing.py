@@ -83,7 +83,7 @@ def _array(column: str):
 
 def selector_auc(spark, sf_dir):
     """Area under the curve of a score, by the rank sum over its distinct values."""
-    from .synthesis import areas
+    from ..operators.voting import areas
 
     rows = parsed_rows(trials(spark, sf_dir)).select(F.lit("drug_pct").alias("model"), (F.length("label") > 8).cast("int").alias("label"), F.round(F.col("drug_pct") / 100, 3).alias("score"))
     return rounded(areas(rows).select("auc"), "auc")
