@@ -32,32 +32,49 @@ PATTERN_RULES = (
 )
 
 
-def _host_rule(first: str, second: str = "", literals: tuple[str, ...] = ()) -> tuple[str, tuple[str, ...]]:
-    """A rule for a host that holds `first`, or `first` and `second` in either order, as whole tokens joined by one hyphen."""
-    body = f"(({first})-({second})|({second})-({first}))" if second else f"({first})"
-    return rf"://([^/?#]*[.@-])?{body}([.:/?#-]|$)", literals or (first,)
-
-
-#: Pattern rules by tokens of the host for gambling, betting, advertising and tracking, spam, and adult hosts. A token that plain hosts have too
-#: blocks beside another telling one only.
-GENERAL_RULES = (
-    _host_rule("casino|casinos", "win|wins|bonus|bonuses|game|games|slot|slots|online|royal|vegas|jackpot|spin|spins|live|club|best|top|free|mobile|poker"),
-    _host_rule("poker|slots|jackpot|roulette|blackjack", "win|wins|bonus|online|vegas|spin|spins|live|free|room|rooms|best|top|mobile"),
-    _host_rule("bet|bets|betting", "free|best|live|online|sport|sports|tips|odds|bonus|win|site|sites|football"),
-    _host_rule("ad|ads|adverts|banner|banners", "track|tracker|trackers|tracking|server|servers|click|clicks|network|pixel|serve|count|counter"),
-    _host_rule("click|pixel|visitor|user", "track|tracker|trackers|tracking"),
-    _host_rule("adserver|adservers|adtrack|adtracker|adtracking|doubleclick|clicktrack|clicktracker"),
-    _host_rule("spam|link|seo", "farm|farms"),
-    _host_rule("spam", "links|mail|mailer|blast|offers|deals|seo"),
-    _host_rule("spamfarm|linkfarm"),
-    _host_rule("adult", "x|xx|video|videos|cam|cams|chat|dating|tube|sex|porn|movies|pics"),
-    _host_rule("porn|porno|pornos|xxx|sexcam|sexcams"),
-    _host_rule("sex|nude|nudes", "cam|cams|chat|video|videos|tube|pics|live|free|dating"),
+def _host_rules(first: str, second: str = "") -> list[tuple[str, tuple[str, ...]]]:
+    """Rules for hosts that hold a word of `first`, or one of `first` and one of `second` in either order, as whole tokens joined by one hyphen: a rule for each word or pair of words."""
+    at = lambda body: rf"://([^/?#]*[.@-])?{body}([.:/?#-]|$)"
+    if not second:
+        return [(at(a), (a,)) for a in first.split("|")]
+    return [(at(f"({a}-{b}|{b}-{a})"), (a, b)) for a in first.split("|") for b in second.split("|")]
+
+
+#: Words of hosts for gambling, betting, advertising and tracking, spam, and adult pages. A word that plain hosts have too blocks beside another telling one only.
+GENERAL_WORDS = (
+    ("casino|casinos", "win|wins|bonus|bonuses|game|games|slot|slots|online|royal|vegas|jackpot|spin|spins|live|club|best|top|free|mobile|poker"),
+    ("poker|slots|jackpot|roulette|blackjack", "win|wins|bonus|online|vegas|spin|spins|live|free|room|rooms|best|top|mobile"),
+    ("bet|bets|betting", "free|best|live|online|sport|sports|tips|odds|bonus|win|site|sites|football"),
+    ("ad|ads|adverts|banner|banners", "track|tracker|trackers|tracking|server|servers|click|clicks|network|pixel|serve|count|counter"),
+    ("click|pixel|visitor|user", "track|tracker|trackers|tracking"),
+    ("adserver|adservers|adtrack|adtracker|adtracking|doubleclick|clicktrack|clicktracker", ""),
+    ("spam|link|seo", "farm|farms"),
+    ("spam", "links|mail|mailer|blast|offers|deals|seo"),
+    ("spamfarm|linkfarm", ""),
+    ("adult", "x|xx|video|videos|cam|cams|chat|dating|tube|sex|porn|movies|pics"),
+    ("porn|porno|pornos|xxx|sexcam|sexcams", ""),
+    ("sex|nude|nudes", "cam|cams|chat|video|videos|tube|pics|live|free|dating"),
 )
+#: The same as some hundred pattern rules, each of which is indexed by its own rarest token.
+GENERAL_RULES = tuple(r for words in GENERAL_WORDS for r in _host_rules(*words))
 
 #: The pattern rules that the query runs.
 RULES = PATTERN_RULES + GENERAL_RULES
 
+#: Rules of a table that are read at most: they go to every worker.
+MOST_RULES = 1_000_000
+
+
+def read_rules(rules: DataFrame, most: int = MOST_RULES) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """Pattern rules of a table (pattern string, literals array<string>): a pattern over the lower-cased url, and tokens that any match holds (of tokens parted by | it holds one).
+
+    Rows without a pattern or literals are left out, as nothing would fetch them. A pattern that does not compile is an error, and so are more than `most` rules.
+    """
+    got = rules.where("pattern is not null and size(literals) > 0").select("pattern", "literals").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rules")
+    return tuple((r["pattern"], tuple(r["literals"])) for r in got)
+
 
 def split_url(url: str | None) -> tuple[str, str]:
     """(host, path); both empty for a null or a url without ``://``."""
@@ -79,44 +96,53 @@ def literal_counts(urls: DataFrame, url_col: str, literals: list[str]) -> dict[s
     return {r.t: r.n for r in found.where(F.col("t").isin(literals)).groupBy("t").agg(F.count("*").alias("n")).collect()}
 
 
-def token_index(rules, counts: dict[str, int]) -> dict[str, list[re.Pattern]]:
-    """Rules by their rarest literal token (tokens of which a match holds one count together, and each fetches the rule); of equally
+def token_index(rules, counts: dict[str, int]) -> dict[str, list[int]]:
+    """Places of the rules by their rarest literal token (tokens of which a match holds one count together, and each fetches the rule); of equally
     rare ones the longest, then the first by code point."""
-    index: dict[str, list[re.Pattern]] = {}
-    for pattern, literals in rules:
+    index: dict[str, list[int]] = {}
+    for k, (_, literals) in enumerate(rules):
         keys = min(literals, key=lambda ts: (sum(counts.get(t, 0) for t in ts.split("|")), -len(ts), ts))
         for key in keys.split("|"):
-            index.setdefault(key, []).append(re.compile(pattern, re.ASCII))
+            index.setdefault(key, []).append(k)
     return index
 
 
 def judge_urls(pages: DataFrame, url_col: str = "url", host_rules=HOST_RULES, pattern_rules=RULES) -> DataFrame:
-    """pages with _host, _path, _rule (the host rule that fits, else null), _verdict (allow or block).
+    """pages with _host, _path, _rule (the host rule that fits, else null), _verdict (allow or block) and _n_fetched (how many pattern rules the url's tokens fetched; null under a host rule).
 
     The host rule decides where one fits. Elsewhere the url is cut into tokens, each token fetches the pattern rules that are
     indexed under it, and only those run: a fit blocks. Null urls and urls without ``://``: empty host and path; a null is allowed.
     Ties, repeated rows, very long urls and empty tables need nothing special; further columns stay, columns named like the results are replaced.
-    The rules are a parameter that every worker gets; they do not grow with the data.
+    The rules are a parameter that every worker gets; they do not grow with the data. A pattern is compiled when a url first fetches it.
     """
-    pages = pages.drop("_host", "_path", "_rule", "_verdict")
+    pages = pages.drop("_host", "_path", "_rule", "_verdict", "_n_fetched")
     index = token_index(pattern_rules, literal_counts(pages, url_col, sorted({t for _, ls in pattern_rules for t in ls})))
     by_length = sorted(host_rules, key=lambda r: -len(r[0] + r[1]))
-
-    def verdict(url: str | None) -> tuple[str, str, str | None, str]:
-        host, path = split_url(url)
-        for rule_host, rule_path, what in by_length:
-            if (host == rule_host or host.endswith("." + rule_host)) and path.startswith(rule_path):
-                return host, path, rule_host + rule_path, what
-        low = (url or "").translate(_LOWER)
-        bad = any(p.search(low) for t in dict.fromkeys(tokens(low)) for p in index.get(t, ()))
-        return host, path, None, "block" if bad else "allow"
+    patterns = [p for p, _ in pattern_rules]
 
     def run(batches):
+        compiled: dict[int, re.Pattern] = {}
+
+        def fits(k: int, low: str) -> bool:
+            if k not in compiled:
+                compiled[k] = re.compile(patterns[k], re.ASCII)
+            return compiled[k].search(low) is not None
+
+        def verdict(url: str | None) -> tuple[str, str, str | None, str, int | None]:
+            host, path = split_url(url)
+            for rule_host, rule_path, what in by_length:
+                if (host == rule_host or host.endswith("." + rule_host)) and path.startswith(rule_path):
+                    return host, path, rule_host + rule_path, what, None
+            low = (url or "").translate(_LOWER)
+            fetched = dict.fromkeys(k for t in dict.fromkeys(tokens(low)) for k in index.get(t, ()))
+            return host, path, None, "block" if any(fits(k, low) for k in fetched) else "allow", len(fetched)
+
+        kinds = [pa.string()] * 4 + [pa.int64()]
         for batch in batches:
-            got = list(zip(*map(verdict, batch.column(url_col).to_pylist()))) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(list(x), pa.string()) for x in got]], [*batch.schema.names, "_host", "_path", "_rule", "_verdict"])
+            got = list(zip(*map(verdict, batch.column(url_col).to_pylist()))) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(list(x), t) for x, t in zip(got, kinds)]], [*batch.schema.names, "_host", "_path", "_rule", "_verdict", "_n_fetched"])
 
-    return appending(pages, run, "_host string, _path string, _rule string, _verdict string")
+    return appending(pages, run, "_host string, _path string, _rule string, _verdict string, _n_fetched bigint")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +154,10 @@ def _sql() -> str:
     fits = " ".join(
         f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
         for h, p, _ in sorted(HOST_RULES, key=lambda r: -len(r[0] + r[1])))
-    blocked = " OR ".join(f"regexp_matches(low, '{p}')" for p, _ in RULES)
+    # words of a family as one pattern each: the same hosts as a rule for every pair of words
+    at = lambda body: rf"://([^/?#]*[.@-])?{body}([.:/?#-]|$)"
+    families = [at(f"(({a})-({b})|({b})-({a}))" if b else f"({a})") for a, b in GENERAL_WORDS]
+    blocked = " OR ".join(f"regexp_matches(low, '{p}')" for p in [*(p for p, _ in PATTERN_RULES), *families])
     verdicts = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in HOST_RULES)
     lower = f"'{UPPER}', '{LOWER}'"
     return f"""

@@ -215,8 +215,9 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     known = reps.join(counts, "rep", "left").join(comp, reps["rep"] == comp["id"], "left").select(
         F.col("embedding").alias("_key"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("comp", "rep").alias("_comp"))
-    rows = marked.withColumn("_own", F.when(F.col("_ok"), F.col("_vector")))
-    rows = rows.join(known, F.col("_own") == F.col("_key"), "left")
+    # rows without a vector that can link have no key to meet under
+    linked = marked.where("_ok").join(known, F.col("_vector") == F.col("_key"), "left").drop("_key")
+    rows = linked.unionByName(marked.where("not _ok"), allowMissingColumns=True)
     return unpacked(rows, columns, roles, {"_n_links": F.coalesce("_n", F.lit(0)).cast("long"), "_component": F.coalesce("_comp", "_id")})
 
 

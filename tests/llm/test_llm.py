@@ -207,7 +207,7 @@ def test_op4_spares_languages_that_hardly_use_their_common_words(spark):
 
 def test_op5_odd(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.NET/x?y"), (4, "https://b.example.net/en/1"), (5, "http://xnet/"), (6, "ftp://net"), (7, "http://www.cheap-pills.example.com/fr/"), (8, "http://m.example.com/de/?q"), (9, "http://a.org/fr/x#y"), (9, "")]
-    got = [tuple(r[2:]) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id int, url string")).collect()]
+    got = [tuple(r[2:6]) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id int, url string")).collect()]
     assert got == [
         ("", "", None, "allow"), ("", "", None, "allow"), ("a.net", "/x", "net/", "block"), ("b.example.net", "/en/1", "example.net/en/", "allow"), ("xnet", "/", None, "allow"), ("net", "", None, "allow"),
         ("www.cheap-pills.example.com", "/fr/", None, "block"), ("m.example.com", "/de/", "example.com/de/", "block"), ("a.org", "/fr/x", "org/fr/", "allow"), ("", "", None, "allow")]
@@ -249,6 +249,27 @@ def test_op5_general_rules(spark):
     assert sum(r["_verdict"] == "block" for r in got) > 50 and all((r["_verdict"] == "block") == bool(spam.search(r["_host"])) for r in got)
 
 
+def test_op5_rules_of_a_table(spark):
+    """Five thousand rules, each for a host of its own: the index fetches hardly any of them, and as many urls are blocked as if all were run."""
+    rules = spark.range(5000).select(F.concat(F.lit("://([^/?#]*[.])?w"), F.col("id").cast("string"), F.lit("-(shop|sale)[.]")).alias("pattern"), F.array(F.concat(F.lit("w"), F.col("id").cast("string")), F.lit("shop|sale")).alias("literals"))
+    rules = rules.unionByName(spark.createDataFrame([(None, ["x"]), ("x", None), ("x", [])], "pattern string, literals array<string>"))
+    read = urls.read_rules(rules)
+    assert len(read) == 5000
+    with pytest.raises(ValueError):
+        urls.read_rules(rules, most=4999)
+    pages = [(f"http://w{i}-{w}.org/{i % 7}",) for i in range(0, 6000, 60) for w in ("shop", "sale", "farm")]
+    got = urls.judge_urls(spark.createDataFrame(pages, "url string"), host_rules=(), pattern_rules=read).collect()
+    assert {r["url"] for r in got if r["_verdict"] == "block"} == {u for u, in pages if int(re.search(r"w(\d+)", u)[1]) < 5000 and "farm" not in u}
+    assert max(r["_n_fetched"] for r in got) <= 1
+
+
+def test_op5_fetches_few_rules(spark):
+    assert len(urls.RULES) > 300
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url")
+    got = urls.judge_urls(pages).where("_rule is null").agg(F.avg("_n_fetched").alias("mean"), F.max("_n_fetched").alias("most")).first()
+    assert got["mean"] < 3 and got["most"] < 60
+
+
 def test_op6_odd(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["_copies"] <= 3 for r in rows) and mixing.mix(none).count() == 0
@@ -539,3 +560,11 @@ def test_op1_long_passages_are_cut_into_shards(monkeypatch):
     assert all(len(s.letter) <= 120 for s in made) and len(made) > 4
     covered = {x for s in made for i, j in s.occurrences(words, 5) for x in range(i, j)}
     assert covered == set(range(500))
+
+
+def test_pipeline_takes_columns_with_dots(spark):
+    import corpus_pipeline as c
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(80)), "en", "a", 1, "x") for i in range(12)], "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` string")
+    for name, stage in c.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name
