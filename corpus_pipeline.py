@@ -7,19 +7,24 @@ empty one. Very long texts are worked on whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridscribe.llm import bpe, lines, mixing, neardup, toxicity
 from gridscribe.llm.common import cut, table
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labels of these documents, does not reject.
 
     Null and empty texts and null ids stay, repeated rows stay or go together. Without labels of both classes nothing goes.
     """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("not _rejected").select(*docs.columns)
+    return toxicity.score(docs, model).where("not _rejected").select(*columns_of(docs))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = lines.drop_repeated_lines(docs)
     size = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
-    return rows.withColumns(size).select(*docs.columns)
+    return rows.withColumns(size).select(*columns_of(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +42,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words and null ids stay. Rows of one id are one document: they stay or go together.
     """
-    return neardup.drop_near_duplicates(docs).select(*docs.columns)
+    return neardup.drop_near_duplicates(docs).select(*columns_of(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null sources are one source, the last. Texts without words have size 0 and are taken as often as their source's share says. Reruns give the same rows.
     """
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    return mixing.emit(mixing.mix(docs)).select(*columns_of(docs))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
