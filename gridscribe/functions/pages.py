@@ -33,27 +33,29 @@ def writeup(page: Column) -> Column:
     return F.coalesce(*[F.when(t.rlike(r"\d"), F.trim(t)) for t in tries], F.lit(""))
 
 
-def json_array(text: str | None) -> list[dict]:
-    """The objects of the first of these that is a JSON array: the whole text, what stands in code fences, the largest block in square brackets."""
-    bare = (text or "").strip()
-    tries = [bare, *(x.strip() for x in re.findall(r"```(?:json)?\s*([\s\S]*?)```", bare, re.IGNORECASE))]
-    depth, start, largest = 0, -1, ""
-    for m in re.finditer(r"[\[\]]", bare):
-        if m[0] == "[":
-            start, depth = (m.start() if depth == 0 else start), depth + 1
-        else:
-            depth -= 1
-            if depth == 0 and start >= 0:
-                block = bare[start : m.end()]
-                largest, start = (block if len(block) > len(largest) else largest), -1
-    for x in (*tries, largest):
+def arrays_in(text: str) -> list[tuple[int, list]]:
+    """(length, value) of each JSON array that begins somewhere in the text, outermost ones only: what the decoder reads from a square bracket on."""
+    decoder, found, at = json.JSONDecoder(), [], text.find("[")
+    while at >= 0:
         try:
-            got = json.loads(x) if x else None
-        except ValueError:
-            continue
-        if isinstance(got, list):
-            return [r for r in got if isinstance(r, dict)]
-    return []
+            value, end = decoder.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            end = at + 1
+        else:
+            found.append((end - at, value))
+        at = text.find("[", end)
+    return found
+
+
+def json_array(text: str | None) -> list[dict]:
+    """The objects of the array that a model was asked for: the text if it is one, else the first code fence that is one, else the longest that the text holds."""
+    text = (text or "").strip()
+    for whole in (text, *(x.strip() for x in re.findall(r"(?is)```(?:json)?(.*?)```", text))):
+        got = arrays_in(whole) if whole.startswith("[") else []
+        if got and got[0][0] == len(whole):
+            return [r for r in got[0][1] if isinstance(r, dict)]
+    _, longest = max(arrays_in(text), key=lambda x: x[0], default=(0, []))
+    return [r for r in longest if isinstance(r, dict)]
 
 
 @F.pandas_udf(StringType())

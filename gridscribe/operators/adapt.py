@@ -12,8 +12,8 @@ from ..functions.tables import SLOT_PREFIX, arms, cell_value, cells, raw_rows, r
 from ..functions.text import let
 from .generation import fill, legacy_fill
 
-#: A write-up counts as adapted from so many replacements on, if so large a share of its slots is known.
-REPLACEMENTS, COVERAGE = 5, 0.5
+# A write-up counts as adapted from so many replacements on, if so large a share of its slots is known; a number stands for a slot's if it is nearer than this.
+REPLACEMENTS, COVERAGE, NEAR = 5, 0.5, 0.5
 
 
 def last_slots(text: Column) -> Column:
@@ -58,7 +58,7 @@ def delexicalize(writeup: str | None, control: str | None, experimental: str | N
         exact = rf"(?<![\w.{{]){re.escape(str(value))}(?![\w}}]|\.\d)"
         out, n = re.subn(exact, "{" + slot + "}", out)
         if not n:
-            near = next((m for m in re.finditer(r"(?<![\w.{])\d+\.?\d*(?![\w}])", out) if abs(float(m[0]) - float(value)) < 0.5), None)
+            near = next((m for m in re.finditer(r"(?<![\w.{])\d+\.?\d*(?![\w}])", out) if abs(float(m[0]) - float(value)) < NEAR), None)
             if near:
                 out, n = out[: near.start()] + "{" + slot + "}" + out[near.end() :], 1
         done += bool(n)

@@ -191,9 +191,13 @@ def unrepeated(sentences: Column) -> Column:
     return let(F.transform(sentences, key), lambda ks: F.filter(sentences, lambda s, i: (F.get(ks, i) != "") & (F.array_position(ks, F.get(ks, i)) == i + 1)))
 
 
+# What is polished, in this order.
+POLISHED = ((r"\(\s*\)", ""), (r",\s*,", ","), (r"\.\s*\.", "."), (r"\s{2,}", " "), (r"\s+([.,!?;%])", "$1"), (r"(?i)versus\s+in the\s+", "versus "))
+
+
 def polish(text: Column) -> Column:
     """Empty brackets, doubled commas and stops, runs of white space, white space before marks, and `versus in the` go."""
-    for pattern, to in ((r"\(\s*\)", ""), (r",\s*,", ","), (r"\.\s*\.", "."), (r"\s{2,}", " "), (r"\s+([.,!?;%])", "$1"), (r"(?i)versus\s+in the\s+", "versus ")):
+    for pattern, to in POLISHED:
         text = F.regexp_replace(text, pattern, to)
     return F.trim(text)
 

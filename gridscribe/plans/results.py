@@ -11,21 +11,23 @@ from .scoring import rounded
 
 
 def items(spark, sf_dir):
-    """events as result rows: correct below a value of 60, off target where the user is a multiple of 7, switches from the id."""
+    """events as result rows: correct below a value of 60, off target where the user is a multiple of 7, switches and shares of both languages from the id, as long as their properties."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").try_cast("long")
     return e.select(
         "event_id", F.col("event_type").alias("variant"), (F.coalesce(k, F.lit(0)) % 5).alias("topic"), (F.col("event_id") % 3).alias("difficulty"), (F.coalesce("value", F.lit(0.0)) < 60).alias("is_correct"),
-        (F.col("user_id") % 7 == 0).alias("off_target"), (F.col("event_id") % 9).alias("switches"), (F.col("user_id") % 4).alias("language"), F.concat(F.lit("trap"), (F.col("user_id") % 40).cast("string")).alias("trap"))
+        (F.col("user_id") % 7 == 0).alias("off_target"), (F.col("event_id") % 9).alias("switches"), (F.col("user_id") % 4).alias("language"), F.concat(F.lit("trap"), (F.col("user_id") % 40).cast("string")).alias("trap"),
+        F.length("props").cast("long").alias("response_length"), ((F.col("event_id") % 11) / 10).alias("english"), ((10 - F.col("event_id") % 11) / 10).alias("hindi"))
 
 
 def variant_statistics(spark, sf_dir):
-    """Accuracy, off-target rate and switches of each variant, and the drop against the base variant (a row per variant, so no skew)."""
+    """Accuracy, off-target rate, switches, length and shares of languages of each variant, and the drop against the base variant (a row per variant, so no skew)."""
     rate = lambda c: F.avg(F.col(c).cast("int"))
-    rows = items(spark, sf_dir).groupBy("variant").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("n_correct"), rate("is_correct").alias("accuracy"), rate("off_target").alias("off_target_rate"), F.avg("switches").alias("avg_switches"))
+    rows = items(spark, sf_dir).groupBy("variant").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("n_correct"), rate("is_correct").alias("accuracy"), rate("off_target").alias("off_target_rate"), F.avg("switches").alias("avg_switches"),
+        F.avg("response_length").alias("avg_response_len"), F.avg("english").alias("avg_en_fraction"), F.avg("hindi").alias("avg_hi_fraction"))
     base = rows.where("variant = 'view'").select(F.col("accuracy").alias("base"))
     rows = rows.join(F.broadcast(base)).withColumn("accuracy_drop", F.col("base") - F.col("accuracy")).withColumn("relative_drop_pct", F.when(F.col("base") > 0, 100 * F.col("accuracy_drop") / F.col("base")).otherwise(0.0))
-    return rounded(rows.drop("base"), "accuracy", "off_target_rate", "avg_switches", "accuracy_drop", "relative_drop_pct")
+    return rounded(rows.drop("base"), "accuracy", "off_target_rate", "avg_switches", "avg_response_len", "avg_en_fraction", "avg_hi_fraction", "accuracy_drop", "relative_drop_pct")
 
 
 def topic_matrix(spark, sf_dir):
@@ -116,13 +118,13 @@ def islands(spark, sf_dir):
 
 
 _I = """WITH items AS (SELECT event_id, event_type AS variant, coalesce(try_cast(json_extract_string(props, '$.k') AS bigint), 0) % 5 AS topic, event_id % 3 AS difficulty, coalesce(value, 0) < 60 AS is_correct,
-  user_id % 7 = 0 AS off_target, event_id % 9 AS switches, user_id % 4 AS language, 'trap' || (user_id % 40) AS trap FROM events)"""
-_S = f"""{_I}, s AS (SELECT variant, count(*) AS n, count(*) FILTER (WHERE is_correct) AS n_correct, avg(is_correct::int) AS accuracy, avg(off_target::int) AS off_target_rate, avg(switches) AS avg_switches FROM items GROUP BY variant),
+  user_id % 7 = 0 AS off_target, event_id % 9 AS switches, user_id % 4 AS language, 'trap' || (user_id % 40) AS trap, length(props) AS response_length, (event_id % 11) / 10 AS english, (10 - event_id % 11) / 10 AS hindi FROM events)"""
+_S = f"""{_I}, s AS (SELECT variant, count(*) AS n, count(*) FILTER (WHERE is_correct) AS n_correct, avg(is_correct::int) AS accuracy, avg(off_target::int) AS off_target_rate, avg(switches) AS avg_switches, avg(response_length) AS avg_response_len, avg(english) AS avg_en_fraction, avg(hindi) AS avg_hi_fraction FROM items GROUP BY variant),
   b AS (SELECT accuracy AS base FROM s WHERE variant = 'view')"""
 _P = "t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))"
 
 QUERIES = {
-    "variant_statistics": (variant_statistics, f"{_S} SELECT variant, n, n_correct, round(accuracy, 6) AS accuracy, round(off_target_rate, 6) AS off_target_rate, round(avg_switches, 6) AS avg_switches, round(base - accuracy, 6) AS accuracy_drop, round(CASE WHEN base > 0 THEN 100 * (base - accuracy) / base ELSE 0 END, 6) AS relative_drop_pct FROM s, b"),
+    "variant_statistics": (variant_statistics, f"{_S} SELECT variant, n, n_correct, round(accuracy, 6) AS accuracy, round(off_target_rate, 6) AS off_target_rate, round(avg_switches, 6) AS avg_switches, round(avg_response_len, 6) AS avg_response_len, round(avg_en_fraction, 6) AS avg_en_fraction, round(avg_hi_fraction, 6) AS avg_hi_fraction, round(base - accuracy, 6) AS accuracy_drop, round(CASE WHEN base > 0 THEN 100 * (base - accuracy) / base ELSE 0 END, 6) AS relative_drop_pct FROM s, b"),
     "topic_matrix": (topic_matrix, f"""{_I}, m AS (SELECT topic, {', '.join(f"avg(is_correct::int) FILTER (WHERE variant = '{k}') AS {k}" for k in ('click', 'error', 'purchase', 'signup', 'view'))} FROM items GROUP BY topic)
       SELECT topic, round(click, 6) AS click, round(error, 6) AS error, round(purchase, 6) AS purchase, round(signup, 6) AS signup, round(view, 6) AS view, round(100 * (greatest(click, error, purchase, signup, view) - least(click, error, purchase, signup, view)), 6) AS max_drop_pp FROM m"""),
     "difficulty_matrix": (difficulty_matrix, f"{_I} SELECT difficulty, variant, count(*) AS n, count(*) FILTER (WHERE is_correct) AS correct, round(avg(is_correct::int), 6) AS accuracy FROM items GROUP BY ALL"),

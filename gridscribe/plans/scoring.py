@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import metrics as M, text as T
 from ..functions.rouge import rouge_f1
+from ..functions.tables import raw_rows
 from ..sources.trials import ARMS, TRIALS_SQL, candidates, trials
 
 METRICS = ("nar", "hr", "or_score", "swos", "ndi", "acr", "rdi", "rii", "dpe", "cor", "safety_score")
@@ -72,14 +73,61 @@ def accuracy_vs_reference(spark, sf_dir):
     return rounded(rows, "accuracy")
 
 
+STANDALONE = ("rouge_1", "rouge_2", "rouge_l", "bertscore_f1", "meteor", "fk_grade", "nar", "hr", "or_score", "swos", "ndi", "acr", "safety_score", "fluency_score")
+
+
+def standalone(df: DataFrame) -> DataFrame:
+    """df (generated, reference, table_text, ...) with the twelve metrics and two scores of the library-free scorer: arm radius 25, its own severity words, drift as the least relative
+    distance, token overlap instead of stems, and proxies for METEOR and the model's score."""
+    g, r = F.col("generated"), F.col("reference")
+    rows = M.evaluate(df, ARMS, 25, T.SEVERITY_SHORT)
+    rows = rows.withColumns({"_g": T.extract_numbers(g), "_s": T.extract_numbers(F.col("table_text"))})
+    least = F.transform("_g", lambda x: F.array_min(F.transform("_s", lambda s: F.abs(x - s) / F.greatest(F.abs(s), F.lit(1e-9)))))
+    rows = rows.withColumns({**M.rouge(g, r), "meteor": M.meteor_proxy(g, r), "fk_grade": M.fk_grade(g), "ndi": F.when((F.size("_g") > 0) & (F.size("_s") > 0), M.mean(least)).otherwise(F.lit(0.0))})
+    rows = rows.withColumn("bertscore_f1", M.bert_proxy(F.col("rouge_l")))
+    return rows.withColumn("fluency_score", M.fluency(F.col("rouge_l"), F.col("bertscore_f1"), F.col("meteor"))).drop("_g", "_s")
+
+
 def standalone_metrics(spark, sf_dir):
-    """The library-free scorer: arm radius 25, its own severity words, and drift as the least relative distance."""
-    rows = M.evaluate(texts(spark, sf_dir), ARMS, 25, T.SEVERITY_SHORT)
-    rows = rows.withColumns({"_g": T.extract_numbers(F.col("generated")), "_s": T.extract_numbers(F.col("table_text"))})
-    least = F.transform("_g", lambda g: F.array_min(F.transform("_s", lambda s: F.abs(g - s) / F.greatest(F.abs(s), F.lit(1e-9)))))
-    rows = rows.withColumn("ndi", F.when((F.size("_g") > 0) & (F.size("_s") > 0), M.mean(least)).otherwise(F.lit(0.0)))
-    names = ("nar", "hr", "or_score", "swos", "ndi", "acr", "safety_score")
-    return rounded(rows.select("table_id", "mode", *names), *names)
+    rows = standalone(texts(spark, sf_dir))
+    counts = ("n_source_nums", "n_output_nums", "n_halluc_sents", "n_total_sents")
+    return rounded(rows.select("table_id", "mode", *STANDALONE, *counts), *STANDALONE)
+
+
+def damaged(spark, sf_dir) -> DataFrame:
+    """texts of which every fifth table has lost something: the reference, the table or the text."""
+    lost = lambda k, c: F.when(F.col("table_id") % 15 == k, F.lit(None)).otherwise(F.col(c)).alias(c)
+    return texts(spark, sf_dir).select("table_id", "mode", lost(2, "generated"), lost(5, "reference"), lost(8, "table_text"))
+
+
+def whole_evaluation(spark, sf_dir):
+    """All sixteen metrics of each text, both scores, and what could not be had."""
+    rows = M.evaluate_whole(damaged(spark, sf_dir), ARMS)
+    return rounded(rows.select("table_id", "mode", *M.ALL_METRICS, "safety_score", "fluency_score", F.array_join("errors", "; ").alias("errors")), *M.ALL_METRICS, "safety_score", "fluency_score")
+
+
+def evaluation_errors(spark, sf_dir):
+    """The metrics that hold a text against its table, where texts, references or tables are missing, and how many metrics each row lacks."""
+    rows = M.evaluate_whole(damaged(spark, sf_dir), ARMS)
+    return rounded(rows.select("table_id", "mode", *M.TABLE_METRICS, F.size("errors").cast("long").alias("n_errors")), *M.TABLE_METRICS)
+
+
+def noted_tables(spark, sf_dir) -> DataFrame:
+    """(table_id, mode, generated, table_text): tables whose rows are sentences, so that each is a fact of its own, with the texts of all modes and the shorter reference."""
+    rows = F.transform(raw_rows(F.col("table_text")), lambda r: F.concat(F.replace(F.trim(r), F.lit(" | "), F.lit(" : ")), F.lit(".")))
+    tables = trials(spark, sf_dir).withColumn("table_text", F.array_join(rows, " "))
+    modes = ("ml", "dl_base", "finetuned", "brief")
+    return tables.withColumnRenamed("reference", "brief").unpivot(["table_id", "table_text"], list(modes), "mode", "generated")
+
+
+def omitted_facts(spark, sf_dir):
+    """Of tables with a fact in each row: the share of facts that a text leaves out, weighted by severity or not, the facts of each tier, and what the weighting says."""
+    rows = noted_tables(spark, sf_dir).withColumn("f", T.facts(F.col("table_text")))
+    rows = rows.withColumn("gone", M.omitted(F.col("f"), T.extract_numbers(F.col("generated"))))
+    tiers = lambda c: F.aggregate(F.col(c), F.lit(0), lambda a, x: a + x["tier"])
+    rows = rows.withColumns({"or_score": M.share(F.size("gone"), F.size("f"), 0.0), "swos": M.share(tiers("gone"), tiers("f"), 0.0), "m": M.tiers_lost(F.col("gone"), F.col("f"))})
+    lost = [F.col("m")[F.lit(t)][k].alias(f"{k}_{t}") for t in (1, 2, 3, 4) for k in ("omitted", "total")]
+    return rounded(rows.select("table_id", "mode", "or_score", "swos", *lost, M.omission_reading(F.col("swos"), F.col("or_score")).alias("reading")), "or_score", "swos")
 
 
 def percentile_profile(spark, sf_dir):
@@ -353,7 +401,18 @@ QUERIES = {
       SELECT table_id, mode, round(0.39 * (len(w) / greatest(len(regexp_extract_all(generated, '[.!?]+')), 1)) + 11.8 * (list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(regexp_replace(lower(x), '[es]+$', ''), '[aeiouy]+')), 1))) / len(w)) - 15.59, 6) AS fk_grade FROM w"""),
     "value_hallucination": (value_hallucination, f"{_BASE}, n AS (SELECT table_id, mode, {numbers_sql('generated')} AS g, {numbers_sql('table_text')} AS s FROM candidates) SELECT table_id, mode, {_hall('0.01', '0, 1, 2', 'hr_report')}, {_hall('0.11', '', 'hr_benchmark')}, {_hall('1.01', '', 'hr_gate')}, {_hall('0.11', '0, 1, 2, 3, 4, 5', 'hr_guardian')} FROM n"),
     "accuracy_vs_reference": (accuracy_vs_reference, f"{_BASE}, n AS (SELECT table_id, mode, {numbers_sql('generated')} AS g, {numbers_sql('reference')} AS r FROM candidates) SELECT table_id, mode, round(len(list_filter(r, lambda x: len(list_filter(g, lambda y: abs(x - y) <= 1.01)) > 0)) / len(r), 6) AS accuracy FROM n"),
-    "standalone_metrics": (standalone_metrics, f"WITH {TRIALS_SQL}, {scores_sql(radius=25)} SELECT table_id, mode, {_R('nar', 'hr', 'or_score', 'swos')}, round(list_sum(list_transform(g, lambda v: list_min(list_transform(s, lambda x: abs(v - x) / greatest(abs(x), 1e-9))))) / len(g), 6) AS ndi, {_R('acr', 'safety_score')} FROM scores"),
+    "standalone_metrics": (standalone_metrics, f"""{_RL}{_FLU}, {scores_sql(radius=25)}, w AS (SELECT *, regexp_extract_all(generated, '\\S+') AS w FROM scores)
+      SELECT table_id, mode, round(rl.hits / len(list_distinct(rl.g)), 6) AS rouge_1, round(0.6 * rl.hits / len(list_distinct(rl.g)), 6) AS rouge_2, round(rl.rl, 6) AS rouge_l, round(bertscore_f1, 6) AS bertscore_f1, round(meteor, 6) AS meteor,
+        round(0.39 * (len(w) / greatest(len(regexp_extract_all(w.generated, '[.!?]+')), 1)) + 11.8 * (list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(regexp_replace(lower(x), '[es]+$', ''), '[aeiouy]+')), 1))) / len(w)) - 15.59, 6) AS fk_grade,
+        {_R('nar', 'hr', 'or_score', 'swos')}, round(list_sum(list_transform(w.g, lambda v: list_min(list_transform(w.s, lambda x: abs(v - x) / greatest(abs(x), 1e-9))))) / len(w.g), 6) AS ndi, {_R('acr', 'safety_score')},
+        round(least(0.3 * rl.rl + 0.45 * bertscore_f1 + 0.25 * meteor, 1), 6) AS fluency_score, n_source_nums, n_output_nums, n_halluc_sents, n_total_sents FROM w JOIN rl USING (table_id, mode) JOIN parts USING (table_id, mode)"""),
+    "whole_evaluation": (whole_evaluation, None),
+    "evaluation_errors": (evaluation_errors, f"{_SCORES} SELECT table_id, mode, {', '.join(f'CASE WHEN table_id % 15 IN (2, 8) THEN 0 ELSE round(cast({m} AS double), 6) END AS {m}' for m in M.TABLE_METRICS)}, CASE table_id % 15 WHEN 2 THEN {len(M.ALL_METRICS)} WHEN 5 THEN {len(M.TEXT_METRICS)} WHEN 8 THEN {len(M.TABLE_METRICS)} ELSE 0 END::bigint AS n_errors FROM scores"),
+    "omitted_facts": (omitted_facts, f"""{_BASE}, t AS (SELECT table_id, unnest(['ml', 'dl_base', 'finetuned', 'brief']) AS mode, unnest([ml, dl_base, finetuned, reference]) AS generated FROM trials), n AS (SELECT table_id, mode, {numbers_sql('generated')} AS g FROM t),
+      f AS (SELECT table_id, [n_a::double, t_a / 10, n_b::double, t_b / 10] AS v, CASE label WHEN 'Fatal' THEN 4 WHEN 'SAE' THEN 3 WHEN 'Grade 3-4 AE' THEN 2 ELSE 1 END AS tier FROM counted),
+      o AS (SELECT table_id, mode, tier, len(list_filter(v, lambda x: len(list_filter(g, lambda y: {near_sql('y', 'x')})) > 0)) = 0 AS gone FROM f JOIN n USING (table_id)),
+      s AS (SELECT table_id, mode, avg(gone::int) AS o, coalesce(sum(tier) FILTER (WHERE gone), 0) / sum(tier) AS w, {', '.join(f'count(*) FILTER (WHERE gone AND tier = {k}) AS omitted_{k}, count(*) FILTER (WHERE tier = {k}) AS total_{k}' for k in (1, 2, 3, 4))} FROM o GROUP BY table_id, mode)
+      SELECT table_id, mode, round(o, 6) AS or_score, round(w, 6) AS swos, {', '.join(f'omitted_{k}, total_{k}' for k in (1, 2, 3, 4))}, CASE WHEN w > o + 0.05 THEN 'severe facts go first' WHEN w < o - 0.05 THEN 'severe facts stay' ELSE 'even' END AS reading FROM s"""),
     "percentile_profile": (percentile_profile, f"{_SCORES}, long AS ({_LONG(METRICS, 'scores')}) SELECT mode, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(cast(value AS double), 0.1), 6) AS p10, round(quantile_cont(cast(value AS double), 0.5), 6) AS p50, round(quantile_cont(cast(value AS double), 0.9), 6) AS p90, round(min(cast(value AS double)), 6) AS min, round(max(cast(value AS double)), 6) AS max FROM long GROUP BY ALL"),
     "gate_breakdown": (gate_breakdown, f"{_SCORES} SELECT mode, count(*) FILTER (WHERE hr > 0) AS hallucinated, count(*) FILTER (WHERE nar < 0.95) AS ungrounded, count(*) FILTER (WHERE swos > or_score) AS severe_omission, count(*) FILTER (WHERE acr > 0) AS arm_confusion, count(*) FILTER (WHERE hr = 0 AND nar >= 0.95) AS passed FROM scores GROUP BY mode"),
     "error_composition": (error_composition, f"{_SCORES} SELECT mode, round(100 * avg((hr > 0)::int), 6) AS pct_hr, round(100 * avg((or_score > 0)::int), 6) AS pct_or, round(100 * avg((acr > 0)::int), 6) AS pct_acr, round(100 * avg((ndi > 0.001)::int), 6) AS pct_ndi, round(100 * avg((hr > 0 OR nar < 0.95)::int), 6) AS gate_rate FROM scores GROUP BY mode"),

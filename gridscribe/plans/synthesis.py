@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import pages as P, tables as T
 from ..operators import adapt as D, augment as A, generation as G, nlg as N, voting as V
 from ..operators.clusters import ward_of_all
+from ..operators.neighbours import nearest_by_pivots
 from ..session import cut
 from ..sources.shapes import SHAPES_SQL, shapes
 from ..sources.trials import TRIALS_SQL, trials
 from .composing import COVERAGE_SQL, facts
 from .parsing import KIND_SQL, PREFIX_SQL
-from .retrieval import nearest
 from .scoring import rounded
 
 
@@ -51,9 +51,11 @@ def sentence_shuffle(spark, sf_dir):
 
 
 def varied_tables(spark, sf_dir):
-    """Two variants of each table with other sizes, and one with its numbers moved by up to 15 percent."""
-    rows = shapes(spark, sf_dir).withColumn("seed", F.explode(F.array(*[F.lit(str(i)) for i in range(3)])))
-    return rows.select("table_id", "seed", F.when(F.col("seed") == "2", A.varied_numbers("table_text", "seed")).otherwise(A.varied_table("table_text", "seed")).alias("table_text"))
+    """Two variants of each table with other sizes and, for some, other arms, with its write-up; and one with its numbers moved by up to 15 percent."""
+    told = trials(spark, sf_dir).select("table_id", F.col("reference").alias("writeup"))
+    rows = shapes(spark, sf_dir).join(told, "table_id").withColumn("seed", F.explode(F.array(*[F.lit(str(i)) for i in range(3)])))
+    moved = F.struct(A.varied_numbers(F.col("table_text"), F.col("seed")).alias("table_text"), F.col("writeup"), F.lit(1.0).alias("scale_factor"))
+    return rows.select("table_id", "seed", F.when(F.col("seed") == "2", moved).otherwise(A.varied_table(F.col("table_text"), F.col("writeup"), F.col("seed"))).alias("x")).select("table_id", "seed", "x.*")
 
 
 def template_examples(spark, sf_dir):
@@ -71,11 +73,12 @@ def labelled_rows(spark, sf_dir) -> DataFrame:
 
 
 def oversample(spark, sf_dir):
-    """Classes before and after oversampling."""
-    rows = labelled_rows(spark, sf_dir).drop("table_id", "row_index")
-    near = lambda v, k: nearest(v, v, k, metric="euclidean")
-    out = A.oversampled(rows, FEATURES_6, "label", "id", near)
-    return out.groupBy("label").agg(F.count("*").alias("n"), F.count("id").alias("n_real"))
+    """The new rows of the rarer class, each with the two rows that it lies between."""
+    rows = cut(labelled_rows(spark, sf_dir).drop("table_id", "row_index"))
+    made = A.new_points(rows, FEATURES_6, "label", "id", lambda v, k: nearest_by_pivots(v, v, k, metric="euclidean")[0])
+    if made is None:
+        made = rows.limit(0).select(F.col("id").alias("parent"), F.col("id").alias("other"), F.lit(1).alias("t"), *FEATURES_6, "label")
+    return rounded(made.withColumn("t", F.col("t").cast("long")), *FEATURES_6)
 
 
 def event_clusters(spark, sf_dir):
@@ -198,6 +201,9 @@ x AS (SELECT *, drug / (control + 0.001) AS ratio, coalesce(arg_min(drug, row_in
 _LAB = f"""WITH {TRIALS_SQL}, lab AS (SELECT table_id * 100 + pos AS id, t_b / 10 AS drug_pct, abs(t_b / 10 - t_a / 10) AS diff, CASE WHEN t_a > 0 THEN (t_b / 10) / (t_a / 10) WHEN t_b > 0 THEN 20 ELSE 1 END AS rr
   FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row_index) - 1 AS pos FROM counted) WHERE row_index > 1 AND NOT (t_a = 0 AND t_b = 0)),
 scored AS (SELECT id, (diff >= 4)::int AS label, round(least(drug_pct / 100, 1), 4) AS by_share, round(least(diff / 20, 1), 4) AS by_gap, round(least(rr / 20, 1), 4) AS by_ratio FROM lab)"""
+_SIX = f"""WITH {TRIALS_SQL}, six AS (SELECT id, drug_pct, ctrl_pct, abs(drug_pct - ctrl_pct) AS abs_risk_diff, CASE WHEN ctrl_pct > 0 THEN least(drug_pct / ctrl_pct, 20) WHEN drug_pct > 0 THEN 20 ELSE 1 END::double AS relative_risk, is_sae, is_severe, (abs(drug_pct - ctrl_pct) >= 4)::bigint AS label
+  FROM (SELECT table_id * 100 + row_number() OVER (PARTITION BY table_id ORDER BY row_index) - 1 AS id, row_index, t_b / 10 AS drug_pct, t_a / 10 AS ctrl_pct, regexp_matches(label, 'SAE|Fatal')::int::double AS is_sae, regexp_matches(label, 'Grade 3-4')::int::double AS is_severe FROM counted)
+  WHERE row_index > 1 AND NOT (drug_pct = 0 AND ctrl_pct = 0))"""
 _AUC = lambda m: f"(SELECT sum(CASE WHEN n.{m} < p.{m} THEN 1.0 WHEN n.{m} = p.{m} THEN 0.5 ELSE 0 END) / count(*) FROM scored p, scored n WHERE p.label = 1 AND n.label = 0)"
 _PAGES = f"""WITH {TRIALS_SQL}, pages AS (SELECT table_id, 'intro' || chr(10) || 'Table 1: events of study ' || table_id || chr(10) || 'x' || CASE WHEN table_id % 2 = 0 THEN chr(10) || 'Table 2: events of study ' || table_id ELSE '' END AS head,
   CASE table_id % 3 WHEN 0 THEN 'Overall, ' || ml WHEN 1 THEN 'Subjects in the ' || reference ELSE '' END AS told FROM trials)"""
@@ -226,7 +232,13 @@ QUERIES = {
       SELECT table_id, md5(CASE WHEN len(s) < 3 THEN ml ELSE s[1] || ' ' || mid || ' ' || s[-1] END) AS text_md5 FROM p LEFT JOIN o USING (table_id)"""),
     "varied_tables": (varied_tables, None),
     "template_examples": (template_examples, f"WITH d AS (SELECT s_suppkey AS id, {_DRAWN} FROM supplier) SELECT id, {_MADE_TABLE} AS table_text, {_MADE_TEXT} AS writeup FROM d"),
-    "oversample": (oversample, f"{_LAB}, n AS (SELECT label, count(*) AS n FROM scored GROUP BY label) SELECT label::bigint AS label, (SELECT max(n) FROM n) AS n, n AS n_real FROM n"),
+    "oversample": (oversample, f"""{_SIX}, n AS (SELECT label, count(*) AS n FROM six GROUP BY label), rare AS (SELECT arg_min(label, (n, label)) AS label, max(n) - min(n) AS lacking, min(n) AS own FROM n HAVING count(*) = 2 AND max(n) > min(n)),
+      few AS (SELECT six.*, lacking, own, row_number() OVER (ORDER BY md5(cast(id AS varchar)), id) AS place FROM six JOIN rare USING (label)),
+      times AS (SELECT *, unnest(range(1, lacking // own + CASE WHEN place <= lacking % own THEN 1 ELSE 0 END + 1)) AS t FROM few),
+      d AS (SELECT a.id AS q, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY round(sqrt({' + '.join(f'power(a.{f} - b.{f}, 2)' for f in FEATURES_6)}), 9), b.id) AS r FROM few a JOIN few b ON a.id <> b.id),
+      l AS (SELECT q, list(other ORDER BY r) AS ids FROM d WHERE r <= 5 GROUP BY q),
+      u AS (SELECT times.*, {_U("id || '/' || t", 'smote')} AS u, coalesce(ids[floor({_U("id || '/' || t", 'smote-of')} * len(ids))::int + 1], id) AS other FROM times LEFT JOIN l ON q = id)
+      SELECT u.id AS parent, u.other, u.t, {', '.join(f'round(u.{f} + u.u * (o.{f} - u.{f}), 6) AS {f}' for f in FEATURES_6)}, u.label FROM u JOIN few o ON o.id = u.other"""),
     "event_clusters": (event_clusters, None),
     "row_clusters": (row_clusters, None),
     "fold_vote": (fold_vote, None),

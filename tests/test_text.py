@@ -104,3 +104,27 @@ def _next(row, x, b):
 def test_lcs(spark):
     assert one(spark, M.lcs(F.split("a", " "), F.split("b", " ")), a="a b c d e", b="b x d e") == 3
     assert one(spark, M.rouge(F.col("a"), F.col("b"))["rouge_l"], a="", b="x") == 0.0
+
+
+def test_a_missing_text_leaves_the_other_metrics(spark):
+    rows = [("ok", "SAE in 5 (5.0%) subjects.", "SAE in 5 (5.0%) subjects.", "SAE | 5 (5.0%)"), ("no reference", "SAE in 5.", None, "SAE | 5 (5.0%)"), ("no table", "SAE in 5.", "SAE in 5.", None), ("none", None, "x", "SAE | 5")]
+    df = spark.createDataFrame(rows, "mode string, generated string, reference string, table_text string").withColumn("extra", F.lit("kept"))
+    got = {r["mode"]: r for r in M.evaluate_whole(df, ("Placebo", "Drug A")).collect()}
+    assert got["ok"]["errors"] == [] and got["ok"]["rouge_l"] == 1.0 and got["ok"]["nar"] == 1.0 and got["ok"]["extra"] == "kept" and got["ok"]["meteor"] > 0.9
+    assert got["no reference"]["nar"] == 1.0 and got["no reference"]["rouge_1"] == 0.0 and [e.split(":")[0] for e in got["no reference"]["errors"]] == list(M.TEXT_METRICS)
+    assert got["no table"]["rouge_1"] == 1.0 and got["no table"]["nar"] == 0.0 and [e.split(":")[0] for e in got["no table"]["errors"]] == list(M.TABLE_METRICS)
+    assert len(got["none"]["errors"]) == len(M.ALL_METRICS) == 16 and got["none"]["fk_grade"] == 0.0
+
+
+def test_one_python_metric_that_fails_leaves_the_other(monkeypatch):
+    import pandas as pd
+    from gridscribe.functions import rouge
+
+    def broken(g, r):
+        if g == "bad":
+            raise RuntimeError("broken")
+        return 1.0, 1.0, 1.0
+
+    monkeypatch.setattr(rouge, "scores", broken)
+    got = M.text_scores.func(pd.Series(["bad", "a"]), pd.Series(["bad", "a"]))
+    assert got.errors.tolist() == [["rouge: broken"], []] and got.rouge_1.tolist() == [0.0, 1.0] and got.meteor[0] > 0 and got.meteor[1] > 0
