@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.metrics import share
-from ..functions.tables import arms, overview_slots
 from ..functions.text import let, plain_numbers
+from .generation import slots_of
 
 #: Two wordings of each part, in the order of the narrative; {0} and {1} are the arms, {2} to {5} counts and percents of control and experiment.
 PARTS = (
@@ -27,13 +27,12 @@ def fill(template: str, values: list[Column]) -> Column:
 
 
 def narratives(tables: DataFrame, key: str = "table_id", text_col: str = "table_text") -> DataFrame:
-    """(key, narrative): sentences of the parts whose slots are all there, each in the wording that the md5 of the table picks."""
-    slots = overview_slots(tables, text_col, key)
-    wide = slots.groupBy(key).agg(*[F.first(F.when(F.col("prefix") == p, F.struct("n_a", "pct_a", "n_b", "pct_b")), True).alias(p) for p, _ in PARTS])
-    rows = tables.select(key, arms(F.col(text_col)).alias("_arms"), (F.conv(F.substring(F.md5(text_col), 32, 1), 16, 10).cast("int") % 2).alias("_v")).join(wide, key, "left")
+    """(key, narrative): sentences of the parts whose slots are all there, each in the wording that the md5 of the table picks. All within the row."""
+    rows = tables.select(key, slots_of(F.col(text_col)).alias("_slots"), (F.conv(F.substring(F.md5(text_col), 32, 1), 16, 10).cast("int") % 2).alias("_v"))
+    slot = lambda k: F.try_element_at("_slots", F.lit(k))
 
     def sentence(p: str, wordings: tuple[str, str]) -> Column:
-        values = [F.col("_arms.control"), F.col("_arms.experimental"), *[F.col(f"{p}.{c}") for c in ("n_a", "pct_a", "n_b", "pct_b")]]
+        values = [slot(k) for k in ("ARM_A", "ARM_B", f"{p}_N_A", f"{p}_PCT_A", f"{p}_N_B", f"{p}_PCT_B")]
         return F.when(F.col("_v") == 0, fill(wordings[0], values)).otherwise(fill(wordings[1], values))
 
     return rows.select(key, F.array_join(F.filter(F.array(*[sentence(p, w) for p, w in PARTS]), lambda s: s.isNotNull()), " ").alias("narrative"))

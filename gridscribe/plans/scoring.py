@@ -269,24 +269,35 @@ ABLATION_METRICS = ("nar", "hr", "or_score", "swos", "acr", "safety_score")
 PROFILES = ("full_system", "no_gate", "no_arm_parser", "no_severity")
 
 
+def _under(profile: str, text: Column, mode: Column) -> Column:
+    """A text under a profile: the gate's touches generated modes, the arm parser's the template and the fine-tuned one."""
+    if profile == "no_gate":
+        return F.when(mode.isin("dl_base", "finetuned"), with_drift(text)).otherwise(text)
+    if profile == "no_arm_parser":
+        return F.when(mode.isin("ml", "finetuned"), with_swap(text)).otherwise(text)
+    return without_severe(text) if profile == "no_severity" else text
+
+
 def ablated(df: DataFrame) -> DataFrame:
-    """Each text under each profile: one pass, as many rows as profiles. The gate's profile touches generated modes, the arm parser's the
-    template and the fine-tuned one."""
-    g = F.col("generated")
-    rows = df.withColumn("profile_name", F.explode(F.array(*[F.lit(p) for p in PROFILES])))
-    p, mode = F.col("profile_name"), F.col("mode")
-    drift, swap = (p == "no_gate") & mode.isin("dl_base", "finetuned"), (p == "no_arm_parser") & mode.isin("ml", "finetuned")
-    return rows.withColumn("generated", F.when(drift, with_drift(g)).when(swap, with_swap(g)).when(p == "no_severity", without_severe(g)).otherwise(g))
+    """(..., generated, profiles): the different texts that the profiles make of each text, with the names of those that make it. What a profile leaves as it is, is one row with the full system."""
+    texts = F.array(*[F.struct(F.lit(p).alias("p"), _under(p, F.col("generated"), F.col("mode")).alias("t")) for p in PROFILES])
+    rows = df.withColumn("_texts", texts).withColumn("_text", F.explode(F.array_distinct(F.col("_texts.t"))))
+    named = F.transform(F.filter("_texts", lambda x: x["t"].eqNullSafe(F.col("_text"))), lambda x: x["p"])
+    return rows.withColumns({"generated": F.col("_text"), "profiles": named}).drop("_texts", "_text")
+
+
+def by_profile(df: DataFrame) -> DataFrame:
+    return df.withColumn("profile_name", F.explode("profiles")).drop("profiles")
 
 
 def ablation_texts(spark, sf_dir):
-    return ablated(texts(spark, sf_dir)).select("table_id", "mode", "profile_name", "generated")
+    return by_profile(ablated(texts(spark, sf_dir))).select("table_id", "mode", "profile_name", "generated")
 
 
 def ablation_deltas(spark, sf_dir):
     """Mean of each metric by profile against the full system: a join with as many rows as modes and metrics."""
     names = list(ABLATION_METRICS)
-    rows = M.evaluate(ablated(read_texts(spark, sf_dir)), ARMS).groupBy("profile_name", "mode").agg(*[F.avg(m).alias(m) for m in names])
+    rows = by_profile(M.evaluate(ablated(read_texts(spark, sf_dir)), ARMS).select("mode", "profiles", *names)).groupBy("profile_name", "mode").agg(*[F.avg(m).alias(m) for m in names])
     long = rows.unpivot(["profile_name", "mode"], names, "metric", "value")
     base = long.where("profile_name = 'full_system'").select("mode", "metric", F.col("value").alias("base"))
     rows = long.join(base, ["mode", "metric"]).withColumn("delta", F.col("value") - F.col("base"))

@@ -34,12 +34,14 @@ def parse_jsonl(lines: DataFrame, schema: StructType, mode: str = "tolerant", li
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType, mode: str = "tolerant", n_max: int | None = None) -> DataFrame:
-    """JSON lines, as in parse_jsonl. `n_max` takes the first physical lines of a file, blank ones included."""
+    """JSON lines, as in parse_jsonl. `n_max` takes the first physical lines, blank ones included: in the order of files, their splits, and lines within these."""
     if mode == "tolerant" and n_max is None:
         return spark.read.schema(StructType([*schema.fields, StructField(CORRUPT, StringType())])).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     if n_max is None:
         return spark.read.schema(schema).json(path, mode={"skip": "DROPMALFORMED", "strict": "FAILFAST"}[mode])
-    return parse_jsonl(spark.read.text(path).limit(n_max).withColumnRenamed("value", "line"), schema, mode)
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")]
+    first = spark.read.text(path).select(F.col("value").alias("line"), *at).orderBy("_file", "_start", "_at").limit(n_max)
+    return parse_jsonl(first.select("line"), schema, mode)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
