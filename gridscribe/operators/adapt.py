@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.tables import SLOT_PREFIX, arms, cell_value, cells, raw_rows, row_type
 from ..functions.text import let
-from .generation import fill, legacy_fill
+from .generation import fill, legacy_fill, slots_of
 
 # A write-up counts as adapted from so many replacements on, if so large a share of its slots is known; a number stands for a slot's if it is nearer than this.
 REPLACEMENTS, COVERAGE, NEAR = 5, 0.5, 0.5
@@ -75,6 +75,24 @@ def _delexicalized(writeup: pd.Series, control: pd.Series, experimental: pd.Seri
 delexicalized = _delexicalized.asNondeterministic()
 
 
+def plainly_delexicalized(writeup: Column, old_table: Column) -> Column:
+    """The older way, for write-ups that delexicalize() gives up: names of arms and first values of the old table's slots become slots wherever they stand as whole words and numbers; null where none does."""
+    quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+
+    def named(text: Column, name: Column, slot: str) -> Column:
+        word = F.concat(F.lit(r"(?i)\b"), quoted(name), F.lit(r"\b"))
+        return F.when(F.length(name) >= 2, F.regexp_replace(text, word, F.lit("{" + slot + "}"))).otherwise(text)
+
+    def of(a: Column) -> Column:
+        text = named(named(writeup, a["control"], "ARM_A"), a["experimental"], "ARM_B")
+        values = F.map_filter(slots_of(old_table), lambda k, v: ~k.rlike("^(ARM|N)_"))
+        number = lambda v: F.concat(F.lit(r"(?<![\w.{])"), quoted(v), F.lit(r"(?![\w}]|\.\d)"))
+        whole = F.aggregate(F.map_entries(values), text, lambda t, e: F.regexp_replace(t, number(e["value"]), F.concat(F.lit("{"), e["key"], F.lit("}"))))
+        return let(whole, lambda t: F.when(t.contains("{"), t))
+
+    return let(arms(old_table), of)
+
+
 def adapted(template: Column, slots: Column) -> Column:
     """A delexicalized write-up filled with the facts of another table: null if less than COVERAGE of its slots are known. A sentence stays if more than half
     of its slots are."""

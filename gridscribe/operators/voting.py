@@ -28,6 +28,29 @@ def areas(rows: DataFrame) -> DataFrame:
     return below.groupBy("model").agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / F.nullif(total, F.lit(0.0))).alias("auc"))
 
 
+def average_precision(rows: DataFrame) -> DataFrame:
+    """(model, average_precision) of (model, score, label): the sum over distinct scores, the highest first, of the recall that each adds times the precision there. Counts run over ranges of scores
+    first, as in areas()."""
+    by = rows.groupBy("model", "score").agg(F.sum("label").alias("p"), F.count("*").alias("n")).withColumn("b", F.floor(F.col("score") * 64))
+    parts = by.groupBy("model", "b").agg(F.sum("p").alias("of_p"), F.sum("n").alias("of_n"))
+    above = Window.partitionBy("model").orderBy(F.desc("b"))
+    parts = parts.select("model", "b", *[(F.sum(f"of_{c}").over(above) - F.col(f"of_{c}")).alias(f"ahead_{c}") for c in "pn"])
+    inside = Window.partitionBy("model", "b").orderBy(F.desc("score"))
+    upto = by.withColumns({f"in_{c}": F.sum(c).over(inside) for c in "pn"}).join(parts, ["model", "b"])
+    precision = (F.col("ahead_p") + F.col("in_p")) / (F.col("ahead_n") + F.col("in_n"))
+    return upto.groupBy("model").agg((F.sum(F.col("p") * precision) / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"))
+
+
+def sweep(rows: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """(threshold, n_told, precision, recall, f1) of (score, label): what a score above each threshold tells, in one pass; shares of nothing are null."""
+    above = lambda t: F.col("score") > t
+    sums = rows.agg(F.sum("label").alias("wanted"), *[x for i, t in enumerate(thresholds) for x in (F.count_if(above(t)).alias(f"told_{i}"), F.count_if(above(t) & (F.col("label") == 1)).alias(f"hit_{i}"))])
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"told_{i}").alias("n_told"), F.col(f"hit_{i}").alias("hit")) for i, t in enumerate(thresholds)])
+    long = sums.select("wanted", F.explode(each).alias("x")).select("wanted", "x.*")
+    p, r = F.try_divide("hit", "n_told"), F.try_divide("hit", "wanted")
+    return long.select("threshold", "n_told", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
+
+
 def out_of_fold(rows: DataFrame, learners: dict[str, Learner], key: str = "id", label: str = "label", folds: int = 3) -> DataFrame:
     """(key, label, fold, one score column for each learner): each row scored by fits on the other folds alone.
 

@@ -102,10 +102,11 @@ def told_by(pairs: DataFrame, tables: DataFrame, corpus: DataFrame) -> DataFrame
     """(table_id, adapted): each table (table_id, table_text) told with the write-up of the corpus table (table_id, table_text, writeup) that it is paired with (q, id); null where
     too few of the write-up's slots are known. Tables without a pair stay, with null."""
     text = F.col("table_text")
-    old = corpus.select(F.col("table_id").alias("id"), "writeup", T.arms(text).alias("a"), D.last_slots(text).alias("old_slots"))
-    pairs = pairs.join(old, "id").select(F.col("q").alias("table_id"), "writeup", "a", "old_slots")
+    old = corpus.select(F.col("table_id").alias("id"), "writeup", T.arms(text).alias("a"), D.last_slots(text).alias("old_slots"), D.plainly_delexicalized(F.col("writeup"), text).alias("plain"))
+    pairs = pairs.join(old, "id").select(F.col("q").alias("table_id"), "writeup", "a", "old_slots", "plain")
     rows = tables.select("table_id", G.slots_of(text).alias("slots")).join(pairs, "table_id", "left")
     rows = rows.withColumn("template", D.delexicalized("writeup", F.col("a.control"), F.col("a.experimental"), "old_slots"))
+    rows = rows.withColumn("template", F.coalesce("template", "plain"))
     return rows.select("table_id", G.polish(D.adapted(F.col("template"), F.col("slots"))).alias("adapted"))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.tables import cell_value, long_rows, parsed_rows, row_features
+from ..functions.tables import cell_value, long_rows, parsed_rows, row_features, selected
+from ..operators import voting as V
 from ..operators.narratives import PARTS, attribution, narratives, verify
+from ..session import cut
 from ..sources.trials import TRIALS_SQL, trials
 from .scoring import rounded, texts
 
@@ -68,6 +70,33 @@ def selector_report(spark, sf_dir):
     return rows.select("n", "accuracy", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
 
 
+THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
+
+def rule_sweep(spark, sf_dir):
+    """The rule score against the weak labels at every threshold."""
+    from .curation import mentioned
+
+    rows = selected(row_features(parsed_rows(trials(spark, sf_dir))))
+    rows = rows.select("score", mentioned(F.col("label"), F.col("reference")).cast("long").alias("label"))
+    return rounded(V.sweep(rows.withColumn("score", F.round("score", 6)), THRESHOLDS), "precision", "recall", "f1")
+
+
+def rule_precision(spark, sf_dir):
+    """Average precision of the rule score against the weak labels."""
+    from .curation import mentioned
+
+    rows = selected(row_features(parsed_rows(trials(spark, sf_dir))))
+    rows = rows.select(F.lit("rule").alias("model"), F.round("score", 6).alias("score"), mentioned(F.col("label"), F.col("reference")).cast("long").alias("label"))
+    return rounded(V.average_precision(rows).select("average_precision"), "average_precision")
+
+
+def selector_sweep(spark, sf_dir):
+    """The trained selector on rows that it was not fitted on, at every threshold."""
+    rows = cut(trained_selector(spark, sf_dir).select("score", F.col("target").cast("long").alias("label")))
+    return rounded(V.sweep(rows, THRESHOLDS), "precision", "recall", "f1")
+
+
 def feature_importances(spark, sf_dir):
     """The selector's features, the most important first."""
     model, _ = selector(spark, sf_dir)
@@ -83,10 +112,8 @@ def _array(column: str):
 
 def selector_auc(spark, sf_dir):
     """Area under the curve of a score, by the rank sum over its distinct values."""
-    from ..operators.voting import areas
-
     rows = parsed_rows(trials(spark, sf_dir)).select(F.lit("drug_pct").alias("model"), (F.length("label") > 8).cast("int").alias("label"), F.round(F.col("drug_pct") / 100, 3).alias("score"))
-    return rounded(areas(rows).select("auc"), "auc")
+    return rounded(V.areas(rows).select("auc"), "auc")
 
 
 _W = f"WITH {TRIALS_SQL} "
@@ -112,6 +139,10 @@ def _narrative_sql() -> str:
 _NUM = "list_transform(regexp_extract_all({t}, '\\d+\\.?\\d*'), lambda x: cast(x AS double))"
 _SAID = "list_zip(regexp_extract_all(generated, '(\\d+\\.?\\d*)%\\)? (?:of )?subjects in the ([A-Za-z ]+?) arm', 2), list_transform(regexp_extract_all(generated, '(\\d+\\.?\\d*)%\\)? (?:of )?subjects in the ([A-Za-z ]+?) arm', 1), lambda x: cast(x AS double)))"
 _NEAR = "len(list_filter({c}, lambda x: abs(x - s[2]) <= 0.15)) > 0"
+#: Rule scores and weak labels of the rows of single events.
+_RULED = f"""{_W}, ruled AS (SELECT round(CASE WHEN regexp_matches(label, 'SAE|Fatal|Grade 3-4') OR diff >= 5 THEN 1 ELSE least(least(b / 30, 0.4) + least(diff / 20, 0.4) + CASE WHEN (CASE WHEN a > 0 THEN b / a WHEN b > 0 THEN 20 ELSE 1 END) > 2 THEN 0.05 ELSE 0 END, 1) END::double, 6) AS score,
+    ((length(label) > 3 AND contains(lower(reference), lower(label))) OR list_contains(regexp_split_to_array(lower(reference), '\\s+'), lower(label)))::bigint AS y
+  FROM (SELECT *, t_a / 10 AS a, t_b / 10 AS b, abs(t_b / 10 - t_a / 10) AS diff FROM counted) JOIN trials USING (table_id) WHERE row_index > 1 AND NOT (t_a = 0 AND t_b = 0))"""
 QUERIES = {
     "narratives": (written, _narrative_sql()),
     "guardian_verify": (verified, f"{_W}, n AS (SELECT table_id, mode, {_NUM.format(t='generated')} AS g, {_NUM.format(t='table_text')} AS s FROM candidates), a AS (SELECT table_id, mode, len(list_filter(g, lambda x: list_contains([0, 1, 2, 3, 4, 5], x) OR len(list_filter(s, lambda y: abs(x - y) <= 0.11)) > 0)) / len(g) AS accuracy FROM n) SELECT table_id, mode, round(accuracy, 6) AS accuracy, accuracy >= 1 AS verified FROM a"),
@@ -121,6 +152,11 @@ QUERIES = {
     "selector_auc": (selector_auc, f"""{_W}, r AS (SELECT (length(label) > 8)::int AS y, t_b / 10 AS score FROM counted WHERE row_index > 1 AND NOT (t_a = 0 AND t_b = 0))
       SELECT round(sum(CASE WHEN n.score < p.score THEN 1.0 WHEN n.score = p.score THEN 0.5 ELSE 0 END) / count(*), 6) AS auc FROM r p, r n WHERE p.y = 1 AND n.y = 0"""),
     "trained_selector": (trained_selector, None),
+    "selector_sweep": (selector_sweep, None),
+    "rule_sweep": (rule_sweep, f"""{_RULED}, c AS (SELECT t, count(*) FILTER (WHERE score > t) AS n_told, count(*) FILTER (WHERE score > t AND y = 1) AS hit, sum(y) AS wanted FROM ruled, (SELECT unnest({list(THRESHOLDS)})::double AS t) GROUP BY t)
+      SELECT t AS threshold, n_told, round(hit / nullif(n_told, 0), 6) AS precision, round(hit / nullif(wanted, 0), 6) AS recall, round(2 * (hit / nullif(n_told, 0)) * (hit / nullif(wanted, 0)) / nullif(hit / nullif(n_told, 0) + hit / nullif(wanted, 0), 0), 6) AS f1 FROM c"""),
+    "rule_precision": (rule_precision, f"""{_RULED}, s AS (SELECT score, sum(y) AS p, count(*) AS n FROM ruled GROUP BY score), u AS (SELECT p, sum(p) OVER w / sum(n) OVER w AS pr FROM s WINDOW w AS (ORDER BY score DESC))
+      SELECT round(sum(p * pr) / nullif(sum(p), 0), 6) AS average_precision FROM u"""),
     "selector_report": (selector_report, None),
     "feature_importances": (feature_importances, None),
 }

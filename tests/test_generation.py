@@ -141,6 +141,13 @@ def test_adapted_writeup(spark):
     assert D.delexicalize("Nothing of it.", "a1", "b1", {"X": "7"}) is None and D.delexicalize(None, "a", "b", {}) is None
 
 
+def test_plainly_adapted_writeup(spark):
+    old = "start_table [HEADERS: | Event | Vehicle (N=40) | Drug Q (N=80)] [ROW] Any TEAE | 20 (50.0%) | 60 (75.0%) [ROW] SAE | 2 (5.0%) | 10 (12.5%) end_table"
+    got = lambda w: one(spark, D.plainly_delexicalized(F.col("w"), F.col("t")), w=w, t=old)
+    assert got("60 (75.0%) on drug q, 160 on x, 75.05 and 2.5.") == "{TEAE_N_B} ({TEAE_PCT_B}%) on {ARM_B}, 160 on x, 75.05 and 2.5."
+    assert got("Nothing of it.") is None and one(spark, D.plainly_delexicalized(F.col("w"), F.col("t")), w="x", t="no table") is None
+
+
 def brute_variant(table, writeup, seed):
     """The variant of a table, step by step in Python from the same draws."""
     draw = lambda salt: int(hashlib.md5(f"{table}:{seed}:{salt}".encode()).hexdigest()[:8], 16) / 2**32
