@@ -12,8 +12,20 @@ from .rouge import stem
 
 # Weight of precision against recall, and weight and power of the penalty.
 ALPHA, GAMMA, BETA = 0.9, 0.5, 3
-#: Partial alignments that are followed at once. Where texts have more equally good ones the fewest chunks found are an upper bound.
-BEAM = 200
+#: Partial alignments that are followed at once, and places that each tries for a word, besides the one that goes on with its last: those from which most words agree. Short texts have no
+#: more; where longer ones do, the fewest chunks found are an upper bound.
+BEAM, PLACES = 32, 6
+
+
+def runs_of(generated: list[str], reference: list[str]) -> list[dict[int, int]]:
+    """For each word of the text the places of the reference that hold it, with how many words agree from both on."""
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(reference):
+        places.setdefault(w, []).append(j)
+    out: list[dict[int, int]] = [{} for _ in range(len(generated) + 1)]
+    for i in range(len(generated) - 1, -1, -1):
+        out[i] = {j: 1 + out[i + 1].get(j + 1, 0) for j in places.get(generated[i], ())}
+    return out
 
 
 def align(generated: list[str], reference: list[str], beam: int = BEAM) -> tuple[int, int]:
@@ -23,10 +35,8 @@ def align(generated: list[str], reference: list[str], beam: int = BEAM) -> tuple
     states are the words of the reference that are used, the last one, and the forms and stems that may yet be passed over.
     """
     stems = {w: stem(w) for w in {*generated, *reference}}
-    places: dict[str, list[int]] = {}
-    by_stem: dict[str, list[int]] = {}
+    runs, by_stem = runs_of(generated, reference), {}
     for j, w in enumerate(reference):
-        places.setdefault(w, []).append(j)
         by_stem.setdefault(stems[w], []).append(j)
     have, want = Counter(generated), Counter(reference)
     exact = {w: min(n, want[w]) for w, n in have.items()}
@@ -39,17 +49,27 @@ def align(generated: list[str], reference: list[str], beam: int = BEAM) -> tuple
         return 0, 0
     # (used, last): (exact matches, matches, -chunks); last is the place that the word before took, -1 for none
     states: dict[tuple[int, int], tuple[int, int, int]] = {(0, -1): (0, 0, 0)}
-    for w in generated:
-        options = [(j, reference[j] == w) for j in dict.fromkeys([*places.get(w, ()), *by_stem.get(stems[w], ())])]
+    later = Counter(generated)
+    for i, w in enumerate(generated):
+        later[w] -= 1
+        same = sorted(runs[i], key=lambda j: (-runs[i][j], j))
+        others = [j for j in by_stem.get(stems[w], ()) if reference[j] != w]
         after: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+        def reach(key: tuple[int, int], value: tuple[int, int, int]) -> None:
+            if key not in after or value > after[key]:
+                after[key] = value
+
         for (used, last), (e, m, c) in states.items():
-            moves = [((used, -1), (e, m, c))]
-            for j, same in options:
-                if not used >> j & 1:
-                    moves.append(((used | 1 << j, j), (e + same, m + 1, c if last >= 0 and j == last + 1 else c - 1)))
-            for key, value in moves:
-                if key not in after or value > after[key]:
-                    after[key] = value
+            free = [j for j in same if not used >> j & 1]
+            # as many words of this form match as can: it is passed over only if enough of them follow
+            if len(free) - later[w] <= want[w] - exact.get(w, 0):
+                reach((used, -1), (e, m, c))
+                for j in [j for j in others if not used >> j & 1][:PLACES]:
+                    reach((used | 1 << j, j), (e, m + 1, c if last >= 0 and j == last + 1 else c - 1))
+            next_one = [last + 1] if last >= 0 and last + 1 in runs[i] and not used >> (last + 1) & 1 else []
+            for j in dict.fromkeys([*next_one, *free[:PLACES]]):
+                reach((used | 1 << j, j), (e + 1, m + 1, c if last >= 0 and j == last + 1 else c - 1))
         if len(after) > beam:
             after = dict(sorted(after.items(), key=lambda x: x[1], reverse=True)[:beam])
         states = after
