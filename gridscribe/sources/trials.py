@@ -16,10 +16,11 @@ MODES = ("ml", "dl_base", "finetuned")
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df dealt by key over all cores: what follows costs far more than its bytes say, by which partitions would be put together again.
 
-    A later groupBy on the key needs no shuffle of its own.
+    A later groupBy on the key needs no shuffle of its own. The number of partitions is never that of spark.sql.shuffle.partitions: a groupBy would take the shuffle for its own then, and
+    adaptive execution would put its small partitions together, into one task.
     """
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    return df.repartition(2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
