@@ -14,6 +14,10 @@ from ..session import cut
 PIVOTS = 64
 #: Queries and corpus vectors of a task.
 BLOCK, PART = 1024, 16_384
+#: Queries whose distances to a part are held at once: 32 MB a matrix.
+SLICE = 256
+#: What rounding to nine digits moves a distance by, at most.
+TENTH_DIGIT = 1e-9
 #: What rounding may move a distance by, and the share of a variance below which it is not to be had by taking a row's part off.
 SLACK, LOST = 1e-6, 1e-6
 
@@ -47,17 +51,47 @@ def distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
 
 
 def best_of(q_ids: np.ndarray, c_ids: np.ndarray, distance: np.ndarray, k: int, exclude_self: bool) -> pa.Table:
-    """(q, id, distance): the k nearest of each row of distances, ties by id."""
-    found = [[], [], []]
-    for q, d in zip(q_ids, distance):
-        at = np.flatnonzero(c_ids != q) if exclude_self else np.arange(len(c_ids))
-        if len(at) > k:
-            at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
-        at = at[np.lexsort((c_ids[at], d[at]))][:k]
-        for out, v in zip(found, (np.full(len(at), q), c_ids[at], d[at])):
-            out.append(v)
-    q, i, d = (np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(found, (c_ids.dtype, c_ids.dtype, float)))
-    return pa.table({"q": q, "id": i, "distance": d})
+    """(q, id, distance): the k nearest of each row of distances by nine digits, ties by id. The distances are overwritten.
+
+    The k-th least is found by k passes for the least; what is not beyond it by more than rounding may move is sorted.
+    """
+    rows, k = np.arange(len(q_ids)), min(k, len(c_ids))
+    if exclude_self:
+        order = np.argsort(c_ids, kind="stable")
+        lo, hi = (np.searchsorted(c_ids[order], q_ids, side) for side in ("left", "right"))
+        for i in np.flatnonzero(hi > lo):
+            distance[i, order[lo[i] : hi[i]]] = np.nan
+    np.copyto(distance, np.inf, where=np.isnan(distance))  # those of no distance and a row's own
+    if not k or not len(rows):
+        return pa.table({"q": q_ids[:0], "id": c_ids[:0], "distance": np.zeros(0)})
+    found, values = np.zeros((k, len(rows)), np.int64), np.zeros((k, len(rows)))
+    for n in range(k):
+        found[n] = distance.argmin(1)
+        values[n] = distance[rows, found[n]]
+        distance[rows, found[n]] = np.inf
+    for n in range(k):
+        distance[rows[np.isfinite(values[n])], found[n][np.isfinite(values[n])]] = values[n][np.isfinite(values[n])]
+    limit = np.where(np.isfinite(values[-1]), values[-1] + 2 * TENTH_DIGIT, np.finfo(float).max)
+    at, c = np.nonzero(distance <= limit[:, None])
+    d = np.round(distance[at, c], 9)
+    order = np.lexsort((c_ids[c], d, at))
+    at, c, d = at[order], c[order], d[order]
+    first = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return pa.table({"q": q_ids[at[first]], "id": c_ids[c[first]], "distance": d[first]})
+
+
+def best_in_slices(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, exclude_self: bool, distance) -> pa.Table:
+    """best_of for all queries, SLICE at a time: distance(lo, hi) are those of the queries lo to hi - 1 to all of c, and no more of them are held at once."""
+    some = [best_of(q_ids[lo : lo + SLICE], c_ids, distance(lo, lo + SLICE), k, exclude_self) for lo in range(0, len(q), SLICE)]
+    return pa.concat_tables(some) if some else best_of(q_ids, c_ids, np.zeros((0, len(c_ids))), k, exclude_self)
+
+
+def nearest_in_task(task: pa.Table, k: int, metric: str, exclude_self: bool) -> pa.Table:
+    """The k nearest of the task's queries (id, v, is_query) among its other rows."""
+    ids, mine = task.column("id").to_numpy(), task.column("is_query").to_numpy()
+    x = matrix(task.column("v"))
+    q, c = x[mine], x[~mine]
+    return best_in_slices(ids[mine], q, ids[~mine], c, k, exclude_self, lambda lo, hi: distances(q[lo:hi], c, metric))
 
 
 def _ranked(local: DataFrame, k: int) -> DataFrame:
@@ -146,9 +180,7 @@ def _compared(visits: DataFrame, corpus: DataFrame, cells: Cells, k: int, exclud
     c = corpus.join(small, "cell").select("id", "v", F.lit(False).alias("is_query"), "cell", every(blocks).alias("b"), deal(parts).alias("p"))
 
     def best(task: pa.Table) -> pa.Table:
-        ids, mine = task.column("id").to_numpy(), task.column("is_query").to_numpy()
-        x = matrix(task.column("v"))
-        return best_of(ids[mine], ids[~mine], distances(x[mine], x[~mine], metric), k, exclude_self)
+        return nearest_in_task(task, k, metric, exclude_self)
 
     return q.unionByName(c.select(*q.columns)).groupBy("cell", "b", "p").applyInArrow(best, f"q {id_type}, id {id_type}, distance double"), asked
 
@@ -201,12 +233,15 @@ def nearest_left_out(rows: DataFrame, k: int, names: list[str]) -> DataFrame:
 
     As if the scaler were fitted anew without the row. Features are first centred and scaled by all rows; leaving row i out moves a mean m to -x / (n - 1) and a variance to
     (n - x * x) / (n - 1) - m * m. With weights w = 1 / variance, (x_j - m) w (x_i - m) and the squares of the lengths are sums over features of x_j and x_j squared times numbers of row i
-    alone: a block of queries is three matrix products with a part of the corpus, whatever scaler each query has. A feature that is the same in all other rows is only centred, which is told exactly, by
+    alone: a block of queries is two matrix products with a part of the corpus, whatever scaler each query has. A feature that is the same in all other rows is only centred, which is told exactly, by
     the least and largest values and those next to them. At a length of 0 the distance is 1.
 
-    Every row is a query, so pairs are compared in blocks of BLOCK x PART; a part is sent once for each block of queries. Ids are unique; null features count as 0.
+    Rows of equal features have equal scalers and distances, so they are one class, which is compared once; a query's own class stands for its copies. Every class is a query, so pairs of
+    classes are compared in blocks of BLOCK x PART, of which a task holds SLICE x PART at once; a part is sent once for each block of queries. The k + 1 nearest classes with
+    their k + 1 smallest ids hold the k nearest rows besides the query. Ids are unique; null features count as 0.
     """
     rows = rows.select("id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    rows = cut(rows)
     id_type = dict(rows.dtypes)["id"]
     ends = rows.agg(F.count("*").alias("n"), *[x for c in names for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"), F.min(c).alias(f"a_{c}"), F.max(c).alias(f"b_{c}"))]).first()
     n = ends["n"]
@@ -225,7 +260,7 @@ def nearest_left_out(rows: DataFrame, k: int, names: list[str]) -> DataFrame:
         ids, mine = task.column("id").to_numpy(), task.column("is_query").to_numpy()
         raw = matrix(task.column("v"))
         x = (raw - mean) / dev
-        q, c, r = x[mine], x[~mine], raw[mine]
+        q, c, r, rest = x[mine], x[~mine], raw[mine], raw[~mine]
         m = -q / (n - 1)
         # sums of squares are n for a feature that varies and 0 for one that does not
         var = (np.where(low < high, n, 0) - q * q) / (n - 1) - m * m
@@ -235,20 +270,42 @@ def nearest_left_out(rows: DataFrame, k: int, names: list[str]) -> DataFrame:
         w = np.where(same, dev * dev, 1 / np.where(same | (var <= 0), 1.0, var))
         at = q - m
         wm = w * m
-        dot = (w * at) @ c.T - (at * wm).sum(1)[:, None]
-        length = np.sqrt(np.maximum(w @ (c * c).T - 2 * wm @ c.T + (wm * m).sum(1)[:, None], 0)) * np.sqrt((w * at * at).sum(1))[:, None]
-        out = np.round(np.where(length > 1e-12, 1 - dot / np.where(length > 1e-12, length, 1.0), 1.0), 9)
-        # a row that holds nearly all of a feature's variance is its least or largest; what is left is known exactly, and too small for the products above
-        for i in np.flatnonzero((~same & (var < LOST)).any(1)):
-            centre = np.where(lowest[i], mean_up, np.where(highest[i], mean_down, mean + dev * m[i]))
-            spread = np.where(same[i], 1.0, np.where(lowest[i], dev_up, np.where(highest[i], dev_down, dev * np.sqrt(np.maximum(var[i], 0)))))
-            out[i] = distances(((r[i] - centre) / spread)[None], (raw[~mine] - centre) / spread, "cosine")[0]
-        return best_of(ids[mine], ids[~mine], out, k, True)
-
-    blocks, parts = math.ceil(n / BLOCK), math.ceil(n / PART)
+        both, own = np.hstack([c * c, c]).T, np.sqrt((w * at * at).sum(1))
+        scaled, shift = np.hstack([w, -2 * wm]), (wm * m).sum(1)
+        lost = (~same & (var < LOST)).any(1)
+
+        def distance(lo: int, hi: int) -> np.ndarray:
+            out = (w[lo:hi] * at[lo:hi]) @ c.T
+            out -= (at[lo:hi] * wm[lo:hi]).sum(1)[:, None]
+            length = scaled[lo:hi] @ both
+            length += shift[lo:hi, None]
+            np.sqrt(np.maximum(length, 0, out=length), out=length)
+            length *= own[lo:hi, None]
+            short = length <= 1e-12
+            length[short] = 1.0
+            out /= length
+            np.subtract(1, out, out=out)
+            out[short] = 1.0
+            # a row that holds nearly all of a feature's variance is its least or largest; what is left is known exactly, and too small for the products above
+            for i in np.flatnonzero(lost[lo:hi]) + lo:
+                centre = np.where(lowest[i], mean_up, np.where(highest[i], mean_down, mean + dev * m[i]))
+                spread = np.where(same[i], 1.0, np.where(lowest[i], dev_up, np.where(highest[i], dev_down, dev * np.sqrt(np.maximum(var[i], 0)))))
+                out[i - lo] = distances(((r[i] - centre) / spread)[None], (rest - centre) / spread, "cosine")[0]
+            return out
+
+        return best_in_slices(ids[mine], q, ids[~mine], c, k + 1, False, distance)
+
+    # the k + 1 smallest ids of each class; the first of them is its name
+    least = rows.withColumn("r", F.row_number().over(Window.partitionBy(*names).orderBy("id"))).where(F.col("r") <= k + 1)
+    classes = cut(least.groupBy(*names).agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.get("ids", F.lit(0))))
+    count = classes.count()
+    blocks, parts = math.ceil(count / BLOCK), math.ceil(count / PART)
     v = F.array(*[F.col(c) for c in names]).alias("v")
     deal = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asks = rows.select("id", v, F.lit(True).alias("is_query"), deal(blocks, 1).alias("b"), every(parts).alias("p"))
-    answers = rows.select("id", v, F.lit(False).alias("is_query"), every(blocks).alias("b"), deal(parts, 2).alias("p"))
-    return _ranked(asks.unionByName(answers).groupBy("b", "p").applyInArrow(best, f"q {id_type}, id {id_type}, distance double"), k)
+    asks = classes.select("id", v, F.lit(True).alias("is_query"), deal(blocks, 1).alias("b"), every(parts).alias("p"))
+    answers = classes.select("id", v, F.lit(False).alias("is_query"), every(blocks).alias("b"), deal(parts, 2).alias("p"))
+    near = _ranked(asks.unionByName(answers).groupBy("b", "p").applyInArrow(best, f"q {id_type}, id {id_type}, distance double"), k + 1)
+    near = near.join(classes.select("id", "ids"), "id").select(F.col("q").alias("class"), "distance", F.explode("ids").alias("id"))
+    of = rows.join(classes.select(F.col("id").alias("class"), *names), names).select(F.col("id").alias("q"), "class")
+    return _ranked(of.join(near, "class").where("q <> id").select("q", "id", "distance"), k)

@@ -11,7 +11,7 @@ from ..functions import metrics as M, tables as T
 from ..functions.rouge import rouge_f1
 from ..functions.tables import FEATURES, table_features
 from ..operators import adapt as D, generation as G
-from ..operators.neighbours import best_of, distances, matrix, nearest_by_pivots, nearest_left_out
+from ..operators.neighbours import nearest_by_pivots, nearest_in_task, nearest_left_out
 from ..session import cut
 from ..sources.shapes import shapes
 from ..sources.trials import TRIALS_SQL, trials
@@ -53,9 +53,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool =
     rows = dealt(queries, "b", blocks, "p", parts, True).unionByName(dealt(corpus, "p", parts, "b", blocks, False))
 
     def best(task: pa.Table) -> pa.Table:
-        ids, mine = task.column("id").to_numpy(), task.column("is_query").to_numpy()
-        x = matrix(task.column("v"))
-        return best_of(ids[mine], ids[~mine], distances(x[mine], x[~mine], metric), k, exclude_self)
+        return nearest_in_task(task, k, metric, exclude_self)
 
     kind = dict(queries.dtypes)["id"]
     local = rows.groupBy("b", "p").applyInArrow(best, f"q {kind}, id {kind}, distance double")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from gridscribe.functions import meteor as M
+from gridscribe.operators import neighbours as N
 
 
 def followed_beams(monkeypatch):
@@ -32,3 +35,37 @@ def test_meteor_is_that_of_the_whole_beam(monkeypatch):
         assert got[0] == whole[0] == wider[0] and wider[1] <= got[1] <= whole[1], (g, r)
         monkeypatch.setattr(M, "FIRST_BEAMS", (1, 4))
     assert 1 in beams and 32 in beams
+
+
+def test_no_more_distances_than_a_slice_are_held_at_once():
+    rng, asked = np.random.default_rng(1), []
+    q_ids, c_ids = np.arange(600), np.r_[rng.permutation(600)[:500], 7, 7]
+    d = rng.integers(0, 40, (600, len(c_ids))) / 10 + rng.choice([0, 3e-10, 2e-12], (600, len(c_ids)))
+    d[3] = np.inf
+    for k in (1, 3, 1000):
+        for own in (False, True):
+            got = N.best_in_slices(q_ids, d, c_ids, d, k, own, lambda lo, hi: asked.append(len(d[lo:hi])) or d[lo:hi].copy())
+            want = []
+            for q in q_ids[np.isfinite(d).all(1)]:
+                at = [j for j in range(len(c_ids)) if not own or c_ids[j] != q]
+                want += [(q, i, x) for x, i in sorted((round(d[q, j], 9), c_ids[j]) for j in at)[:k]]
+            assert list(zip(*(got.column(c).to_pylist() for c in ("q", "id", "distance")))) == want, (k, own)
+    assert max(asked) <= N.SLICE < len(q_ids)
+
+
+def test_copies_are_compared_once_and_found_by_their_smallest_ids(spark):
+    rng = np.random.default_rng(2)
+    kinds = rng.integers(0, 5, (9, 3)).astype(float)
+    x = kinds[rng.integers(0, 9, 60)]
+    x[0] = (9, 9, 9)
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double, c double")
+    got = {(r["q"], r["rank"]): (r["id"], r["distance"]) for r in N.nearest_left_out(rows, 2, ["a", "b", "c"]).collect()}
+    assert len(got) == 120
+    for q in range(60):
+        others = np.delete(np.arange(60), q)
+        m, s = x[others].mean(0), x[others].std(0)
+        z = (x - m) / np.where(s > 0, s, 1.0)
+        d = N.distances(z[[q]], z[others], "cosine")[0]
+        order = np.lexsort((others, np.round(d, 9)))[:2]
+        assert [got[q, k + 1][0] for k in range(2)] == others[order].tolist(), q
+        assert np.allclose([got[q, k + 1][1] for k in range(2)], d[order], atol=1e-8)
