@@ -47,6 +47,7 @@ def selector(spark, sf_dir):
 
     rows = row_features(parsed_rows(trials(spark, sf_dir))).withColumns({"sae": F.col("is_sae").cast("int"), "severe": F.col("is_severe").cast("int")})
     rows = rows.withColumn("label_", mentioned(F.col("label"), F.col("reference")).cast("double")).select("table_id", "label", "label_", *SELECTOR_FEATURES)
+    rows = cut(rows)  # the fit reads them many times
     data = VectorAssembler(inputCols=list(SELECTOR_FEATURES), outputCol="features").transform(rows)
     fit_on, rest = data.where("table_id % 5 <> 0"), data.where("table_id % 5 = 0")
     share = F.broadcast(fit_on.agg(F.avg("label_").alias("share")))

@@ -6,7 +6,9 @@ import random
 
 import numpy as np
 
-from gridscribe.functions import meteor as M
+from pyspark.sql import functions as F
+
+from gridscribe.functions import meteor as M, metrics, text
 from gridscribe.operators import neighbours as N
 
 
@@ -69,3 +71,29 @@ def test_copies_are_compared_once_and_found_by_their_smallest_ids(spark):
         order = np.lexsort((others, np.round(d, 9)))[:2]
         assert [got[q, k + 1][0] for k in range(2)] == others[order].tolist(), q
         assert np.allclose([got[q, k + 1][1] for k in range(2)], d[order], atol=1e-8)
+
+
+def test_metric_correlation_has_no_filter_on_metrics(spark):
+    from gridscribe.plans.scoring import metric_correlation
+
+    from conftest import SF
+
+    plan = metric_correlation(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and len(line) > 2000 or "Filter" in line and "lambda" in line]
+
+
+def test_owners_of_distinct_values_and_first_numbers_of_tokens(spark):
+    rows = spark.sql("SELECT array(1.0D, 1.0D, 2.0D, 5.0D, 9.0D) g0, array(1.0D, 2.0D, 2.0D) g1, array(1.0D, 2.01D) s0, array(2.0D, 5.0D) s1, '1.234.567 a 2,5% (12.6%), x3 7' t")
+    got = rows.select(metrics.confusion([F.col("g0"), F.col("g1")], [F.col("s0"), F.col("s1")]).alias("c"), text.token_numbers(F.col("t"))["nums"].alias("n")).first()
+    assert tuple(got["c"]) == (4, 7)  # 5.0 of the first arm is the second's; all three of the second are the first's, as 2.01 is near 2
+    assert [(x["i"], x["v"]) for x in got["n"]] == [(2, 25.0), (3, 12.6), (5, 7.0)]
+
+
+def test_rows_that_are_read_often_are_made_once(spark):
+    from conftest import SF
+
+    from gridscribe.plans.synthesis import row_clusters
+    from gridscribe.plans.writing import selector
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan(selector(spark, SF)[1]) and "MapInArrow" not in plan(row_clusters(spark, SF))
