@@ -49,12 +49,12 @@ class Leaves:
             self.width = float(np.median(nearest[np.isfinite(nearest)])) if np.isfinite(nearest).any() else 1.0
         else:
             self.width *= 2
-        at, heads = np.full(len(means), -1), 0
-        for i in range(len(means)):
-            if at[i] < 0:
-                near = np.flatnonzero((at < 0) & (((means - means[i]) ** 2).sum(1) <= self.width**2))
-                at[near] = heads
-                heads += 1
+        at, heads, left, rest = np.full(len(means), -1), 0, np.arange(len(means)), means
+        while len(left):  # only what has no leaf yet is held against the next one
+            near = ((rest - rest[0]) ** 2).sum(1) <= self.width**2
+            near[0] = True
+            at[left[near]] = heads
+            heads, left, rest = heads + 1, left[~near], rest[~near]
         self._join(at, heads)
 
     def table(self, **more) -> pa.Table:
@@ -115,6 +115,7 @@ def ward_of_all(rows: DataFrame, key: str, features: tuple[str, ...], threshold:
     spark, dims = rows.sparkSession, len(features)
     key_type = dict(rows.dtypes)[key]
     rows = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, f in enumerate(features)])
+    rows = cut(rows)  # read by the leaves and by the assignment
     shape = "n double, sums array<double>, squares double"
 
     def points(batch) -> np.ndarray:
@@ -150,6 +151,6 @@ def ward_of_all(rows: DataFrame, key: str, features: tuple[str, ...], threshold:
             d = (x * x).sum(1)[:, None] + (means * means).sum(1) - 2 * x @ means.T
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(of[d.argmin(1)] if len(x) else np.zeros(0, np.int64))], ["key", "of"])
 
-    told = rows.mapInArrow(assign, f"key {key_type}, of bigint")
+    told = cut(rows.mapInArrow(assign, f"key {key_type}, of bigint"))
     names = told.groupBy("of").agg(F.min("key").alias("cluster"))  # a row a cluster
     return told.join(names, "of").select(F.col("key").alias(key), "cluster")
