@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from ..session import cut, shared_folder  # noqa: F401
+from ..session import cut, shared_folder, shuffles_released  # noqa: F401
 
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``: only these six characters part words.
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -261,7 +261,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = e1.groupBy("u").agg(F.min("v").alias("m"))
         e2 = e1.join(low, "u")
         e = cut(e2.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct())
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with shuffles_released(e.sparkSession):
+            mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == previous:
             return e.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id")
         previous = mark

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Words, chunks, components, cut, in_arrow, join_labels, mix64, table
+from .common import Words, chunks, components, cut, in_arrow, join_labels, mix64, shuffles_released, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 36 bands of 6 rows: two documents of similarity 0.8 share no band with a chance of 2e-5, of 0.2 a band with one of 2e-3.
@@ -141,7 +141,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 yield part.select(["a", "b"]).filter(hit)
 
     texts = docs.select("_id", "_text")
-    if pairs.count() <= FEW_PAIRS:  # their ids fit a broadcast of some MB; the texts of those alone are shuffled
+    with shuffles_released(docs.sparkSession):
+        few = pairs.count() <= FEW_PAIRS
+    if few:  # their ids fit a broadcast of some MB; the texts of those alone are shuffled
         ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
         texts = texts.join(F.broadcast(ids), "_id", "left_semi")
     rows = pairs.join(texts.withColumnsRenamed({"_id": "a", "_text": "ta"}), "a").join(texts.withColumnsRenamed({"_id": "b", "_text": "tb"}), "b")

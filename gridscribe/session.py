@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +36,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within leave no shuffle files when they end: else these stay until the driver happens to collect its garbage, and pile up over many rounds.
+
+    For frames that are made within, as a plan takes the setting from when it is made, and that run once: one that runs again makes its shuffles anew. The caller's setting is put back.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to spark.checkpoint.dir and read again: the lineage ends in a folder that all executors share."""
+    """The rows written to spark.checkpoint.dir and read again: the lineage ends in a folder that all executors share, and the shuffles before it are released."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    with shuffles_released(df.sparkSession):
+        return df.select("*").checkpoint()
