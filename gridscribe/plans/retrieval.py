@@ -14,8 +14,8 @@ from ..operators import adapt as D, generation as G
 from ..operators.neighbours import nearest_by_pivots, nearest_in_task, nearest_left_out
 from ..session import cut
 from ..sources.shapes import shapes
-from ..sources.trials import TRIALS_SQL, trials
-from .composing import clustered, listings, listings_of, with_cluster
+from ..sources.trials import TRIALS_SQL, counts, trials
+from .composing import listings_of, with_cluster
 from .curation import scrubbed
 from .parsing import FEATURES_SQL
 from .scoring import rounded
@@ -145,26 +145,29 @@ def loo_evaluation(spark, sf_dir):
     return rows.withColumn("goals", F.array_join(F.transform(F.map_entries("goals"), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))), "; "))
 
 
-def shape_pairs(spark, sf_dir) -> DataFrame:
-    """(q, id): for each table of any shape the nearest other table of the corpus with write-ups, scaled by the corpus."""
-    own = shapes(spark, sf_dir).select("table_id", *[v.alias(k) for k, v in table_features(F.col("table_text")).items()])
-    corpus = cut(features(spark, sf_dir))
-    return nearest_by_pivots(cut(scaled(own, FEATURES, corpus)), cut(scaled(corpus, FEATURES)), 1)[0].select("q", "id")
+def shape_pairs(tables: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(q, id): for each table (table_id, table_text) the nearest other table of the corpus with write-ups, scaled by the corpus."""
+    own, known = (cut(df.select("table_id", *[v.alias(k) for k, v in table_features(F.col("table_text")).items()])) for df in (tables, corpus))
+    return nearest_by_pivots(cut(scaled(own, FEATURES, known)), cut(scaled(known, FEATURES)), 1)[0].select("q", "id")
 
 
-def adapted_shapes(spark, sf_dir) -> DataFrame:
-    corpus = trials(spark, sf_dir).select("table_id", "table_text", F.col("ml").alias("writeup"))
-    return told_by(shape_pairs(spark, sf_dir), shapes(spark, sf_dir), corpus)
+def shapes_and_corpus(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Tables of all shapes and the corpus with write-ups (table_id, table_text, writeup), made and written once: each of the steps that read them would make them anew from all items."""
+    counted = cut(counts(spark, sf_dir))
+    return cut(shapes(spark, sf_dir, counted)), cut(trials(spark, sf_dir, counted).select("table_id", "table_text", F.col("ml").alias("writeup")))
 
 
 def adapted_writeups(spark, sf_dir):
     """Each table told with the write-up of its nearest other table, its names and numbers exchanged."""
-    return adapted_shapes(spark, sf_dir).select("table_id", F.col("adapted").alias("summary"))
+    tables, corpus = shapes_and_corpus(spark, sf_dir)
+    return told_by(shape_pairs(tables, corpus), tables, corpus).select("table_id", F.col("adapted").alias("summary"))
 
 
 def neighbour_summaries(spark, sf_dir):
     """The cascade with the neighbour's write-up first: adapted, else realized, else by template."""
-    return G.composed(clustered(spark, sf_dir).join(adapted_shapes(spark, sf_dir), "table_id"), listings(spark, sf_dir))
+    tables, corpus = shapes_and_corpus(spark, sf_dir)
+    told = cut(told_by(shape_pairs(tables, corpus), tables, corpus))
+    return G.composed(with_cluster(tables).join(told, "table_id"), listings_of(tables))
 
 
 _F = f"""WITH {TRIALS_SQL}, f AS (SELECT table_id, list_transform(regexp_extract_all(table_text, '\\b\\d+\\.?\\d*\\b'), lambda x: cast(x AS double)) AS n,

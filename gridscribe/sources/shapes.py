@@ -44,18 +44,18 @@ def _chosen(at, texts: tuple[str, ...], values: dict):
     return out
 
 
-def shaped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shaped_rows(spark: SparkSession, sf_dir: str, counted: DataFrame | None = None) -> DataFrame:
     """(table_id, shape, row_index, label, cells, n_a, n_b, t_a, t_b, big_a, big_b)."""
-    rows = counts(spark, sf_dir).withColumns({"t_a": tenths(F.col("n_a"), F.col("big_a")), "t_b": tenths(F.col("n_b"), F.col("big_b")), "shape": F.col("table_id") % SHAPES})
+    rows = (counts(spark, sf_dir) if counted is None else counted).withColumns({"t_a": tenths(F.col("n_a"), F.col("big_a")), "t_b": tenths(F.col("n_b"), F.col("big_b")), "shape": F.col("table_id") % SHAPES})
     rows = rows.where((F.col("table_id") % 16 != SHORT) | (F.col("row_index") <= 3))
     label = F.element_at(F.element_at(F.array(*[F.array(*[F.lit(x) for x in ls]) for ls in LABELS]), (F.col("shape") + 1).cast("int")), F.col("row_index").cast("int"))
     values = {"na": F.col("n_a"), "nb": F.col("n_b"), "pa": shown(F.col("t_a")), "pb": shown(F.col("t_b"))}
     return rows.withColumns({"label": label, "cells": _chosen(F.col("shape"), CELLS, values)})
 
 
-def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(table_id, shape, table_text)."""
-    rows = shaped_rows(spark, sf_dir).withColumn("row", F.concat_ws(" | ", "label", "cells"))
+def shapes(spark: SparkSession, sf_dir: str, counted: DataFrame | None = None) -> DataFrame:
+    """(table_id, shape, table_text). `counted` are the rows of counts() where they are at hand."""
+    rows = shaped_rows(spark, sf_dir, counted).withColumn("row", F.concat_ws(" | ", "label", "cells"))
     tables = spread(rows, "table_id").groupBy("table_id").agg(F.max("big_a").alias("a"), F.max("big_b").alias("b"), F.sort_array(F.collect_list(F.struct("row_index", "row"))).alias("r"))
     head = _chosen(F.col("table_id") % SHAPES, HEADS, {"a": F.col("a"), "b": F.col("b")})
     text = F.concat(F.lit("start_table "), head, F.lit("[ROW] "), F.array_join(F.col("r.row"), " [ROW] "), F.lit(" end_table"))
