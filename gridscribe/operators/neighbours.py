@@ -144,15 +144,17 @@ def _cells(corpus: DataFrame, pivots: int, metric: str) -> tuple[Cells | None, D
 
     def assign(batches):
         for batch in batches:
-            d = apart(placed(matrix(batch.column("v")), metric), points)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1) if len(d) else np.zeros(0, np.int64), pa.int32())], [*batch.schema.names, "cell"])
+            d = apart(placed(matrix(batch.column("v")), metric), points) if len(batch) else np.zeros((0, len(points)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1), pa.int32())], [*batch.schema.names, "cell"])
 
     def measure(batches):
         n, low, high = np.zeros(len(points), np.int64), np.full((len(points),) * 2, np.inf), np.full((len(points),) * 2, -np.inf)
         for batch in batches:
-            d = apart(placed(matrix(batch.column("v")), metric), points)
-            for cell in np.unique(d.argmin(1)) if len(d) else ():
-                mine = d[d.argmin(1) == cell]
+            if not len(batch):
+                continue
+            d, at = apart(placed(matrix(batch.column("v")), metric), points), batch.column("cell").to_numpy()
+            for cell in np.unique(at):
+                mine = d[at == cell]
                 n[cell] += len(mine)
                 low[cell], high[cell] = np.minimum(low[cell], mine.min(0)), np.maximum(high[cell], mine.max(0))
         some, every = np.flatnonzero(n), np.arange(len(points))
@@ -161,9 +163,11 @@ def _cells(corpus: DataFrame, pivots: int, metric: str) -> tuple[Cells | None, D
             "low": low[some].ravel(), "high": high[some].ravel()})
 
     id_type = dict(corpus.dtypes)["id"]
+    # the last digits of a distance hang on the batch that it is computed in: a vector's cell is found once
+    corpus = cut(corpus.mapInArrow(assign, f"id {id_type}, v array<double>, cell int"))
     measured = corpus.mapInArrow(measure, "cell int, pivot int, n bigint, low double, high double")
     rows = measured.groupBy("cell", "pivot").agg(F.sum("n"), F.min("low"), F.max("high")).collect()
-    return Cells(points, metric, [tuple(r) for r in rows]), corpus.mapInArrow(assign, f"id {id_type}, v array<double>, cell int")
+    return Cells(points, metric, [tuple(r) for r in rows]), corpus
 
 
 def _compared(visits: DataFrame, corpus: DataFrame, cells: Cells, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
@@ -204,24 +208,29 @@ def nearest_by_pivots(queries: DataFrame, corpus: DataFrame, k: int, metric: str
     if cells is None:
         return spark.createDataFrame([], shape), spark.createDataFrame([(0, 0)], "compared bigint, pairs bigint")
 
-    def visits(batches, later: bool):
+    def begin(batches):
+        for batch in batches:
+            go = cells.first(cells.bounds(matrix(batch.column("v"))), k) if len(batch) else np.zeros((0, len(cells.n)), bool)
+            ends = pa.array(np.append(0, go.sum(1).cumsum()), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(np.nonzero(go)[1], pa.int32()))], [*batch.schema.names, "seen"])
+
+    def go_on(batches):
         for batch in batches:
-            x = matrix(batch.column("v"))
-            if not len(x):
+            if not len(batch):
                 continue
-            bounds = cells.bounds(x)
-            go = cells.first(bounds, k)
-            if later:
-                go = ~go & (bounds <= cells.limit(batch.column("kth").to_numpy(zero_copy_only=False))[:, None])
+            seen = batch.column("seen")
+            go = cells.bounds(matrix(batch.column("v"))) <= cells.limit(batch.column("kth").to_numpy(zero_copy_only=False))[:, None]
+            go[np.repeat(np.arange(len(batch)), seen.value_lengths().to_numpy()), seen.flatten().to_numpy()] = False
             who, cell = np.nonzero(go)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(who)), batch.column("v").take(pa.array(who)), pa.array(cell, pa.int32())], ["id", "v", "cell"])
 
-    kind = f"id {id_type}, v array<double>, cell int"
-    first, asked_first = _compared(queries.mapInArrow(lambda b: visits(b, False), kind), corpus, cells, k, exclude_self)
+    # which cells a query visits first is written down: computed anew in batches of other sizes, bounds that are all but equal may come in another order, and a cell be left out or visited twice
+    queries = cut(queries.mapInArrow(begin, f"id {id_type}, v array<double>, seen array<int>"))
+    first, asked_first = _compared(queries.select("id", "v", F.explode("seen").alias("cell")), corpus, cells, k, exclude_self)
     first = cut(first)
     kth = first.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("r") == k).select(F.col("q").alias("id"), F.col("distance").alias("kth"))
-    known = queries.join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("nan"))))
-    second, asked_later = _compared(known.mapInArrow(lambda b: visits(b, True), kind), corpus, cells, k, exclude_self)
+    known = queries.join(kth, "id", "left").select("id", "v", "seen", F.coalesce("kth", F.lit(float("nan"))).alias("kth"))
+    second, asked_later = _compared(known.mapInArrow(go_on, f"id {id_type}, v array<double>, cell int"), corpus, cells, k, exclude_self)
     sizes = F.element_at(F.array(*[F.lit(int(n)) for n in cells.n]), F.col("cell") + 1).cast("long")
     work = asked_first.unionAll(asked_later).agg(F.coalesce(F.sum(F.col("asked") * sizes), F.lit(0)).alias("compared"))
     work = work.join(F.broadcast(queries.agg((F.count("*") * int(cells.n.sum())).alias("pairs"))))

@@ -61,6 +61,12 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool =
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "id", "distance")
 
 
+def six_digits(distance: Column) -> Column:
+    """A distance of nine digits to six, as the SQL rounds it: the number times a million, whose half may come out just below a half, while round() goes by the digits that are printed."""
+    times = distance * 1e6
+    return (F.floor(times) + F.when(times - F.floor(times) >= 0.5, 1).otherwise(0)) / F.lit(1e6)
+
+
 def scaler(spark, sf_dir):
     df = features(spark, sf_dir, SHORT)
     rows = df.unpivot(["table_id"], list(SHORT), "feature", "value").groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
@@ -70,14 +76,14 @@ def scaler(spark, sf_dir):
 def table_neighbours(spark, sf_dir):
     """The three nearest tables of each table on all 32 scaled features, by pivots."""
     v = cut(scaled(features(spark, sf_dir), FEATURES))
-    return nearest_by_pivots(v, v, 3)[0].select("q", "rank", "id", F.round("distance", 6).alias("distance"))
+    return nearest_by_pivots(v, v, 3)[0].select("q", "rank", "id", six_digits(F.col("distance")).alias("distance"))
 
 
 def embedding_neighbours(spark, sf_dir):
     """Every embedding whose id is divisible by 20 against all, the five nearest."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = nearest(e.where("id % 20 = 0"), e, 5)
-    return rows.select("q", "rank", "id", F.round("distance", 6).alias("distance"))
+    return rows.select("q", "rank", "id", six_digits(F.col("distance")).alias("distance"))
 
 
 def leave_one_out(spark, sf_dir):
@@ -93,7 +99,7 @@ def leave_one_out(spark, sf_dir):
 
 def loo_neighbours(spark, sf_dir):
     """The nearest other table of each table, with features scaled by the other tables alone."""
-    return nearest_left_out(features(spark, sf_dir).withColumnRenamed("table_id", "id"), 1, list(FEATURES)).select("q", "id", F.round("distance", 6).alias("distance"))
+    return nearest_left_out(features(spark, sf_dir).withColumnRenamed("table_id", "id"), 1, list(FEATURES)).select("q", "id", six_digits(F.col("distance")).alias("distance"))
 
 
 def told_by(pairs: DataFrame, tables: DataFrame, corpus: DataFrame) -> DataFrame:

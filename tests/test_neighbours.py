@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -59,6 +61,38 @@ def test_small_parts_and_blocks(spark, monkeypatch):
     assert left_out(rows, ["a", "b", "c"]) == rebuilt(ids, x)
 
 
+def test_visits_do_not_hang_on_batches(spark, monkeypatch):
+    """Bounds whose last digits change with the batch, as those of matrix products do, and a join that deals the queries anew: no cell is left out of both rounds or visited in both."""
+
+    class Shifting(N.Cells):
+        def bounds(self, x):
+            return super().bounds(x) + np.random.default_rng(zlib.crc32(x.tobytes())).uniform(0, 1e-8, (len(x), len(self.n)))
+
+    monkeypatch.setattr(N, "Cells", Shifting)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    ids = rng.permutation(len(x))
+    rows = frame(spark, ids, x)
+    try:
+        got = sorted((r["q"], r["rank"], r["id"]) for r in N.nearest_by_pivots(rows.coalesce(1), rows, 3, pivots=8)[0].collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == sorted((i, r + 1, j) for i, v in brute(ids, x, ids, x, 3, "cosine").items() for r, (_, j) in enumerate(v))
+
+
+def test_six_digits_as_sql_rounds(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from gridscribe.plans.retrieval import six_digits
+
+    got = spark.range(2000).select(six_digits((F.col("id") * 1000 + 500) / 1e9).alias("d")).collect()
+    assert [r["d"] for r in got] == [r[0] for r in duckdb.sql("SELECT round((i * 1000 + 500) / 1e9, 6) FROM range(2000) t(i)").fetchall()]
+
+
 def left_out(rows, names):
     return {r["q"]: (r["id"], pytest.approx(r["distance"], abs=1e-7)) for r in N.nearest_left_out(rows, 1, names).collect()}
 
