@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
-from ..functions.meteor import meteor_scores
+from ..functions.meteor import THESAURUS, meteor_by
 from ..operators import joins, quantiles
 from ..sources.trials import ARMS
 from .scoring import METRICS, SCORES_SQL, rounded, scored, texts
@@ -76,7 +76,7 @@ def confusion_by_join(spark, sf_dir):
 
 def meteor(spark, sf_dir):
     """METEOR of each text against its reference, by forms and stems."""
-    return rounded(texts(spark, sf_dir).select("table_id", "mode", meteor_scores("generated", "reference").alias("meteor")), "meteor")
+    return rounded(texts(spark, sf_dir).select("table_id", "mode", meteor_by(spark.conf.get(THESAURUS, None))("generated", "reference").alias("meteor")), "meteor")
 
 
 QUERIES = {

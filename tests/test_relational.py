@@ -123,6 +123,41 @@ def test_meteor_alignment_against_all():
         assert E.align(g, r) == brute_align(g, r), (g, r)
 
 
+def test_meteor_matches_synonyms_last():
+    """With synonyms against all alignments: most by form, then by stem, then as synonyms, then fewest chunks."""
+    synonyms = {w: frozenset(x) for w, x in {"death": ("death", "demise"), "demise": ("demise", "death", "end"), "end": ("end", "demise"), "cat": ("cat", "feline"), "feline": ("feline", "cat")}.items()}
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        g, r = (list(rng.choice(["death", "deaths", "demise", "end", "cat", "feline", "the"], rng.integers(1, 6))) for _ in range(2))
+        best = None
+        for taken in itertools.product(*[[None, *range(len(r))] for _ in g]):
+            used = [j for j in taken if j is not None]
+            kinds = [0 if r[j] == w else 1 if stem(r[j]) == stem(w) else 2 if r[j] in synonyms.get(w, ()) else None for w, j in zip(g, taken) if j is not None]
+            if len(used) == len(set(used)) and None not in kinds:
+                chunks = sum(j is not None and (i == 0 or taken[i - 1] is None or taken[i - 1] + 1 != j) for i, j in enumerate(taken))
+                best = max(best or (-1,), (kinds.count(0), kinds.count(0) + kinds.count(1), len(used), -chunks))
+        assert E.align(g, r, synonyms=synonyms) == (best[2], -best[3]), (g, r)
+
+
+def test_synonyms_of_the_sessions_thesaurus(spark, tmp_path):
+    from conftest import SF
+    from gridscribe.functions import metrics as M
+    from gridscribe.plans.relational import meteor
+
+    path = str(tmp_path / "synsets.parquet")
+    spark.createDataFrame([(1, "Death"), (1, "demise"), (2, "demise"), (2, "end"), (None, "end"), (3, None), (4, "reported"), (4, "subjects")], "synset int, word string").toPandas().to_parquet(path)
+    assert E.synonyms_of(path)["demise"] == {"death", "demise", "end"} and E.synonyms_of(path)["death"] == {"death", "demise"}
+    df = spark.createDataFrame([("the demise came", "the death came", "Fatal | 5")], "generated string, reference string, table_text string")
+    without, by = (M.evaluate_whole(df, ("Placebo", "Drug A"), thesaurus=t).first() for t in (None, path))
+    assert by["meteor"] == pytest.approx(1 - 0.5 / 27) and without["meteor"] == pytest.approx((1 - 0.5) * 2 / 3) and by["errors"] == []
+    assert by["fluency_score"] - without["fluency_score"] == pytest.approx(0.25 * (by["meteor"] - without["meteor"]))
+    spark.conf.set(E.THESAURUS, path)
+    try:
+        assert meteor(spark, SF).count() == meteor(spark, SF).where("meteor > 0").count()
+    finally:
+        spark.conf.unset(E.THESAURUS)
+
+
 def test_meteor_by_hand():
     assert E.meteor("the cat sat on the mat", "the cat sat on the mat") == pytest.approx(1 - 0.5 * (1 / 6) ** 3)
     p, q = 4 / 5, 4 / 6
